@@ -1,0 +1,104 @@
+"""Shared pieces of the training-data operators: the shared work folder and vectorised word hashing."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_own_root: list[str] = []
+
+
+def work_root(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a temporary one of our own only where it is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not _own_root:
+            _own_root.append(tempfile.mkdtemp(prefix="boxloom-"))
+            spark.sparkContext.setCheckpointDir(_own_root[0])
+        root = _own_root[0]
+    return root.rstrip("/")
+
+
+def work_path(spark: SparkSession, label: str) -> str:
+    return f"{work_root(spark)}/boxloom/{label}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it again: lineage ends there and survives lost executors."""
+    spark = df.sparkSession
+    path = work_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def same(a: Column, b: Column) -> Column:
+    """Null-safe equality; Spark still plans a hash or merge join for it."""
+    return a.eqNullSafe(b)
+
+
+#: ASCII white space, the separators of `[^\x20\x09-\x0D]+`.
+WORD = r"[^\x20\x09-\x0D]+"
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PIECE = 1 << 20
+_U = np.uint64
+_rng = np.random.default_rng(20240607)
+_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BASE = 0x9E3779B97F4A7C15
+_INV = pow(_BASE, -1, 1 << 64)
+_powers: dict[str, np.ndarray] = {}
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (the constants are those of splitmix64)."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers.get("up", ())) < n:
+        size = max(n, 1 << 16)
+        for name, base in (("up", _BASE), ("down", _INV)):
+            step = np.full(size, base, np.uint64)
+            step[0] = 1
+            _powers[name] = np.multiply.accumulate(step)
+    return _powers["up"][:n], _powers["down"][:n]
+
+
+def _hash_piece(raw: bytes) -> np.ndarray:
+    a = np.frombuffer(raw, np.uint8)
+    edge = np.diff(np.concatenate(([0], (~_SPACE[a]).view(np.int8), [0])))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _power(len(a) + 1)
+    total = np.zeros(len(a) + 1, np.uint64)
+    np.cumsum(_BYTE[a] * up[: len(a)], out=total[1:])
+    return mix((total[end] - total[start]) * down[start])
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word of UTF-8 bytes, in order; long texts go through in pieces cut at white space."""
+    if len(raw) <= _PIECE:
+        return _hash_piece(raw)
+    parts, at = [], 0
+    while at < len(raw):
+        end = min(at + _PIECE, len(raw))
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        parts.append(_hash_piece(raw[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def window3(words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each three-word window."""
+    a, b, c = words[:-2], words[1:-1], words[2:]
+    return mix(mix(mix(a) + b) * _U(0x9E3779B97F4A7C15) + c)
