@@ -15,6 +15,7 @@ size. No pair of a block is emitted unless it is a verified link.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -39,10 +40,7 @@ def shingles(text: str | None) -> np.ndarray:
     if not len(words):
         return words
     if len(words) < 3:
-        value = _U(len(words))
-        for w in words:
-            value = mix(np.array([value * _U(31) ^ w], np.uint64))[0]
-        return np.array([value], np.uint64)
+        return mix(mix(words[:1] + _U(len(words))) ^ words[-1:])
     return np.unique(window3(words))
 
 
@@ -56,6 +54,14 @@ def _bounds() -> list[int]:
 BOUNDS = np.array(_bounds(), np.int64)
 
 
+@lru_cache(maxsize=256)
+def _segments(level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The inner cuts of the hash range at a level, and a label for each segment."""
+    parts = int(2 * BOUNDS[level] // 19 + 2)
+    cuts = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    return cuts, mix(np.arange(parts, dtype=np.uint64) + _U(level << 40))
+
+
 def segment_keys(h: np.ndarray) -> np.ndarray:
     """The keys of a set's segments, for its size class and, if a larger partner may be in the next, for that too.
 
@@ -69,11 +75,9 @@ def segment_keys(h: np.ndarray) -> np.ndarray:
     np.cumsum(mix(h ^ _U(0xD6E8FEB86659FD93)), out=sums[1:])
     out = []
     for level in levels:
-        parts = int(2 * BOUNDS[level] // 19 + 2)
-        cut = np.searchsorted(h, np.array([(i << 64) // parts for i in range(1, parts)], np.uint64))
-        cut = np.concatenate(([0], cut, [n]))
+        cuts, label = _segments(level)
+        cut = np.concatenate(([0], np.searchsorted(h, cuts), [n]))
         size = np.diff(cut)
-        label = mix(np.arange(parts, dtype=np.uint64) + _U(level << 40))
         key = mix((sums[cut[1:]] - sums[cut[:-1]]) + label + size.astype(np.uint64) * _U(0xA0761D6478BD642F))
         full = size > 0
         out.append(key if np.count_nonzero(~full) > 1 else key[full])

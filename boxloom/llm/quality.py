@@ -25,7 +25,7 @@ METRICS = {
     # metric: (expression over the base columns, smallest spread, sides)
     "symbols": ("n_symbols / greatest(word_chars, 1L)", 0.03, "high"),
     "dup_lines": ("n_dup_lines / greatest(n_words, 1L)", 0.02, "high"),
-    "repeats": ("n_repeat_words / greatest(n_words, 1L)", 0.05, "high"),
+    "repeats": ("n_repeat_words / greatest(n_words, 1L)", 0.1, "high"),
     "word_len": ("word_chars / greatest(n_words, 1L)", 0.5, "both"),
 }
 _SYMBOLS = "#*$%&|<>"
