@@ -13,7 +13,7 @@ from boxloom.llm import jaccard, language, mixing, packing, quality
 from boxloom.llm.common import same, staged, table
 
 #: A document whose language stays as uncertain as this is not text in a known language.
-UNCERTAIN = 0.4
+UNCERTAIN = 0.34
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
