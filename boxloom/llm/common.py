@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,13 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bounds what one Arrow batch of long texts takes outside the heap, for this session; returns df."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/boxloom/{label}-{uuid.uuid4().hex}"
 
@@ -44,6 +52,35 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+#: Bits of a sieve: its size does not grow with the data.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows of df whose long `column` may be among ids: a Bloom filter of fixed size, ahead of an exact join.
+
+    It loses no row of ids. The more ids, the more other rows pass; past some 50 million it passes nearly all.
+    """
+    spark, name, kept = df.sparkSession, ids.columns[0], df.columns
+    spots = F.explode(F.array(*[F.pmod(F.xxhash64(name, F.lit(i)), F.lit(SIEVE_BITS)) for i in (1, 2)]))
+    words = ids.select(spots.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
+    found = words.toArrow()  # SIEVE_BITS / 64 rows at most
+    bits = np.zeros(SIEVE_BITS // 64, np.uint64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    held = spark.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for b in batches:
+            ok = np.ones(b.num_rows, bool)
+            for i in (-2, -1):
+                spot = b.column(b.num_columns + i).to_numpy()
+                ok &= (held.value[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) == 1
+            yield b.filter(pa.array(ok)).select(kept)
+
+    probes = [F.pmod(F.xxhash64(F.col(column).cast("long"), F.lit(i)), F.lit(SIEVE_BITS)).alias(f"_spot{i}") for i in (1, 2)]
+    return df.select("*", *probes).mapInArrow(run, df.schema)
+
+
 #: ASCII white space, the separators of `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 _SPACE = np.zeros(256, bool)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import mix, table
+from boxloom.llm.common import mix, small_batches, table
 
 _U = np.uint64
 #: Bounds of the training sample: documents, and characters of a document that may be in it.
@@ -241,7 +241,7 @@ def identify(docs: DataFrame, crf: Crf) -> DataFrame:
 
     Null texts and texts without letters get und and 0.0; so do all if nothing was learned.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = small_batches(docs).drop("lang_pred", "score")
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import table
+from boxloom.llm.common import small_batches, table
 
 WINDOW, END = 2048, 1
 #: A shard ends at so many documents or tokens.
@@ -181,7 +181,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None) ->
     one window a shard. An empty table gives no pieces. The rows must come from a scan or a written table, whose
     partitions are the same when a task runs again. Other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_pack(tokenizer or default_tokenizer(), window), SCHEMA)
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import same, staged, table, window3, word_hashes
+from boxloom.llm.common import same, small_batches, staged, table, window3, word_hashes
 
 #: Ratio between the bounds of neighbouring buckets, the smallest value told from zero, documents that a group needs.
 GAMMA, FLOOR, LEAST = 1.02, 1e-4, 200
@@ -115,7 +115,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     own. Words and lines are compared by their characters as they are (words by 64-bit hashes). Equal rows get
     equal results. Other columns of the input are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     stats = docs.mapInArrow(_base_rows, f"doc_id long, lang string, source string, {_BASE}")
     stats = staged(stats.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")), "quality")
     fence = staged(thresholds(sketches(stats)), "fences")
