@@ -7,14 +7,15 @@ segments in any linked pair; the segment keys route sets to blocks, without a bo
 comparison is then made in a trie over a bounded cell of a block: `SetTrie` shares the overlap of a common path
 among all sets below it and leaves a subtree as soon as the remaining lengths cannot reach the needed overlap.
 
-First each set of a block is compared with the block's pivot (a star: linear in the block). Blocks whose sets are
-then one component are done. In the others only sets of different components are compared, in cells of bounded
-size. No pair of a block is emitted unless it is a verified link.
+Blocks that overlap form a group. Groups of bounded size are compared whole. In a larger group each set is first
+compared with a pivot of its blocks (a star: linear in the group); blocks whose sets are then one component are
+done, and in the others only sets of different components are compared. No pair is emitted unless it is a
+verified link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import mix, staged, table, window3, word_hashes
+from boxloom.llm.common import mix, sieve, small_batches, staged, table, window3, word_hashes
 
 _U = np.uint64
 NUM, DEN = 90, 100
 #: A cell holds about so many sets, or sets with so many elements together.
-CELL_SETS, CELL_ELEMENTS = 64, 200_000
+CELL_SETS, CELL_ELEMENTS = 2048, 4_000_000
+#: Blocks that overlap are compared as one group if it has no more sets than this; larger ones start with a star.
+GROUP = 2048
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -109,36 +112,40 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the set to (text, node, ...); rows whose text is of another node go."""
     for batch in batches:
-        texts = batch.column(1)
         for at in range(0, batch.num_rows, 200):
-            sets = [shingles(x.as_py()) for x in texts.slice(at, 200)]
-            digests = [set_digest(h) for h in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array([h.tobytes() for h in sets], pa.binary()),
-                ],
-                names=["node", "digest", "elements"],
-            )
+            part = batch.slice(at, 200)
+            sets = [shingles(x.as_py()) for x in part.column(0)]
+            own = [int.from_bytes(set_digest(h)[:8], "little", signed=True) for h in sets]
+            out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([h.tobytes() for h in sets], pa.binary())], names=[*part.schema.names[1:], "set"])
+            yield out.filter(pa.array([a == b for a, b in zip(own, part.column(1).to_pylist(), strict=True)], pa.bool_()))
 
 
 class SetTrie:
-    """A compressed trie of ascending sets; an edge holds a run of elements."""
+    """A compressed trie of ascending sets; an edge holds a run of elements.
 
-    __slots__ = ("kids", "most", "fewest", "ends", "run")
+    root(name) tells the component of a set. Components only ever merge, so a subtree whose sets were of one component
+    stays so, and a query that has joined that component need not enter it.
+    """
+
+    __slots__ = ("kids", "most", "fewest", "ends", "run", "any", "pure")
 
     def __init__(self, run: np.ndarray):
         self.run = run  # the elements on the edge to this node
         self.kids: dict[int, SetTrie] = {}
         self.ends: list[int] = []  # the sets that end here
         self.most, self.fewest = 0, 1 << 62  # sizes of the sets below
+        self.any, self.pure = -1, True  # one set below; whether all are of its component
 
-    def add(self, h: np.ndarray, name: int) -> None:
+    def add(self, h: np.ndarray, name: int, root: Callable[[int], int]) -> None:
         node, at, n = self, 0, len(h)
         while True:
             node.most, node.fewest = max(node.most, n), min(node.fewest, n)
+            if node.any < 0:
+                node.any = name
+            elif node.pure:
+                node.pure = root(node.any) == root(name)
             if at == n:
                 node.ends.append(name)
                 return
@@ -146,6 +153,7 @@ class SetTrie:
             if kid is None:
                 kid = node.kids[int(h[at])] = SetTrie(h[at:])
                 kid.most = kid.fewest = n
+                kid.any = name
                 kid.ends.append(name)
                 return
             same = min(len(kid.run), n - at)
@@ -153,19 +161,24 @@ class SetTrie:
             same = int(differ[0]) if len(differ) else same
             if same < len(kid.run):  # split the edge
                 upper = SetTrie(kid.run[:same])
-                upper.most, upper.fewest = kid.most, kid.fewest
+                upper.most, upper.fewest, upper.any, upper.pure = kid.most, kid.fewest, kid.any, kid.pure
                 kid.run = kid.run[same:]
                 upper.kids[int(kid.run[0])] = kid
                 node.kids[int(h[at])] = upper
                 kid = upper
             node, at = kid, at + same
 
-    def search(self, q: np.ndarray) -> Iterator[int]:
-        """Names of the sets that link with q. The stack holds (node, depth, overlap so far, elements of q passed)."""
+    def search(self, q: np.ndarray, root: Callable[[int], int], own: Callable[[], int]) -> Iterator[int]:
+        """Names of sets that link with q, at least one of each component but own(), that of q by now.
+
+        The stack holds (node, depth, overlap so far, elements of q passed).
+        """
         n = len(q)
         stack = [(kid, 0, 0, 0) for kid in self.kids.values()]
         while stack:
             node, depth, overlap, passed = stack.pop()
+            if node.pure and root(node.any) == own():
+                continue
             # the smallest set below asks for the least overlap; sizes too far apart never link
             least = max(node.fewest, -(-NUM * n // DEN))
             most = min(node.most, DEN * n // NUM)
@@ -188,7 +201,7 @@ class SetTrie:
 def _cell_links(group: pd.DataFrame) -> pd.DataFrame:
     """Links between the cell's stored sets (role 0 and 2) and its queries (role 1 and 2) of other components."""
     nodes, labels, roles = group["node"].to_numpy(), group["label"].to_numpy(), group["role"].to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in group["elements"]]
+    sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
     trie = SetTrie(np.zeros(0, np.uint64))
     joined = {int(x): int(x) for x in np.unique(labels)}
 
@@ -197,39 +210,57 @@ def _cell_links(group: pd.DataFrame) -> pd.DataFrame:
             joined[x] = x = joined[joined[x]]
         return x
 
-    for i in np.flatnonzero(roles != 1):
-        trie.add(sets[i], int(i))
+    component = lambda i: root(int(labels[i]))
+    for i in np.flatnonzero(roles == 0):
+        trie.add(sets[i], int(i), component)
     out = []
     for i in np.flatnonzero(roles != 0):
-        for j in trie.search(sets[i]):
-            a, b = root(int(labels[i])), root(int(labels[j]))
+        own = lambda i=i: component(i)
+        for j in trie.search(sets[i], component, own):
+            a, b = component(i), component(j)
             if a != b:
                 joined[a] = b
                 out.append((nodes[i], nodes[j]))
+        if roles[i] == 2:
+            trie.add(sets[i], int(i), component)
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _links(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    rows = cells.join(sets.select("node", "elements"), "node")
-    keys = [c for c in cells.columns if c not in ("node", "label", "role")]
-    return rows.groupBy(*keys).applyInPandas(_cell_links, "a long, b long")
+def _links(cells: DataFrame) -> DataFrame:
+    """cells: rows (keys..., node, label, role, set)."""
+    keys = [c for c in cells.columns if c not in ("node", "label", "role", "set")]
+    return cells.groupBy(*keys).applyInPandas(_cell_links, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label): label is the smallest node that links reach. Rounds of neighbour minima and pointer jumps."""
-    both = links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct()
-    both = staged(both, "edges")
-    label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"))
+    """(node, label) for the nodes of links: label is the smallest node that links reach.
+
+    Rounds in which each node takes its smallest neighbour as parent, pointer jumps find the roots, and the links
+    between roots go on.
+    """
+    turned = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
+    edge = staged(turned(links), "edges")
+    label = edge.select(F.col("a").alias("node")).union(edge.select("b")).distinct().select("node", F.col("node").alias("label"))
     label = staged(label, "labels")
-    while True:
-        near = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        step = label.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("to"))
-        new = step.join(label.select(F.col("node").alias("to"), F.col("label").alias("far")), "to")
-        new = staged(new.select("node", "old", F.least("to", "far").alias("label")), "labels")
-        changed = new.where("label <> old").limit(1).count()
-        label = new.select("node", "label")
-        if not changed:
-            return label
+    first = True
+    while edge.limit(1).count():
+        parent = staged(edge.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")), "parents")
+        while True:
+            up = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            parent = staged(parent.join(up, "up", "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")), "parents")
+            moved = parent.where("moved").limit(1).count()
+            parent = parent.select("node", "up")
+            if not moved:
+                break
+        root = lambda name: parent.select(F.col("node").alias(name), F.col("up").alias(f"up_{name}"))
+        if first:  # every label is its own node yet
+            label = label.select("node").join(parent, "node", "left").select("node", F.coalesce("up", "node").alias("label"))
+        else:
+            label = label.join(root("label"), "label", "left").select("node", F.coalesce("up_label", "label").alias("label"))
+        label, first = staged(label, "labels"), False
+        edge = edge.join(root("a"), "a").join(root("b"), "b", "left").select(F.col("up_a").alias("a"), F.coalesce("up_b", "b").alias("b"))
+        edge = staged(turned(edge), "edges")
+    return label
 
 
 def ngram_jaccard(docs: DataFrame) -> DataFrame:
@@ -239,41 +270,17 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
     anything is compared. A row without doc_id takes part in nothing and has a null component_id. Rows that share
     a doc_id each keep their row; equal texts share a component. Other columns of the input are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     profile = staged(docs.mapInArrow(_profile, "doc_id long, n_shingles long, digest binary, node long, keys array<long>"), "profile")
     real = profile.where("n_shingles > 0 and doc_id is not null")
     classes = staged(real.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"), F.first("n_shingles").alias("n")), "classes")
     keyed = real.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("key", "pivot")
     blocks = staged(keyed.join(shared, "key").groupBy("key", "node").agg(F.first("pivot").alias("pivot")), "blocks")
-    stars = blocks.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("_n")).select("node", "pivot")
-    stars = staged(stars, "stars")
-    if not stars.limit(1).count():
-        links = None
+    if blocks.limit(1).count():
+        links = _verified(docs, classes, blocks)
     else:
-        wanted = stars.select("node").union(stars.select(F.col("pivot").alias("node"))).distinct()
-        wanted = staged(classes.join(wanted, "node", "left_semi"), "wanted")
-        texts = docs.where("doc_id is not null").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-        texts = texts.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select("doc_id", "text")
-        sets = staged(texts.mapInArrow(_sets, "node long, digest binary, elements binary"), "sets")
-        sizes = wanted.select("node", "n")
-        # first round: each set against the pivots of its blocks
-        load = stars.join(sizes, "node")
-        chunks = load.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_ELEMENTS)).alias("m"))
-        placed = stars.join(chunks, "pivot").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), "m"))
-        stored = placed.select("pivot", "chunk", "node", F.col("node").alias("label"), F.lit(0).alias("role"))
-        asks = placed.select("pivot", "chunk").distinct().select("pivot", "chunk", F.col("pivot").alias("node"), F.col("pivot").alias("label"), F.lit(1).alias("role"))
-        links = staged(_links(stored.union(asks), sets), "links")
-        # second round: blocks that are not one component yet
-        label = components(links)
-        member = blocks.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        member = staged(member, "members")
-        seen = F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark")
-        open_ = member.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), seen).where("lo <> hi")
-        open_ = open_.groupBy("n", "mark").agg(F.min("key").alias("key")).select("key")  # blocks with the same members are one
-        member = staged(member.join(open_, "key", "left_semi").join(sizes, "node", "left"), "open")
-        if member.limit(1).count():
-            links = staged(links.union(_links(_open_cells(member), sets)), "links")
+        links = None
     out = profile.select("doc_id", "n_shingles", "digest")
     if links is None:
         group = classes.select("digest", F.col("doc_id").alias("component_id"))
@@ -287,6 +294,69 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes, enough of them to connect all that link."""
+    group = components(blocks.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
+    nodes = classes.join(group.withColumnRenamed("label", "group"), "node")
+    size = nodes.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"))
+    nodes = staged(nodes.join(size, "group").select("node", "doc_id", "n", "group", "sets", "elements"), "nodes")
+    texts = docs.where("doc_id is not null")
+    texts = sieve(texts, nodes.select("doc_id"), "doc_id").join(nodes, "doc_id")
+    # a doc_id that stands in several rows may bring a text of another class
+    texts = texts.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "node", "_h"])
+    sets = texts.select("text", "node", "n", "group", "sets", "elements")
+    sets = staged(sets.mapInArrow(_sets, "node long, n long, `group` long, sets long, `elements` long, `set` binary"), "sets")
+    small = sets.where(F.col("sets") <= GROUP)
+    chunks = F.greatest(F.ceil(F.col("sets") / CELL_SETS), F.ceil(F.col("elements") / CELL_ELEMENTS))
+    small = small.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), "chunks"))
+    place = lambda j, role: F.struct(F.least("chunk", j).alias("i"), F.greatest("chunk", j).alias("j"), F.lit(role).alias("role"))
+    chunk = F.col("chunk")
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.when(j > chunk, place(j, 0)).when(j == chunk, place(j, 2)).otherwise(place(j, 1)))
+    cells = small.withColumn("at", F.explode(places)).select("group", "at.i", "at.j", "node", F.col("node").alias("label"), "at.role", F.col("set"))
+    links = staged(_links(cells), "links")
+    large = nodes.where(F.col("sets") > GROUP)
+    if not large.limit(1).count():
+        return links
+    return staged(links.union(_star(sets.where(F.col("sets") > GROUP).select("node", "n", "set"), staged(blocks.join(large.select("node", "n"), "node"), "large"))), "links")
+
+
+def _star(sets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Links of large groups. blocks: (key, node, pivot, n)."""
+    stars = staged(blocks.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot"), F.first("n").alias("n")), "stars")
+    chunks = stars.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_ELEMENTS)).alias("m"))
+    place = stars.join(chunks, "pivot").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), "m"))
+    stored = place.select("pivot", "chunk", "node", F.lit(0).alias("role"))
+    asks = chunks.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("chunk"))
+    rows = stored.union(asks.select("pivot", "chunk", F.col("pivot").alias("node"), F.lit(1))).withColumn("label", F.col("node"))
+    links = staged(_links(rows.join(sets.select("node", "set"), "node")), "links")
+    # blocks that are not one component yet; a pivot that has met all sets of its block is left out there
+    label = components(links)
+    met = stars.select("node", F.col("pivot").alias("met"))
+    member = blocks.join(met, "node", "left").join(label, "node", "left")
+    member = member.select("key", "node", "n", F.coalesce("label", "node").alias("label"), (F.col("node") == F.col("pivot")).alias("is_pivot"), (F.coalesce(F.col("met"), F.col("node")) != F.col("pivot")).alias("unmet"))
+    member = staged(member, "members")
+    others = F.when(~F.col("is_pivot"), F.col("label"))
+    state = member.groupBy("key").agg(F.max(F.col("unmet") & ~F.col("is_pivot")).alias("any"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(others).alias("lo_rest"), F.max(others).alias("hi_rest"), F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"))
+    open_ = state.where(F.when(F.col("any"), F.col("lo") != F.col("hi")).otherwise(F.col("lo_rest") != F.col("hi_rest")))
+    open_ = open_.groupBy("c", "mark", "any").agg(F.min("key").alias("key")).select("key", "any")  # blocks with the same members are one
+    member = staged(member.join(open_, "key").where("any or not is_pivot").select("key", "node", "label", "n"), "open")
+    if not member.limit(1).count():
+        return links
+    member = _grouped(member)
+    return links.union(_links(_open_cells(member).join(sets.select("node", "set"), "node")))
+
+
+def _grouped(member: DataFrame) -> DataFrame:
+    """The rows of open blocks, keyed by the group of overlapping blocks where that is small enough."""
+    least = member.groupBy("key").agg(F.min("label").alias("b"))
+    edges = member.join(least, "key").select(F.col("label").alias("a"), "b").where("a <> b").distinct()
+    group = components(edges).select(F.col("node").alias("label"), F.col("label").alias("group"))
+    rows = member.join(group, "label")
+    size = rows.select("group", "node").distinct().groupBy("group").agg(F.count("*").alias("size"))
+    rows = rows.join(size, "group").withColumn("key", F.when(F.col("size") <= 2 * GROUP, F.col("group")).otherwise(F.col("key")))
+    return staged(rows.groupBy("key", "node").agg(F.first("label").alias("label"), F.first("n").alias("n")), "groups")
+
+
 def _open_cells(member: DataFrame) -> DataFrame:
     """Cells of the blocks with several components: the rest against the largest component, and the rest among itself."""
     parts = member.groupBy("key", "label").agg(F.count("*").alias("c"), F.sum("n").alias("e"))
