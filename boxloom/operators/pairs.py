@@ -1,0 +1,87 @@
+"""Pairs of vectors within a key: similarity, duplicates, top pairs, components, cliques."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from boxloom.functions.vectors import cosine, distance
+
+# Cosine above which two boxes are duplicates; pairs shown.
+DUPLICATE, TOP = 0.995, 50
+
+
+def pairs(rows: DataFrame, key: str, columns: list[str], id_: str = "box_id") -> DataFrame:
+    """a_, b_ columns of each pair a < b of one key (a video or shot: bounded by the detector's own limits)."""
+    side = lambda p: rows.select(F.col(key), F.col(id_).alias(f"{p}{id_}"), *[F.col(c).alias(f"{p}{c}") for c in columns])
+    return side("a_").join(side("b_"), key).where(F.col(f"a_{id_}") < F.col(f"b_{id_}"))
+
+
+def similar_pairs(rows: DataFrame, key: str) -> DataFrame:
+    out = pairs(rows, key, ["features"])
+    return out.select(key, "a_box_id", "b_box_id", cosine(F.col("a_features"), F.col("b_features")).alias("similarity"), distance(F.col("a_features"), F.col("b_features")).alias("distance"))
+
+
+def top_pairs(found: DataFrame, k: int = TOP, nearest: bool = True) -> DataFrame:
+    by = F.round("distance", 9)
+    return found.orderBy(by if nearest else by.desc(), "a_box_id", "b_box_id").limit(k)
+
+
+def duplicate_pairs(rows: DataFrame, key: str, threshold: float = DUPLICATE) -> DataFrame:
+    return similar_pairs(rows, key).where(F.col("similarity") > threshold)
+
+
+def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(id, component): the smallest id that edges reach, by neighbour minima and pointer jumps."""
+    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct().checkpoint()
+    label = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("component")).checkpoint()
+    while True:
+        near = both.join(label.select(F.col("id").alias("v"), "component"), "v").groupBy(F.col("u").alias("id")).agg(F.min("component").alias("m"))
+        step = label.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("to"))
+        hop = label.select(F.col("id").alias("to"), F.col("component").alias("far"))
+        new = step.join(hop, "to").select("id", "old", F.least("to", "far").alias("component")).checkpoint()
+        done = not new.where("old <> component").limit(1).count()
+        label = new.select("id", "component")
+        if done:
+            return label
+
+
+def maximal_cliques(edges: list[tuple[int, int]]) -> list[list[int]]:
+    """All maximal cliques of two or more nodes: extension with a pivot, in order of the smallest members."""
+    near: dict[int, set[int]] = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    out, stack = [], [((), set(near), set())]
+    while stack:
+        clique, open_, shut = stack.pop()
+        if not open_ and not shut:
+            if len(clique) > 1:
+                out.append(sorted(clique))
+            continue
+        pivot = max(open_ | shut, key=lambda n: (len(near[n] & open_), -n))
+        for n in sorted(open_ - near[pivot]):
+            stack.append(((*clique, n), open_ & near[n], shut & near[n]))
+            open_, shut = open_ - {n}, shut | {n}
+    return sorted(out)
+
+
+def duplicate_cliques(edges: DataFrame) -> DataFrame:
+    """(clique, box_id, keep): maximal cliques per component; the smallest id of a clique is kept."""
+    parts = connected(edges, "a_box_id", "b_box_id")
+    rows = edges.join(parts, edges["a_box_id"] == parts["id"]).select("component", "a_box_id", "b_box_id")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        found = maximal_cliques(list(zip(g["a_box_id"].tolist(), g["b_box_id"].tolist(), strict=True)))
+        return pd.DataFrame([(g["component"].iloc[0], i, b, b == c[0]) for i, c in enumerate(found) for b in c], columns=["component", "clique", "box_id", "keep"])
+
+    return rows.groupBy("component").applyInPandas(run, "component long, clique long, box_id long, keep boolean")
+
+
+def reattach_duplicates(labels: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """Duplicates get new ids after the largest and, where it is at least 0, their representative's label."""
+    top = labels.agg(F.max("box_id").alias("top"))
+    rows = duplicates.join(labels.select(F.col("box_id").alias("keeper"), "label"), "keeper").where("label >= 0")
+    place = F.row_number().over(Window.orderBy("box_id"))
+    return rows.withColumn("place", place).join(F.broadcast(top)).select((F.col("top") + F.col("place")).alias("box_id"), "label")
