@@ -227,7 +227,12 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Crf:
     Texts of over TRAIN_CHARS characters are not in the sample, so that its size is bounded.
     """
     sample = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    rows = sample.select("text", "lang", F.xxhash64("doc_id", F.lit(23)).alias("h")).orderBy("h", "lang", "text").limit(limit).collect()
+    sample = sample.select("text", "lang", F.xxhash64("doc_id", F.lit(23)).alias("h"))
+    # the hashes decide first, so that no task sends more texts than the sample has
+    cut = sample.select("h").orderBy("h").limit(limit).agg(F.max("h").alias("h")).first()["h"]
+    if cut is None:
+        return fit([])
+    rows = sample.where(F.col("h") <= cut).orderBy("h", "lang", F.xxhash64("text")).limit(limit).collect()
     return fit([(r["text"], r["lang"]) for r in rows])
 
 
