@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.llm import jaccard, language, mixing, packing, quality
-from boxloom.llm.common import same, staged, table
+from boxloom.llm.common import same, sieve, staged, table
 
 #: A document whose language stays as uncertain as this is not text in a known language.
 UNCERTAIN = 0.34
@@ -23,9 +23,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not in gone."""
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, same(docs["doc_id"], gone["_gone"]), "left_anti")
+    """Rows of docs whose doc_id is not in gone. Only rows that a sieve can't clear take part in the join."""
+    gone = staged(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    doubtful = sieve(docs, gone, "doc_id")
+    return sieve(docs, gone, "doc_id", inside=False).unionByName(doubtful.join(gone, same(doubtful["doc_id"], gone["_gone"]), "left_anti"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +41,8 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, once or twice."""
-    found = mixing.mix_sources(docs).select(F.col("doc_id").alias("_id"), "copies").where("copies <> 1").distinct()
+    """Documents as often as the mix takes them: none, once or twice. Rows that share a doc_id are taken alike."""
+    found = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies")).where("copies <> 1")
     out = docs.join(found, same(docs["doc_id"], found["_id"]), "left")
     out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int"))))
     return out.select(*docs.columns)
