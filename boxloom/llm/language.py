@@ -125,7 +125,9 @@ class Crf:
         return np.add.reduceat(letters, start, axis=0) / np.sqrt(size)[:, None] + self.word[entry]
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score of each text: (und, 0.0) without letters."""
+        """Language and score of each text: (und, 0.0) without letters, or if nothing was learned."""
+        if not self.labels:
+            return [(UNKNOWN, 0.0)] * len(texts)
         sums, count = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
         block, held = [], 0
 
@@ -155,8 +157,6 @@ class Crf:
                     if held >= BLOCK:
                         score()
         score()
-        if not self.labels:
-            return [(UNKNOWN, 0.0)] * len(texts)
         best = sums.argmax(axis=1)
         return [(self.labels[b], min(1.0, float(sums[i, b] / count[i]))) if count[i] else (UNKNOWN, 0.0) for i, b in enumerate(best)]
 
