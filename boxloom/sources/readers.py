@@ -10,7 +10,7 @@ from boxloom.functions.text import clock_to_seconds, file_stem
 _RECT = "x int, y int, width int, height int"
 DETECTIONS = f"""keyFrameWidth int, keyFrameHeight int, nativeKeyframeWidth int, nativeKeyframeHeight int,
 characterBoundingBoxes array<struct<id: bigint, file: string, keyFrameIndex: int, keyframeThumbnailId: string, {_RECT.replace(' int', ': int')},
-rect: struct<{_RECT.replace(' int', ': int')}>, confidence: double, features: array<double>, thumbnailId: string, character: string, ioU: double, iou: double>>"""
+rect: struct<{_RECT.replace(' int', ': int')}>, confidence: double, features: array<double>, thumbnailId: string, character: string, ioU: double>>"""
 GROUPS = """NumClusters int, BoundingBoxesGroups array<struct<Id: bigint, ThumbnailId: string, BboxName: bigint, ClusterId: int, IsBest: boolean>>,
 BackgroundNegativeExamples array<struct<KeyframeId: string, BoundingBox: struct<X: int, Y: int, Width: int, Height: int>>>"""
 SORT = "frame_id int, detection_id int, x double, y double, w double, h double, flag double, f1 double, f2 double, f3 double"
@@ -25,7 +25,7 @@ def read_detections(spark: SparkSession, path: str) -> DataFrame:
     b = lambda c: F.col(f"b.{c}")
     rect = [F.coalesce(b(c), b(f"rect.{c}")).alias(n) for c, n in (("x", "x"), ("y", "y"), ("width", "w"), ("height", "h"))]
     features = F.transform(b("features"), lambda x: F.nanvl(F.coalesce(x, F.lit(0.0)), F.lit(0.0)))
-    return rows.select("video", "frame_width", "frame_height", b("id").alias("box_id"), b("keyframeThumbnailId").alias("keyframe_id"), *rect, b("confidence").alias("confidence"), features.alias("features"), b("thumbnailId").alias("thumbnail_id"), b("character").alias("character"), F.coalesce(b("ioU"), b("iou")).alias("truth_iou"), b("character").isNotNull().alias("is_labeled"))
+    return rows.select("video", "frame_width", "frame_height", b("id").alias("box_id"), b("keyframeThumbnailId").alias("keyframe_id"), *rect, b("confidence").alias("confidence"), features.alias("features"), b("thumbnailId").alias("thumbnail_id"), b("character").alias("character"), b("ioU").alias("truth_iou"), b("character").isNotNull().alias("is_labeled"))
 
 
 def read_groups(spark: SparkSession, path: str) -> DataFrame:

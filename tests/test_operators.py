@@ -1,0 +1,106 @@
+"""Solvers and parsers on small fixtures."""
+
+import itertools
+import random
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from boxloom.functions import geometry, text
+from boxloom.operators import clustering, metrics, pairs, tracking
+from boxloom.sources import readers
+
+
+def test_max_flow_of_a_small_network():
+    edges = [(0, 1, 3), (0, 2, 3), (1, 3, 2), (2, 3, 2), (1, 4, 2), (2, 4, 1), (3, 5, 3), (4, 5, 2)]
+    assert tracking.max_flow(6, edges, 0, 5) == 5
+
+
+def test_min_cost_flow_against_all_flows():
+    rng = random.Random(3)
+    for _ in range(60):
+        n = rng.randint(2, 4)
+        layers = [[1 + 2 * i for i in range(n)], [2 + 2 * i for i in range(n)]]
+        edges = [(0, x, rng.uniform(-1, 2)) for x in layers[0]] + [(y, 2 * n + 1, rng.uniform(-1, 2)) for y in layers[1]]
+        edges += [(x, x + 1, rng.uniform(-3, 1)) for x in layers[0]] + [(layers[1][i], layers[0][i + 1], rng.uniform(-2, 2)) for i in range(n - 1)]
+        best = 0.0
+        for used in itertools.product((0, 1), repeat=len(edges)):
+            level = [0] * (2 * n + 2)
+            for u, (a, b, _) in zip(used, edges, strict=True):
+                level[a] -= u
+                level[b] += u
+            if not any(level[1:-1]):
+                best = min(best, sum(c for u, (_, _, c) in zip(used, edges, strict=True) if u))
+        cost, flow = tracking.min_cost_flow(2 * n + 2, edges, 0, 2 * n + 1)
+        assert cost == pytest.approx(best, abs=1e-9)
+        assert sum(edges[i][2] for i in flow) == pytest.approx(best, abs=1e-9)
+
+
+def test_two_tracks(spark):
+    rows = [(0, f, i, 10 + 100 * i + f, 20, 50, 60, 0.9, [1.0, 0.0] if i else [0.0, 1.0]) for f in range(4) for i in range(2)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "box_id long, shot_id long, frame long, slot long, x long, y long, w long, h long, confidence double, features array<double>")
+    found = tracking.tracks(tracking.network(df, 4.0)).toPandas()
+    groups = {tuple(sorted(g)) for g in found.groupby("track_id")["box_id"].apply(list)}
+    assert groups == {(0, 2, 4, 6), (1, 3, 5, 7)}
+
+
+def test_cliques():
+    assert pairs.maximal_cliques([(1, 2), (2, 3), (1, 3), (3, 4)]) == [[1, 2, 3], [3, 4]]
+
+
+def test_geometry(spark):
+    df = spark.createDataFrame([(0, 0, 4, 4, 4, 0, 4, 4), (0, 0, 4, 4, 0, 0, 4, 4), (0, 0, 4, 4, 2, 0, 4, 4), (0, 0, 0, 0, 0, 0, 0, 0)], "a int, b int, c int, d int, e int, f int, g int, h int")
+    got = [r[0] for r in df.select(geometry.iou(*[F.col(x) for x in "abcdefgh"])).collect()]
+    assert got == [0.0, 1.0, pytest.approx(1 / 3), None]
+
+
+def test_greedy_match():
+    df = pd.DataFrame({"k": ["f"] * 4, "a": [1, 1, 2, 2], "b": [8, 9, 8, 9], "iou": [0.9, 0.8, 0.9, 0.1]})
+    assert list(metrics.greedy_match(df)[["a", "b"]].itertuples(index=False, name=None)) == [(1, 8), (2, 9)]
+
+
+@pytest.mark.parametrize("name", ["dbscan", "k_means", "agglomerative", "spectral", "modularity"])
+def test_planted_clusters(name):
+    rng = np.random.default_rng(0)
+    centers = np.eye(5)
+    x = np.vstack([c + rng.normal(0, 0.02, (12, 5)) for c in centers])
+    label = clustering.METHODS[name](x, 5, np.arange(60))
+    truth = np.repeat(np.arange(5), 12)
+    pairs_ = {(a, b) for a, b in zip(truth, label, strict=True) if b >= 0}
+    # the search over eps ends at the first count within a fifth of k, with some points left as noise
+    assert len(pairs_) == len({b for _, b in pairs_}) and len(pairs_) in ((4, 5, 6) if name == "dbscan" else (5,))
+
+
+def test_degenerate_clusters():
+    x = np.ones((3, 2))
+    for name, f in clustering.METHODS.items():
+        assert len(f(x, 2, np.arange(3))) == 3, name
+    assert clustering.silhouette(clustering.cosine_distances(x), np.zeros(3)) == 0.0
+
+
+def test_ami_of_equal_partitions(spark):
+    df = spark.createDataFrame([(i % 3, i % 3) for i in range(30)], "truth long, cluster long")
+    assert metrics.adjusted_mutual_info(metrics.contingency(df)) == pytest.approx(1.0)
+
+
+def test_text(spark):
+    df = spark.createDataFrame([("1:02:03.5", "30000/1001"), ("2:05", "25"), ("x", "1/0")], "t string, r string")
+    rows = df.select(text.clock_to_seconds(F.col("t")).alias("t"), text.rate_to_double(F.col("r")).alias("r")).collect()
+    assert [r["t"] for r in rows] == [3723.5, 125.0, None]
+    assert [r["r"] for r in rows] == [pytest.approx(29.97002997), 25.0, None]
+    assert text.to_camel("key_frame_index") == "keyFrameIndex" and text.to_snake("keyFrameIndex") == "key_frame_index"
+
+
+def test_detection_json(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"keyFrameWidth":640,"characterBoundingBoxes":[{"id":1,"keyframeThumbnailId":"000001","x":10,"y":20,"width":60,"height":80,"confidence":0.9,"features":[1.0,NaN],"thumbnailId":"a"},{"id":2,"keyframeThumbnailId":"000001","rect":{"x":1,"y":2,"width":3,"height":4},"confidence":0.5,"features":[],"character":"c"}]}')
+    a, b = readers.read_detections(spark, str(tmp_path)).orderBy("box_id").collect()
+    assert (a.frame_width, a.frame_height, a.x, a.w, a.features, a.is_labeled) == (640, 180, 10, 60, [1.0, 0.0], False)
+    assert (b.x, b.y, b.w, b.h, b.is_labeled) == (1, 2, 3, 4, True)
+
+
+def test_truth_xml(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<book title="t"><pages><page index="3" width="9" height="9"><body id="b1" xmin="1" ymin="2" xmax="5" ymax="9" character="c"/><body id="b1" xmin="0" ymin="0" xmax="1" ymax="1" character="d"/></page></pages></book>')
+    rows = readers.read_truth(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in rows] == [(3, "b1", 1, 2, 4, 7, "c")]
