@@ -116,3 +116,32 @@ def grid_layout(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
     side = F.ceil(F.sqrt(n.cast("double"))).cast("long")
     return rows.withColumn("side", side).withColumn("cell_col", (place % side).cast("long")).withColumn("cell_row", F.floor(place / side).cast("long"))
+
+
+def long_shots(boxes: DataFrame, fps: float) -> DataFrame:
+    """Shots whose last frame is fps frames or more after the first."""
+    return boxes.groupBy("shot_id").agg(F.min("frame").alias("first"), F.max("frame").alias("last")).where(F.col("last") - F.col("first") >= fps)
+
+
+def without_fades(boxes: DataFrame, shots: DataFrame, fade: int) -> DataFrame:
+    """Boxes of the given shots that are not within `fade` frames of either end."""
+    rows = boxes.join(shots, "shot_id")
+    return rows.where((F.col("frame") >= F.col("first") + fade) & (F.col("frame") <= F.col("last") - fade)).drop("first", "last")
+
+
+def batches(rows: DataFrame, keys: list[str], order: str, size: int = 40) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    return rows.withColumn("batch", F.floor(place / size).cast("long"))
+
+
+def appearances(keyframes: DataFrame, boxes: DataFrame, frame: str) -> DataFrame:
+    """Keyframes with the sorted ids of their boxes, empty for frames without."""
+    rows = keyframes.join(boxes.select(frame, "box_id"), frame, "left")
+    return rows.groupBy(*keyframes.columns).agg(F.array_sort(F.collect_list("box_id")).alias("boxes"))
+
+
+def feasible(tracks: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Per shot: whether no box is in two tracks, and no track has two boxes of one frame."""
+    one = tracks.groupBy("shot_id", "box_id").agg(F.count("*").alias("n")).groupBy("shot_id").agg((F.max("n") == 1).alias("disjoint"))
+    per = tracks.join(boxes.select("box_id", "frame"), "box_id").groupBy("shot_id", "track_id", "frame").agg(F.count("*").alias("n"))
+    return one.join(per.groupBy("shot_id").agg((F.max("n") == 1).alias("one_per_frame")), "shot_id")

@@ -135,3 +135,35 @@ def class_balance_weights(rows: DataFrame, label: str) -> DataFrame:
     share = share.withColumn("place", F.row_number().over(all_.orderBy(F.desc("label"))))
     w = F.when(F.col("place") == 2, 0.99).otherwise(F.greatest("t", F.exp(-F.pow("p", 2) / (2 * F.pow("t", 2)))))
     return share.withColumn("w", w).select("label", (F.col("w") / F.sum("w").over(all_)).alias("weight"))
+
+
+def precision_recall_at_iou(candidates: DataFrame, truth: DataFrame, found: DataFrame, frame: str, skip: int = 5) -> DataFrame:
+    """One row: precision and recall over the truth's frames in order, without the first and last `skip`.
+
+    candidates: (frame, a, b, iou) with the least IoU and over; truth, found: one row per box. Frames without truth
+    do not count; a frame without detections adds its boxes to the missed ones.
+    """
+    n = truth.groupBy(frame).agg(F.count("*").alias("t"))
+    n = n.withColumn("_i", F.row_number().over(Window.orderBy(frame))).withColumn("_n", F.count("*").over(Window.partitionBy(F.lit(1))))  # one row a frame
+    n = n.where((F.col("_i") > skip) & (F.col("_i") <= F.col("_n") - skip)).select(frame, "t")
+    hits = match_boxes(candidates, frame).groupBy(frame).agg(F.count("*").alias("hit"))
+    said = found.groupBy(frame).agg(F.count("*").alias("p"))
+    s = n.join(hits, frame, "left").join(said, frame, "left").agg(F.sum("t").alias("t"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hit"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"))
+    ratio = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    return s.select(ratio("hit", "p").alias("precision"), ratio("hit", "t").alias("recall"))
+
+
+def consume_truth(candidates: DataFrame, key: str) -> DataFrame:
+    """Detections b in order, each takes the free truth box a with the largest IoU of its key (a page); a is used once."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        for b, rows in g.sort_values(["b", "iou", "a"], ascending=[True, False, True]).groupby("b", sort=True):
+            free = rows[~rows["a"].isin(taken)]
+            if len(free):
+                a = int(free["a"].iloc[0])
+                taken.add(a)
+                out.append((g[key].iloc[0], a, int(b), float(free["iou"].iloc[0])))
+        return pd.DataFrame(out, columns=[key, "a", "b", "iou"])
+
+    return candidates.select(key, "a", "b", "iou").groupBy(key).applyInPandas(run, f"{key} string, a long, b long, iou double")

@@ -458,6 +458,66 @@ def by_keyframe(spark, d):
     return boxes(spark, d).groupBy("keyframe_id").agg(F.count("*").alias("boxes"), F.max("confidence").alias("best"), ids.alias("ids"))
 
 
+@query(" SELECT box_id, cluster, (row_number() OVER (PARTITION BY cluster ORDER BY box_id) - 1) // 40 AS batch FROM boxes")
+def upload_batches(spark, d):
+    return detections.batches(boxes(spark, d).select("box_id", "cluster"), ["cluster"], "box_id")
+
+
+@query(""", s AS (SELECT shot_id, min(frame) AS lo, max(frame) AS hi FROM boxes GROUP BY shot_id HAVING max(frame) - min(frame) >= 4)
+SELECT box_id, shot_id, frame FROM boxes JOIN s USING (shot_id) WHERE frame >= lo + 2 AND frame <= hi - 2""")
+def shots_without_fades(spark, d):
+    b = boxes(spark, d)
+    return detections.without_fades(b, detections.long_shots(b, FPS), 2).select("box_id", "shot_id", "frame")
+
+
+@query(""", k AS (SELECT DISTINCT keyframe_id FROM boxes), b AS (SELECT * FROM boxes WHERE slot < 2 AND frame % 2 = 0)
+SELECT k.keyframe_id, coalesce(string_agg(CAST(box_id AS VARCHAR), ',' ORDER BY box_id), '') AS ids FROM k LEFT JOIN b USING (keyframe_id) GROUP BY k.keyframe_id""")
+def keyframe_appearances(spark, d):
+    b = boxes(spark, d)
+    found = detections.appearances(b.select("keyframe_id").distinct(), b.where("slot < 2 and frame % 2 = 0"), "keyframe_id")
+    return found.select("keyframe_id", F.array_join(F.transform("boxes", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query(" SELECT box_id, CASE WHEN box_id % 5 <> 0 THEN features[1] END AS first FROM boxes")
+def replaced_features(spark, d):
+    b = boxes(spark, d)
+    new = b.where("box_id % 5 <> 0").select("thumbnail_id", F.col("features").alias("new"))
+    return b.drop("features").join(new, "thumbnail_id", "left").select("box_id", F.try_element_at("new", F.lit(1)).alias("first"))
+
+
+@query(""" SELECT 'both' AS side, character FROM boxes WHERE slot = 0 INTERSECT SELECT 'both', character FROM boxes WHERE slot = 1
+UNION ALL (SELECT 'left', character FROM boxes WHERE frame = 0 EXCEPT SELECT 'left', character FROM boxes WHERE frame = 1)""")
+def set_operations(spark, d):
+    b = boxes(spark, d)
+    of = lambda w, side: b.where(w).select(F.lit(side).alias("side"), "character")
+    return of("slot = 0", "both").intersect(of("slot = 1", "both")).unionAll(of("frame = 0", "left").subtract(of("frame = 1", "left")))
+
+
+@query()
+def track_feasibility(spark, d):
+    return detections.feasible(tracks(spark, d), boxes(spark, d))
+
+
+def _shifted(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Truth boxes, detections (boxes moved a little, some left out), and their pairs by frame with IoU of 0.5 and more."""
+    t = boxes(spark, d)
+    p = t.where("box_id % 7 <> 0").withColumn("x", F.col("x") + F.col("box_id") % 9)
+    side = lambda df, n: df.select("keyframe_id", F.col("box_id").alias(n), *[F.col(c).alias(n + c) for c in ("x", "y", "w", "h")])
+    both = side(t, "a").join(side(p, "b"), "keyframe_id")
+    return t, p, both.select("keyframe_id", "a", "b", F.round(geometry.iou(*_side("a"), *_side("b")), 9).alias("iou")).where("iou >= 0.5")
+
+
+@query()
+def detection_precision_recall(spark, d):
+    t, p, c = _shifted(spark, d)
+    return metrics.precision_recall_at_iou(c, t, p, "keyframe_id")
+
+
+@query()
+def truth_consumption(spark, d):
+    return metrics.consume_truth(_shifted(spark, d)[2], "keyframe_id")
+
+
 def _clustered(method: str, k: int = 8, normalizer: str = "identity"):
     return lambda spark, d: clustering.cluster(boxes(spark, d).withColumn("video", F.expr("shot_id div 5")), method, k, normalizer=normalizer)
 

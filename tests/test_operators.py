@@ -104,3 +104,17 @@ def test_truth_xml(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<book title="t"><pages><page index="3" width="9" height="9"><body id="b1" xmin="1" ymin="2" xmax="5" ymax="9" character="c"/><body id="b1" xmin="0" ymin="0" xmax="1" ymax="1" character="d"/></page></pages></book>')
     rows = readers.read_truth(spark, str(tmp_path)).collect()
     assert [tuple(r) for r in rows] == [(3, "b1", 1, 2, 4, 7, "c")]
+
+
+def test_truth_is_used_once(spark):
+    rows = [("f", 1, 7, 0.9), ("f", 1, 8, 0.95), ("f", 2, 8, 0.6), ("g", 1, 9, 0.5)]
+    got = metrics.consume_truth(spark.createDataFrame(rows, "keyframe_id string, a long, b long, iou double"), "keyframe_id").collect()
+    assert sorted(tuple(r) for r in got) == [("f", 1, 7, 0.9), ("f", 2, 8, 0.6), ("g", 1, 9, 0.5)]
+
+
+def test_precision_and_recall(spark):
+    truth = spark.createDataFrame([(f"{i:02d}", i) for i in range(12)], "keyframe_id string, box_id long")
+    found = spark.createDataFrame([("05", 1), ("05", 2), ("99", 3)], "keyframe_id string, box_id long")
+    c = spark.createDataFrame([("05", 5, 1, 0.9), ("05", 5, 2, 0.8)], "keyframe_id string, a long, b long, iou double")
+    row = metrics.precision_recall_at_iou(c, truth, found, "keyframe_id").first()
+    assert (row.precision, row.recall) == (0.5, 0.5)  # frames 05 and 06 count
