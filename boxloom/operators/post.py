@@ -62,12 +62,10 @@ def merge_pairs(similarity: DataFrame, clusters: int) -> DataFrame:
     """The clusters // 2 most similar pairs that reach the cut: the 0.975 quantile of the full matrix, held to its bounds."""
     if clusters <= 1:
         raise ValueError("one cluster or none: nothing to merge")
-    n = clusters * clusters
     values = similarity.select(F.col("similarity").alias("s")).union(similarity.select("similarity"))
     spark = similarity.sparkSession
     values = values.union(spark.range(clusters).select(F.lit(0.0).alias("s")))
     cut = values.agg(F.greatest(F.lit(MERGE_LOW), F.least(F.lit(MERGE_HIGH), F.percentile("s", F.lit(MERGE_QUANTILE)))).alias("cut"))
-    assert n >= clusters
     top = similarity.orderBy(F.desc(F.round("similarity", 9)), "a", "b").limit(clusters // 2)
     return top.join(F.broadcast(cut)).where("similarity >= cut").drop("cut")
 

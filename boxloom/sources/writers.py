@@ -14,10 +14,7 @@ def camel(df: DataFrame) -> DataFrame:
 
 def write_detections(boxes: DataFrame, path: str) -> None:
     """A JSON row per video with its boxes nested, camel-cased keys in order."""
-    named = camel(boxes.drop("video"))
-    box = F.struct(*sorted(named.columns))
     rows = boxes.select("video", F.struct(*[F.col(c).alias(to_camel(c)) for c in sorted(boxes.columns, key=to_camel) if c != "video"]).alias("b"))
-    assert box is not None
     rows.groupBy("video").agg(F.array_sort(F.collect_list("b")).alias("characterBoundingBoxes")).write.json(path)
 
 
