@@ -131,3 +131,43 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("lang", "source")
+
+
+def _sql() -> str:
+    """The query in SQL: the base columns from word lists, then the fences from the same log buckets."""
+    value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE {FLOOR} * pow({GAMMA}, {b} - 0.5) END"
+    rows = " UNION ALL ".join(f"SELECT r, lang, source, base_failed, '{m}' AS metric, CAST({e.replace('1L', '1')} AS DOUBLE) AS x, {spread} AS spread, {str(sides == 'both').lower()} AS low FROM b" for m, (e, spread, sides) in METRICS.items())
+
+    def fence(tag: str, keys: str) -> str:
+        by = f"{keys}, " if keys else ""
+        return f"""{tag}c AS (SELECT {by}metric, spread, low, bucket, sum(count(*)) OVER (PARTITION BY {by}metric ORDER BY bucket) AS upto, sum(count(*)) OVER (PARTITION BY {by}metric) AS total
+  FROM k GROUP BY {by}metric, spread, low, bucket),
+{tag}q AS (SELECT {by}metric, spread, low, total, min(CASE WHEN upto >= 0.25 * total THEN bucket END) AS b1, min(CASE WHEN upto >= 0.75 * total THEN bucket END) AS b3 FROM {tag}c GROUP BY {by}metric, spread, low, total),
+{tag} AS (SELECT {by}metric, total, {value("b3")} + {REACH} * greatest({value("b3")} - {value("b1")}, spread) AS hi,
+  CASE WHEN low THEN {value("b1")} - {REACH} * greatest({value("b3")} - {value("b1")}, spread) END AS lo FROM {tag}q)"""
+
+    pick = lambda c: f"CASE WHEN f.total >= {LEAST} THEN f.{c} WHEN g.total >= {LEAST} THEN g.{c} ELSE a.{c} END"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+l AS MATERIALIZED (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS l FROM d),
+w AS (SELECT r, unnest(range(1, len(l) - 1)) AS i, unnest([l[i] || ' ' || l[i + 1] || ' ' || l[i + 2] FOR i IN range(1, len(l) - 1)]) AS g FROM l WHERE len(l) > 2),
+h AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM w) WHERE c > 1),
+n AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM h) GROUP BY r),
+s AS (SELECT r, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS s FROM d),
+e AS (SELECT r, doc_id, lang, source, CAST(len(l) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN l]), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(s) - len(list_distinct(s)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN l USING (r) JOIN s USING (r) LEFT JOIN n USING (r)),
+b AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM e),
+m AS MATERIALIZED ({rows}),
+k AS MATERIALIZED (SELECT *, CASE WHEN x < {FLOOR} THEN 0 ELSE CAST(floor(ln(x / {FLOOR}) / ln({GAMMA})) AS INTEGER) + 1 END AS bucket FROM m WHERE NOT base_failed),
+{fence("f", "lang, source")},
+{fence("g", "lang")},
+{fence("a", "")},
+v AS (SELECT m.r, bool_and(m.x <= {pick("hi")} AND coalesce(m.x >= {pick("lo")}, true)) AS good FROM m
+  JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.metric = m.metric
+  JOIN g ON g.lang IS NOT DISTINCT FROM m.lang AND g.metric = m.metric JOIN a ON a.metric = m.metric GROUP BY m.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(good, false) AS kept FROM b LEFT JOIN v USING (r)
+"""
+
+
+SQL = _sql()

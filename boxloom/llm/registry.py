@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_archive": warc.SQL, "op2_ngram_jaccard": jaccard.SQL, "op3_exact_topk": topk.SQL, "op10_chat_prefix_tree": chat.SQL}
+    return {"op1_warc_archive": warc.SQL, "op2_ngram_jaccard": jaccard.SQL, "op3_exact_topk": topk.SQL, "op6_quality_rules": quality.SQL, "op10_chat_prefix_tree": chat.SQL}
