@@ -145,3 +145,45 @@ def feasible(tracks: DataFrame, boxes: DataFrame) -> DataFrame:
     one = tracks.groupBy("shot_id", "box_id").agg(F.count("*").alias("n")).groupBy("shot_id").agg((F.max("n") == 1).alias("disjoint"))
     per = tracks.join(boxes.select("box_id", "frame"), "box_id").groupBy("shot_id", "track_id", "frame").agg(F.count("*").alias("n"))
     return one.join(per.groupBy("shot_id").agg((F.max("n") == 1).alias("one_per_frame")), "shot_id")
+
+
+def largest_boxes(boxes: DataFrame, most: int = 300) -> DataFrame:
+    """The `most` boxes of the largest area, ties by box_id."""
+    return boxes.withColumn("area", F.col("w") * F.col("h")).orderBy(F.desc("area"), "box_id").limit(most)
+
+
+def sample_rows(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """n rows without replacement: those with the smallest digests of seed and key. Reruns agree."""
+    draw = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string")))
+    return rows.withColumn("_draw", draw).orderBy("_draw", key).limit(n).drop("_draw")
+
+
+def box_tracks(tracks: DataFrame, keys: list[str], boxes: str) -> DataFrame:
+    """Rows (keys, tracks: array of arrays of box ids) to one row a box with its track's position in the list."""
+    lists = tracks.select(*keys, F.posexplode(boxes).alias("track_id", "_boxes"))
+    return lists.select(*keys, "track_id", F.explode("_boxes").alias("box_id"))
+
+
+def capacity_edges(capacities: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, tail, head, capacity, weight) with a capacity, numbered from 0 by tail and head; weight is 1 where null."""
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("tail", "head")) - 1
+    return capacities.where("capacity > 0").select(*keys, number.alias("edge_id"), "tail", "head", "capacity", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+
+
+def image_clusters(images: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Image paths .../SERIES_.../CLUSTER/THUMBNAIL.ext met with boxes by thumbnail_id: thumbnail_id, series, cluster, box columns."""
+    parts = F.split("path", "/")
+    named = images.select(
+        F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "").alias("thumbnail_id"),
+        F.substring_index(F.try_element_at(parts, F.lit(-3)), "_", 1).alias("series"),
+        F.try_element_at(parts, F.lit(-2)).alias("folder"),
+    )
+    return named.join(boxes, "thumbnail_id")
+
+
+def parameter_grid(spark, values: dict[str, list]) -> DataFrame:
+    """One row for each combination of the listed values, which are short lists of a configuration."""
+    row = spark.range(1).select()
+    for name, found in values.items():
+        row = row.select("*", F.explode(F.array(*[F.lit(v) for v in found])).alias(name))
+    return row

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from boxloom.functions import geometry, text, vectors
+from boxloom.functions import geometry, sequences, text, vectors
 from boxloom.operators import clustering, detections, metrics, pairs, post, tracking
 from boxloom.plans.tables import SQL as BOXES
 from boxloom.plans.tables import boxes
@@ -518,6 +518,89 @@ def truth_consumption(spark, d):
     return metrics.consume_truth(_shifted(spark, d)[2], "keyframe_id")
 
 
+@query(" SELECT box_id, w * h AS area FROM boxes ORDER BY area DESC, box_id LIMIT 300")
+def largest_negatives(spark, d):
+    return detections.largest_boxes(boxes(spark, d)).select("box_id", "area")
+
+
+@query(", k AS (SELECT DISTINCT keyframe_id FROM boxes) SELECT keyframe_id FROM k ORDER BY md5('7-' || keyframe_id), keyframe_id LIMIT 20")
+def sampled_frames(spark, d):
+    return detections.sample_rows(boxes(spark, d).select("keyframe_id").distinct(), "keyframe_id", 20, 7)
+
+
+@query(""", s AS (SELECT shot_id, list(character ORDER BY box_id) AS l, string_agg(chr(CAST(65 + character AS INTEGER)), '' ORDER BY box_id) AS t FROM (SELECT * FROM boxes WHERE slot = 0) GROUP BY shot_id)
+SELECT a.shot_id, CAST(levenshtein(a.t, b.t) AS BIGINT) AS edits FROM s a JOIN s b ON a.shot_id + 1 = b.shot_id""")
+def shot_edit_distance(spark, d):
+    s = boxes(spark, d).where("slot = 0").groupBy("shot_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("box_id", "character"))), lambda x: x["character"]).alias("l"))
+    following = s.select((F.col("shot_id") - 1).alias("shot_id"), F.col("l").alias("m"))
+    return s.join(following, "shot_id").select("shot_id", sequences.edit_distance(F.col("l"), F.col("m")).cast("long").alias("edits"))
+
+
+@query(" SELECT box_id, CAST(list_position(features, list_max(features)) - 1 AS BIGINT) AS class FROM boxes")
+def argmax_class(spark, d):
+    return boxes(spark, d).select("box_id", sequences.arg_max(F.col("features")).alias("class"))
+
+
+@query(" SELECT box_id, CASE character WHEN 0 THEN 'background' WHEN 1 THEN 'lead' ELSE 'other' END AS role FROM boxes")
+def mapped_labels(spark, d):
+    return boxes(spark, d).select("box_id", sequences.look_up({0: "background", 1: "lead"}, F.col("character"), "other").alias("role"))
+
+
+@query(" SELECT shot_id, slot AS track_id, box_id FROM boxes")
+def box_to_track(spark, d):
+    by_track = boxes(spark, d).groupBy("shot_id", "slot").agg(F.collect_list("box_id").alias("l")).groupBy("shot_id")
+    lists = by_track.agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "l"))), lambda x: x["l"]).alias("tracks"))
+    return detections.box_tracks(lists, ["shot_id"], "tracks").select("shot_id", F.col("track_id").cast("long").alias("track_id"), "box_id")
+
+
+@query(""", c AS (SELECT a.shot_id, a.box_id AS tail, b.box_id AS head, (a.box_id + b.box_id) % 3 AS capacity, CASE WHEN b.box_id % 2 = 0 THEN a.confidence END AS weight
+FROM boxes a JOIN boxes b ON a.shot_id = b.shot_id AND a.frame + 1 = b.frame)
+SELECT shot_id, row_number() OVER (PARTITION BY shot_id ORDER BY tail, head) - 1 AS edge_id, tail, head, capacity, coalesce(weight, 1.0) AS weight FROM c WHERE capacity > 0""")
+def capacity_edges(spark, d):
+    a = boxes(spark, d).select("shot_id", F.col("frame") + 1, F.col("box_id").alias("tail"), "confidence").toDF("shot_id", "frame", "tail", "confidence")
+    c = a.join(boxes(spark, d).select("shot_id", "frame", F.col("box_id").alias("head")), ["shot_id", "frame"])
+    c = c.withColumn("capacity", (F.col("tail") + F.col("head")) % 3).withColumn("weight", F.when(F.col("head") % 2 == 0, F.col("confidence")))
+    return detections.capacity_edges(c, ["shot_id"]).withColumn("edge_id", F.col("edge_id").cast("long"))
+
+
+@query(" SELECT thumbnail_id, 's' || shot_id AS series, CAST(cluster AS VARCHAR) AS folder, box_id FROM boxes WHERE box_id % 4 <> 1")
+def image_folders(spark, d):
+    b = boxes(spark, d)
+    images = b.where("box_id % 4 <> 1").select(F.format_string("root/s%d_x/%d/%s.jpg", "shot_id", "cluster", "thumbnail_id").alias("path"))
+    return detections.image_clusters(images, b.select("thumbnail_id", "box_id")).select("thumbnail_id", "series", "folder", "box_id")
+
+
+@query(""" SELECT k, method, to_json({'k': k, 'method': method}) AS config FROM (SELECT unnest([5, 10, 15]) AS k) CROSS JOIN (SELECT unnest(['dbscan', 'k_means']) AS method)""")
+def parameter_grid(spark, d):
+    grid = detections.parameter_grid(spark, {"k": [5, 10, 15], "method": ["dbscan", "k_means"]})
+    return grid.select("k", "method", F.to_json(F.struct("k", "method")).alias("config"))
+
+
+@query(", l AS (SELECT DISTINCT character FROM boxes WHERE frame = 0 AND slot = 0) SELECT box_id, shot_id FROM boxes WHERE character IN (SELECT character FROM l)")
+def labeled_boxes(spark, d):
+    b = boxes(spark, d)
+    return b.join(b.where("frame = 0 and slot = 0").select("character"), "character", "left_semi").select("box_id", "shot_id")
+
+
+@query(", s AS (SELECT shot_id, count(*) AS n, sum((character = cluster)::INT)::DOUBLE / count(*) AS precision, sum((slot = 0)::INT)::DOUBLE / count(*) AS recall FROM boxes GROUP BY shot_id) SELECT count(*) AS books, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall FROM s")
+def mean_scores_over_books(spark, d):
+    share = lambda c: F.avg(c.cast("int"))
+    s = boxes(spark, d).groupBy("shot_id").agg(share(F.col("character") == F.col("cluster")).alias("precision"), share(F.col("slot") == 0).alias("recall"))
+    return s.agg(F.count("*").alias("books"), F.round(F.avg("precision"), 9).alias("precision"), F.round(F.avg("recall"), 9).alias("recall"))
+
+
+@query(" SELECT shot_id, box_id FROM boxes")
+def flattened_groups(spark, d):
+    by_frame = boxes(spark, d).groupBy("shot_id", "frame").agg(F.collect_list("box_id").alias("l")).groupBy("shot_id").agg(F.collect_list("l").alias("l"))
+    return by_frame.select("shot_id", F.explode(F.flatten("l")).alias("box_id"))
+
+
+@query(_PAIR.format(on="a.cluster >= 0 AND a.cluster < b.cluster").replace("SELECT a.shot_id", "SELECT a.cluster AS a, b.cluster AS b, a.shot_id") + f", m AS (SELECT a, b, round(avg({_COS}), 6) AS similarity FROM p GROUP BY a, b) SELECT a, b, similarity FROM m ORDER BY similarity DESC, a, b LIMIT 5")
+def largest_similarities(spark, d):
+    m = post.cluster_similarity(boxes(spark, d)).select("a", "b", *_r("similarity"))
+    return m.orderBy(F.desc("similarity"), "a", "b").limit(5)
+
+
 def _clustered(method: str, k: int = 8, normalizer: str = "identity"):
     return lambda spark, d: clustering.cluster(boxes(spark, d).withColumn("video", F.expr("shot_id div 5")), method, k, normalizer=normalizer)
 
