@@ -51,6 +51,11 @@ def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+def text_hash() -> Column:
+    """A hash of the text (64 bits), which tells rows that share a doc_id, or have none, apart."""
+    return F.xxhash64(F.col("text").cast("string")).alias("text_hash")
+
+
 #: Bits of a sieve: its size does not grow with the data (SIEVE_BITS / 64 rows of two longs at most).
 SIEVE_BITS = 1 << 26
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import mix, sieve, small_batches, staged, table, window3, word_hashes
+from boxloom.llm.common import mix, sieve, small_batches, staged, table, text_hash, window3, word_hashes
 
 _U = np.uint64
 NUM, DEN = 90, 100
@@ -102,12 +102,13 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[at : at + 500], pa.int64()),
+                    batch.column(2).slice(at, 500),
                     pa.array([len(h) for h in sets], pa.int64()),
                     pa.array(digests, pa.binary()),
                     pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else [], pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "digest", "node", "keys"],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "node", "keys"],
             )
 
 
@@ -264,14 +265,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def ngram_jaccard(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+    """One row per input row: doc_id, n_shingles, component_id, text_hash.
 
     Null or empty texts have an empty set and are a component of their own. Copies collapse to one set before
     anything is compared. A row without doc_id takes part in nothing and has a null component_id. Rows that share
     a doc_id each keep their row; equal texts share a component. Other columns of the input are not read.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = staged(docs.mapInArrow(_profile, "doc_id long, n_shingles long, digest binary, node long, keys array<long>"), "profile")
+    profile = staged(docs.select("doc_id", "text", text_hash()).mapInArrow(_profile, "doc_id long, text_hash long, n_shingles long, digest binary, node long, keys array<long>"), "profile")
     real = profile.where("n_shingles > 0 and doc_id is not null")
     classes = staged(real.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"), F.first("n_shingles").alias("n")), "classes")
     keyed = real.select("node", F.explode("keys").alias("key"))
@@ -281,7 +282,7 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
         links = _verified(docs, classes, blocks)
     else:
         links = None
-    out = profile.select("doc_id", "n_shingles", "digest")
+    out = profile.select("doc_id", "n_shingles", "digest", "text_hash")
     if links is None:
         group = classes.select("digest", F.col("doc_id").alias("component_id"))
     else:
@@ -291,7 +292,7 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
         group = named.join(smallest, "label").select("digest", "component_id")
     out = out.join(group, "digest", "left")
     alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -375,7 +376,7 @@ def _open_cells(member: DataFrame) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return ngram_jaccard(table(spark, sf_dir, "documents"))
+    return ngram_jaccard(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 SQL = r"""

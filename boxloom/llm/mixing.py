@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import WORD, same, staged, table
+from boxloom.llm.common import WORD, same, staged, table, text_hash
 
 #: Weights by the sources' order, repeating; words to take in all as a share of the words there; copies at most.
 WEIGHTS, SHARE, COPIES = (5, 2, 1), Fraction(3, 2), 2
@@ -98,14 +98,14 @@ def _plan(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """One row per input row: doc_id, source, size, source_size, target, copies, taken.
+    """One row per input row: doc_id, source, size, source_size, target, copies, taken, text_hash.
 
     size is the number of words (null text: 0); a document without words is taken 0 words. A null source is a
     source, the last. Repeated rows count as documents of their own; the seeded order is by doc_id, so among
     equal rows any may be chosen. An empty table gives an empty result. Other columns are not read.
     """
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    base = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size")), "sizes")
+    base = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"), text_hash()), "sizes")
     hist = staged(base.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     spark = base.sparkSession
     # one row per source comes to the driver, and nothing else
@@ -128,12 +128,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int =
     rank = F.row_number().over(Window.partitionBy("source", "size", "sub").orderBy("draw", "doc_id"))
     some = some.withColumn("rank", rank)
     some = some.join(subs, same(some["source"], subs["_s"]) & (some["size"] == subs["_z"]) & (some["sub"] == subs["_b"]), "left")
-    some = some.select("doc_id", "source", "size", (F.col("rank") + F.coalesce("before", F.lit(0)) <= F.col("extra")).cast("long").alias("once"))
-    rest = out.where("extra = 0 or extra >= n").select("doc_id", "source", "size", (F.col("extra") > 0).cast("long").alias("once"))
+    some = some.select("doc_id", "source", "size", "text_hash", (F.col("rank") + F.coalesce("before", F.lit(0)) <= F.col("extra")).cast("long").alias("once"))
+    rest = out.where("extra = 0 or extra >= n").select("doc_id", "source", "size", "text_hash", (F.col("extra") > 0).cast("long").alias("once"))
     out = some.unionByName(rest)
     out = out.join(goals, same(out["source"], goals["_source"]))
     copies = F.col("whole") + F.col("once")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "text_hash")
 
 
 def op7_source_mix(spark, sf_dir: str) -> DataFrame:

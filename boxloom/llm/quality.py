@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import same, small_batches, staged, table, window3, word_hashes
+from boxloom.llm.common import same, small_batches, staged, table, text_hash, window3, word_hashes
 
 #: Ratio between the bounds of neighbouring buckets, the smallest value told from zero, documents that a group needs.
 GAMMA, FLOOR, LEAST = 1.02, 1e-4, 200
@@ -109,14 +109,14 @@ def thresholds(sketch: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, lang, source, the base columns, base_failed, kept.
+    """One row per input row: doc_id, lang, source, text_hash, the base columns, base_failed, kept.
 
     Null and empty texts have no words and fail the base rules. Null languages and sources are groups of their
     own. Words and lines are compared by their characters as they are (words by 64-bit hashes). Equal rows get
     equal results. Other columns of the input are not read.
     """
-    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    stats = docs.mapInArrow(_base_rows, f"doc_id long, lang string, source string, {_BASE}")
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text_hash(), F.col("text").cast("string").alias("text"))
+    stats = docs.mapInArrow(_base_rows, f"doc_id long, lang string, source string, text_hash long, {_BASE}")
     stats = staged(stats.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")), "quality")
     fence = staged(thresholds(sketches(stats)), "fences")
     out = stats.join(fence, same(stats["lang"], fence["_lang"]) & same(stats["source"], fence["_source"]), "left")
@@ -126,11 +126,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
         good = good & (x <= F.col(f"t_{m}.hi"))
         if sides == "both":
             good = good & (x >= F.col(f"t_{m}.lo"))
-    return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(good, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(good, F.lit(False)).alias("kept"))
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents")).drop("lang", "source")
+    return quality_rules(table(spark, sf_dir, "documents")).drop("lang", "source", "text_hash")
 
 
 def _sql() -> str:

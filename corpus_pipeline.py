@@ -1,16 +1,20 @@
 """A training corpus from documents: language ID, quality rules, near duplicates, source mix, packing.
 
 Each stage works on all rows that the one before kept and returns the columns of documents; the last returns
-pieces of packed sequences. Null-safe joins keep rows whose doc_id is null. Extra columns of documents pass through.
+pieces of packed sequences. Decisions are joined back by doc_id and text, nulls equal, so rows that share a doc_id or
+have none are decided one by one. Extra columns of documents pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.llm import jaccard, language, mixing, packing, quality
-from boxloom.llm.common import same, sieve, staged, table
+from boxloom.llm.common import same, sieve, staged, table, text_hash
 
 #: A document whose language stays as uncertain as this is not text in a known language.
 UNCERTAIN = 0.34
@@ -22,29 +26,68 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= UNCERTAIN)).select(*docs.columns)
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not in gone. Only rows that a sieve can't clear take part in the join."""
-    gone = staged(gone.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    doubtful = sieve(docs, gone, "doc_id")
-    return sieve(docs, gone, "doc_id", inside=False).unionByName(doubtful.join(gone, same(doubtful["doc_id"], gone["_gone"]), "left_anti"))
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_text_hash", text_hash())
+
+
+def _equal(docs: DataFrame, other: DataFrame, keys: list[str]) -> Column:
+    """Whether rows of _keyed(docs) and of other agree in all keys, nulls included."""
+    return reduce(and_, [same(docs["_text_hash" if k == "text_hash" else k], other[f"_key_{k}"]) for k in keys])
+
+
+def _named(found: DataFrame, keys: list[str]) -> list[Column]:
+    return [found[k].alias(f"_key_{k}") for k in keys]
+
+
+def _picked(found: DataFrame, keys: list[str], label: str) -> DataFrame:
+    return staged(found.select(*_named(found, keys)).distinct(), label)
+
+
+def _without(docs: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of docs that agree with no row of gone in all keys, the first of which is doc_id.
+
+    Only rows that a sieve of ids can't clear take part in the join.
+    """
+    gone = _picked(gone, keys, "gone")
+    doubtful = _keyed(sieve(docs, gone, "doc_id"))
+    left = doubtful.join(gone, _equal(doubtful, gone, keys), "left_anti").select(*docs.columns)
+    return sieve(docs, gone, "doc_id", inside=False).unionByName(left)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents that fail the base rules or lie beyond a fence of their language and source."""
-    return _without(docs, quality.quality_rules(docs).where("not kept"))
+    """Leaves out documents that fail the base rules or lie beyond a fence of their language and source.
+
+    Each row stands or falls by itself, also where rows share a doc_id or have none; null texts fail.
+    """
+    return _without(docs, quality.quality_rules(docs).where("not kept"), ["doc_id", "lang", "source", "text_hash"])
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays: that with the smallest doc_id."""
+    """One document of each component of near duplicates stays: that with the smallest doc_id.
+
+    Of rows with equal doc_id and text any one stays. Rows of one doc_id with different texts are documents of their
+    own, as are rows without doc_id, which link with nothing but rows that repeat them.
+    """
+    keys = ["doc_id", "text_hash"]
     found = staged(jaccard.ngram_jaccard(docs), "components")
-    return _without(docs, found.where("doc_id <> component_id"))
+    gone = found.where("doc_id <> component_id").select(*keys)
+    again = staged(found.where("doc_id is null or doc_id = component_id").groupBy(*keys).count().where("count > 1").select(*keys), "repeats")
+    if not again.limit(1).count():
+        return _without(docs, gone, keys)
+    picked = _picked(again, keys, "once")
+    once = _keyed(sieve(docs, picked, "doc_id"))
+    once = once.join(picked, _equal(once, picked, keys), "left_semi").dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns)
+    return _without(docs, gone.union(again), keys).unionByName(once)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, once or twice. Rows that share a doc_id are taken alike."""
-    found = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("copies")).where("copies <> 1")
-    out = docs.join(found, same(docs["doc_id"], found["_id"]), "left")
-    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("copies", F.lit(1)).cast("int"))))
+    """Documents as often as the mix takes them: none, once or twice. Rows that agree in doc_id, source and text are taken alike."""
+    keys = ["doc_id", "source", "text_hash"]
+    found = mixing.mix_sources(docs).groupBy(*keys).agg(F.max("copies").alias("_copies")).where("_copies <> 1")
+    found = found.select(*_named(found, keys), "_copies")
+    out = _keyed(docs)
+    out = out.join(found, _equal(out, found, keys), "left")
+    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1)).cast("int"))))
     return out.select(*docs.columns)
 
 
