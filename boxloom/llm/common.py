@@ -130,6 +130,15 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def windows(words: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit hash of each n-word window."""
+    count = len(words) - n + 1
+    out = mix(words[:count])
+    for i in range(1, n):
+        out = mix(out * _U(0x9E3779B97F4A7C15) + words[i : i + count])
+    return out
+
+
 def window3(words: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each three-word window."""
     a, b, c = words[:-2], words[1:-1], words[2:]

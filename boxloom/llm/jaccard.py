@@ -1,9 +1,9 @@
 """N-gram Jaccard join (operator 2): a prefix-tree join over globally ordered shingle sets.
 
-A document's set holds the 64-bit hashes of its distinct three-word shingles, in ascending order: one global
-order for all documents. Two sets link when 100 * |A and B| >= 90 * |A or B|, so at most (|A| + |B|) / 19 elements
-differ. Cutting the ordered hash range of a size class into two segments more than that leaves at least two equal
-segments in any linked pair; the segment keys route sets to blocks, without a bound on their number. Every
+A document's set holds the 64-bit hashes of its distinct shingles (three words in op2), in ascending order: one global
+order for all documents. Two sets link when DEN * |A and B| >= NUM * |A or B| (90 and 100 in op2), so at most
+(DEN - NUM) / (DEN + NUM) of the |A| + |B| elements differ, 1 / 19 in op2. Cutting the ordered hash range of a size
+class into more segments than that leaves equal segments in any linked pair; the segment keys route sets to blocks, without a bound on their number. Every
 comparison is then made in a trie over a bounded cell of a block: `SetTrie` shares the overlap of a common path
 among all sets below it and leaves a subtree as soon as the remaining lengths cannot reach the needed overlap.
 
@@ -15,6 +15,7 @@ verified link.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -25,65 +26,72 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import mix, sieve, small_batches, staged, table, text_hash, window3, word_hashes
+from boxloom.llm.common import mix, sieve, small_batches, staged, table, text_hash, windows, word_hashes
 
 _U = np.uint64
-NUM, DEN = 90, 100
+#: Words of a shingle and the least similarity NUM / DEN of op2.
+WORDS, NUM, DEN = 3, 90, 100
 #: A cell holds about so many sets, or sets with so many elements together.
 CELL_SETS, CELL_ELEMENTS = 2048, 4_000_000
 #: Blocks that overlap are compared as one group if it has no more sets than this; larger ones start with a star.
 GROUP = 2048
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The ordered hash set of a text: distinct 3-word shingles, the whole sequence as one if shorter."""
+def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
+    """The ordered hash set of a text: distinct n-word shingles, the whole sequence as one if shorter."""
     if not text:
         return np.zeros(0, np.uint64)
     words = word_hashes(text.encode("utf-8", "surrogatepass").lower())
     if not len(words):
         return words
-    if len(words) < 3:
-        return mix(mix(words[:1] + _U(len(words))) ^ words[-1:])
-    return np.unique(window3(words))
-
-
-def _bounds() -> list[int]:
-    out = [9]
+    if len(words) < n:
+        whole = words[:1] + _U(len(words))
+        for i in range(1, len(words)):
+            whole = mix(whole) ^ words[i : i + 1]
+        return mix(whole)
+    return np.unique(windows(words, n))
+
+
+@lru_cache(maxsize=16)
+def _bounds(num: int, den: int) -> np.ndarray:
+    """The largest sizes of the size classes; in the first, only equal sets link."""
+    out = [-(-den // (den - num)) - 1]
     while out[-1] < 1 << 40:
-        out.append(out[-1] * 3 // 2)
-    return out
-
-
-BOUNDS = np.array(_bounds(), np.int64)
+        out.append(max(out[-1] + 1, out[-1] * 3 // 2))
+    return np.array(out, np.int64)
 
 
 @lru_cache(maxsize=256)
-def _segments(level: int) -> tuple[np.ndarray, np.ndarray]:
+def _segments(level: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """The inner cuts of the hash range at a level, and a label for each segment."""
-    parts = int(2 * BOUNDS[level] // 19 + 2)
+    differ = int(2 * _bounds(num, den)[level] * (den - num) // (den + num))
+    # some more where segments are so short that several may be empty; none at 0.9 but for very large sets
+    parts = differ + 2 + int(4 * math.exp(-(den + num) / (2 * (den - num))) * (differ + 40))
     cuts = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
     return cuts, mix(np.arange(parts, dtype=np.uint64) + _U(level << 40))
 
 
-def segment_keys(h: np.ndarray) -> np.ndarray:
-    """The keys of a set's segments, for its size class and, if a larger partner may be in the next, for that too.
+def segment_keys(h: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+    """The keys of a set's segments, for its size class and for those above where a larger partner may be.
 
-    A segment is a range of the global order. One empty segment is left out: of two equal segments one is then
-    not empty. A set with more of them gives those a key as well.
+    A segment is a range of the global order. Empty segments are left out if the others are more than the elements
+    that can differ: one of those is then equal in any partner. Else, which is rare, they have keys as well: of two such
+    sets some segment is equal, empty or not.
     """
     n = len(h)
-    own = int(np.searchsorted(BOUNDS, n))
-    levels = ([own] if own else []) + ([own + 1] if 10 * n // 9 > BOUNDS[own] else [])
+    bounds = _bounds(num, den)
+    levels = range(max(int(np.searchsorted(bounds, n)), 1), int(np.searchsorted(bounds, n * den // num)) + 1) if n else ()
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(mix(h ^ _U(0xD6E8FEB86659FD93)), out=sums[1:])
     out = []
     for level in levels:
-        cuts, label = _segments(level)
+        cuts, label = _segments(level, num, den)
         cut = np.concatenate(([0], np.searchsorted(h, cuts), [n]))
         size = np.diff(cut)
+        differ = (n + min(int(bounds[level]), n * den // num)) * (den - num) // (den + num)
         key = mix((sums[cut[1:]] - sums[cut[:-1]]) + label + size.astype(np.uint64) * _U(0xA0761D6478BD642F))
         full = size > 0
-        out.append(key if np.count_nonzero(~full) > 1 else key[full])
+        out.append(key[full] if np.count_nonzero(full) > differ else key)
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -91,48 +99,56 @@ def set_digest(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        for at in range(0, len(ids), 500):
-            sets = [shingles(x.as_py()) for x in texts.slice(at, 500)]
-            digests = [set_digest(h) for h in sets]
-            keys = [segment_keys(h) for h in sets]
-            offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[at : at + 500], pa.int64()),
-                    batch.column(2).slice(at, 500),
-                    pa.array([len(h) for h in sets], pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else [], pa.int64())),
-                ],
-                names=["doc_id", "text_hash", "n_shingles", "digest", "node", "keys"],
-            )
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profile(words: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
+            for at in range(0, len(ids), 500):
+                sets = [shingles(x.as_py(), words) for x in texts.slice(at, 500)]
+                digests = [set_digest(h) for h in sets]
+                keys = [segment_keys(h, num, den) for h in sets]
+                offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ids[at : at + 500], pa.int64()),
+                        batch.column(2).slice(at, 500),
+                        pa.array([len(h) for h in sets], pa.int64()),
+                        pa.array(digests, pa.binary()),
+                        pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else [], pa.int64())),
+                    ],
+                    names=["doc_id", "text_hash", "n_shingles", "digest", "node", "keys"],
+                )
+
+    return run
+
+
+def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds the set to (text, node, ...); rows whose text is of another node go."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 200):
-            part = batch.slice(at, 200)
-            sets = [shingles(x.as_py()) for x in part.column(0)]
-            own = [int.from_bytes(set_digest(h)[:8], "little", signed=True) for h in sets]
-            out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([h.tobytes() for h in sets], pa.binary())], names=[*part.schema.names[1:], "set"])
-            yield out.filter(pa.array([a == b for a, b in zip(own, part.column(1).to_pylist(), strict=True)], pa.bool_()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [shingles(x.as_py(), words) for x in part.column(0)]
+                own = [int.from_bytes(set_digest(h)[:8], "little", signed=True) for h in sets]
+                out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([h.tobytes() for h in sets], pa.binary())], names=[*part.schema.names[1:], "set"])
+                yield out.filter(pa.array([a == b for a, b in zip(own, part.column(1).to_pylist(), strict=True)], pa.bool_()))
+
+    return run
 
 
 class SetTrie:
     """A compressed trie of ascending sets; an edge holds a run of elements.
 
-    root(name) tells the component of a set. Components only ever merge, so a subtree whose sets were of one component
+    Sets link from a similarity of num / den. root(name) tells the component of a set. Components only ever merge, so a subtree whose sets were of one component
     stays so, and a query that has joined that component need not enter it.
     """
 
-    __slots__ = ("kids", "most", "fewest", "ends", "run", "any", "pure")
+    __slots__ = ("kids", "most", "fewest", "ends", "run", "any", "pure", "num", "den")
 
-    def __init__(self, run: np.ndarray):
+    def __init__(self, run: np.ndarray, num: int = NUM, den: int = DEN):
+        self.num, self.den = num, den
         self.run = run  # the elements on the edge to this node
         self.kids: dict[int, SetTrie] = {}
         self.ends: list[int] = []  # the sets that end here
@@ -152,7 +168,7 @@ class SetTrie:
                 return
             kid = node.kids.get(int(h[at]))
             if kid is None:
-                kid = node.kids[int(h[at])] = SetTrie(h[at:])
+                kid = node.kids[int(h[at])] = SetTrie(h[at:], self.num, self.den)
                 kid.most = kid.fewest = n
                 kid.any = name
                 kid.ends.append(name)
@@ -161,7 +177,7 @@ class SetTrie:
             differ = np.flatnonzero(kid.run[:same] != h[at : at + same])
             same = int(differ[0]) if len(differ) else same
             if same < len(kid.run):  # split the edge
-                upper = SetTrie(kid.run[:same])
+                upper = SetTrie(kid.run[:same], self.num, self.den)
                 upper.most, upper.fewest, upper.any, upper.pure = kid.most, kid.fewest, kid.any, kid.pure
                 kid.run = kid.run[same:]
                 upper.kids[int(kid.run[0])] = kid
@@ -174,18 +190,18 @@ class SetTrie:
 
         The stack holds (node, depth, overlap so far, elements of q passed).
         """
-        n = len(q)
+        n, num, den = len(q), self.num, self.den
         stack = [(kid, 0, 0, 0) for kid in self.kids.values()]
         while stack:
             node, depth, overlap, passed = stack.pop()
             if node.pure and root(node.any) == own():
                 continue
             # the smallest set below asks for the least overlap; sizes too far apart never link
-            least = max(node.fewest, -(-NUM * n // DEN))
-            most = min(node.most, DEN * n // NUM)
+            least = max(node.fewest, -(-num * n // den))
+            most = min(node.most, den * n // num)
             if least > most:
                 continue
-            need = -(-NUM * (n + least) // (NUM + DEN))
+            need = -(-num * (n + least) // (num + den))
             if overlap + min(n - passed, node.most - depth) < need:
                 continue
             run = node.run
@@ -194,16 +210,16 @@ class SetTrie:
             overlap += int(np.count_nonzero(left[np.minimum(at, len(left) - 1)] == run)) if len(left) else 0
             depth += len(run)
             passed += int(np.searchsorted(left, run[-1], side="right"))
-            if node.ends and overlap * (NUM + DEN) >= NUM * (n + depth):
+            if node.ends and overlap * (num + den) >= num * (n + depth):
                 yield from node.ends
             stack.extend((kid, depth, overlap, passed) for kid in node.kids.values())
 
 
-def _cell_links(group: pd.DataFrame) -> pd.DataFrame:
+def _cell_links(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Links between the cell's stored sets (role 0 and 2) and its queries (role 1 and 2) of other components."""
     nodes, labels, roles = group["node"].to_numpy(), group["label"].to_numpy(), group["role"].to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
-    trie = SetTrie(np.zeros(0, np.uint64))
+    trie = SetTrie(np.zeros(0, np.uint64), num, den)
     joined = {int(x): int(x) for x in np.unique(labels)}
 
     def root(x: int) -> int:
@@ -227,10 +243,10 @@ def _cell_links(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
-def _links(cells: DataFrame) -> DataFrame:
+def _links(cells: DataFrame, num: int, den: int) -> DataFrame:
     """cells: rows (keys..., node, label, role, set)."""
     keys = [c for c in cells.columns if c not in ("node", "label", "role", "set")]
-    return cells.groupBy(*keys).applyInPandas(_cell_links, "a long, b long")
+    return cells.groupBy(*keys).applyInPandas(lambda group: _cell_links(group, num, den), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,22 +280,24 @@ def components(links: DataFrame) -> DataFrame:
     return label
 
 
-def ngram_jaccard(docs: DataFrame) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, text_hash.
 
+    Documents link when the sets of their shingles of so many words have a Jaccard similarity of num / den or more.
+
     Null or empty texts have an empty set and are a component of their own. Copies collapse to one set before
     anything is compared. A row without doc_id takes part in nothing and has a null component_id. Rows that share
     a doc_id each keep their row; equal texts share a component. Other columns of the input are not read.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = staged(docs.select("doc_id", "text", text_hash()).mapInArrow(_profile, "doc_id long, text_hash long, n_shingles long, digest binary, node long, keys array<long>"), "profile")
+    profile = staged(docs.select("doc_id", "text", text_hash()).mapInArrow(_profile(words, num, den), "doc_id long, text_hash long, n_shingles long, digest binary, node long, keys array<long>"), "profile")
     real = profile.where("n_shingles > 0 and doc_id is not null")
     classes = staged(real.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"), F.first("n_shingles").alias("n")), "classes")
     keyed = real.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("key", "pivot")
     blocks = staged(keyed.join(shared, "key").groupBy("key", "node").agg(F.first("pivot").alias("pivot")), "blocks")
     if blocks.limit(1).count():
-        links = _verified(docs, classes, blocks)
+        links = _verified(docs, classes, blocks, words, num, den)
     else:
         links = None
     out = profile.select("doc_id", "n_shingles", "digest", "text_hash")
@@ -295,7 +313,7 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "text_hash")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFrame:
+def _verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between nodes, enough of them to connect all that link."""
     group = components(blocks.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     nodes = classes.join(group.withColumnRenamed("label", "group"), "node")
@@ -306,7 +324,7 @@ def _verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFra
     # a doc_id that stands in several rows may bring a text of another class
     texts = texts.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "node", "_h"])
     sets = texts.select("text", "node", "n", "group", "sets", "elements")
-    sets = staged(sets.mapInArrow(_sets, "node long, n long, `group` long, sets long, `elements` long, `set` binary"), "sets")
+    sets = staged(sets.mapInArrow(_sets(words), "node long, n long, `group` long, sets long, `elements` long, `set` binary"), "sets")
     small = sets.where(F.col("sets") <= GROUP)
     chunks = F.greatest(F.ceil(F.col("sets") / CELL_SETS), F.ceil(F.col("elements") / CELL_ELEMENTS))
     small = small.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(3)), "chunks"))
@@ -314,14 +332,14 @@ def _verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame) -> DataFra
     chunk = F.col("chunk")
     places = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda j: F.when(j > chunk, place(j, 0)).when(j == chunk, place(j, 2)).otherwise(place(j, 1)))
     cells = small.withColumn("at", F.explode(places)).select("group", "at.i", "at.j", "node", F.col("node").alias("label"), "at.role", F.col("set"))
-    links = staged(_links(cells), "links")
+    links = staged(_links(cells, num, den), "links")
     large = nodes.where(F.col("sets") > GROUP)
     if not large.limit(1).count():
         return links
-    return staged(links.union(_star(sets.where(F.col("sets") > GROUP).select("node", "n", "set"), staged(blocks.join(large.select("node", "n"), "node"), "large"))), "links")
+    return staged(links.union(_star(sets.where(F.col("sets") > GROUP).select("node", "n", "set"), staged(blocks.join(large.select("node", "n"), "node"), "large"), num, den)), "links")
 
 
-def _star(sets: DataFrame, blocks: DataFrame) -> DataFrame:
+def _star(sets: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
     """Links of large groups. blocks: (key, node, pivot, n)."""
     stars = staged(blocks.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot"), F.first("n").alias("n")), "stars")
     chunks = stars.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / CELL_SETS), F.ceil(F.sum("n") / CELL_ELEMENTS)).alias("m"))
@@ -329,7 +347,7 @@ def _star(sets: DataFrame, blocks: DataFrame) -> DataFrame:
     stored = place.select("pivot", "chunk", "node", F.lit(0).alias("role"))
     asks = chunks.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("chunk"))
     rows = stored.union(asks.select("pivot", "chunk", F.col("pivot").alias("node"), F.lit(1))).withColumn("label", F.col("node"))
-    links = staged(_links(rows.join(sets.select("node", "set"), "node")), "links")
+    links = staged(_links(rows.join(sets.select("node", "set"), "node"), num, den), "links")
     # blocks that are not one component yet; a pivot that has met all sets of its block is left out there
     label = components(links)
     met = stars.select("node", F.col("pivot").alias("met"))
@@ -344,7 +362,7 @@ def _star(sets: DataFrame, blocks: DataFrame) -> DataFrame:
     if not member.limit(1).count():
         return links
     member = _grouped(member)
-    return links.union(_links(_open_cells(member).join(sets.select("node", "set"), "node")))
+    return links.union(_links(_open_cells(member).join(sets.select("node", "set"), "node"), num, den))
 
 
 def _grouped(member: DataFrame) -> DataFrame:

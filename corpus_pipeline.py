@@ -18,6 +18,8 @@ from boxloom.llm.common import same, sieve, staged, table, text_hash
 
 #: A document whose language stays as uncertain as this is not text in a known language.
 UNCERTAIN = 0.34
+#: Near duplicates share this much of their shingles of so many words, or more (op2's query asks for 3 words and 0.9).
+NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +71,7 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     own, as are rows without doc_id, which link with nothing but rows that repeat them.
     """
     keys = ["doc_id", "text_hash"]
-    found = staged(jaccard.ngram_jaccard(docs), "components")
+    found = staged(jaccard.ngram_jaccard(docs, NEAR_WORDS, NEAR_NUM, NEAR_DEN), "components")
     gone = found.where("doc_id <> component_id").select(*keys)
     again = staged(found.where("doc_id is null or doc_id = component_id").groupBy(*keys).count().where("count > 1").select(*keys), "repeats")
     if not again.limit(1).count():

@@ -77,6 +77,36 @@ def test_jaccard(spark, edge, group, monkeypatch):
     assert len({c for _, _, c in got}) < len(got)
 
 
+@pytest.mark.parametrize(("n", "num", "den"), [(5, 80, 100), (2, 1, 2), (3, 90, 100)])
+@pytest.mark.parametrize("group", [2048, 3])
+def test_jaccard_of_other_shingles_and_thresholds(spark, edge, group, n, num, den, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    rows = [r for r in edge if r[0] is not None]
+    sets = [{tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set() for w in (words((t or "").lower()) for _, t, *_ in rows)]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]) and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {x: min(r[0] for r, y in zip(rows, label, strict=True) if x == y) for x in label}
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard(docs(spark, rows), n, num, den).collect())
+    assert got == Counter((r[0], len(s), least[x]) for r, s, x in zip(rows, sets, label, strict=True))
+
+
+def test_near_copies_of_the_stage(spark):
+    import corpus_pipeline as pipeline
+
+    base = [f"w{i}" for i in range(100)]
+    two = [*base[:30], "other", *base[31:70], "others", *base[71:]]  # five words: 86 / 106, three: 92 / 104
+    longer = [f"v{i}" for i in range(100)]
+    far = [f"u{i}" for i in range(100)]
+    three = [*far[:20], "x", *far[21:50], "y", *far[51:80], "z", *far[81:]]  # five words: 81 / 111
+    rows = [(i, " ".join(t), "en", "a") for i, t in enumerate([base, two, longer, [*longer, *(f"more{i}" for i in range(15))], far, three])]
+    left = dict(pipeline.STAGES)["ngram_jaccard"](spark, docs(spark, rows), SF)
+    assert sorted(r.doc_id for r in left.collect()) == [0, 2, 4, 5]
+    assert len({r.component_id for r in jaccard.ngram_jaccard(docs(spark, rows)).collect()}) == 6
+
+
 def test_empty_tables(spark):
     none = docs(spark, [])
     assert jaccard.ngram_jaccard(none).count() == 0
