@@ -34,11 +34,11 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/boxloom/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
     path = work_path(spark, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,12 @@
 """Packing (operator 9): lexical retrieval packing.
 
-Each task reads its rows in shards of bounded size and builds a BM25 inverted index over a shard's token ids. A
-seed document opens a window; the index returns its unused neighbours, best first, and they fill the window. A
-neighbour that does not fit is cut, and its rest opens the next window as the next seed. No row is shuffled.
+Document frequencies and the mean length are counted over the whole table. Each document gets a key: its first terms
+in a weighted min-hash order (weights are BM25's), so two documents agree in the key's first term with a probability
+that is the similarity of their weights. The table is sorted by that key, over all tasks, so lexically related
+documents meet wherever they were read; one key's rows may spread over several tasks. A task reads its range in shards
+of bounded size and builds a BM25 index over a shard's token ids, with the table's statistics. A seed document opens a
+window; the index returns its unused neighbours, best first, and they fill the window. A neighbour that does not fit
+is cut, and its rest opens the next window as the next seed. Neighbours beyond the shard are not found.
 """
 
 from __future__ import annotations
@@ -12,7 +16,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import small_batches, table
+from boxloom.llm.common import mix, small_batches, staged, table
 
 WINDOW, END = 2048, 1
 #: A shard ends at so many documents or tokens.
 SHARD_DOCS, SHARD_TOKENS = 1024, 2_000_000
 K1, B = 1.2, 0.75
+#: Terms of a document's key, and tokens of a range of the sorted table.
+KEY_TERMS, RANGE_TOKENS = 4, 1_000_000
 #: Terms in more than this share of a shard's documents don't tell documents apart and are left out of the index.
 COMMON = 0.25
 _LONG = re.compile(r"\S{3000}")
@@ -68,44 +75,83 @@ def encoder(path: str):
     return lambda text: plain(text) if _LONG.search(text) else fast.encode_ordinary(text)
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 asks of a collection of documents."""
+
+    df: np.ndarray  # documents that hold each term
+    docs: int
+    tokens: int
+
+    @cached_property
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.docs - self.df + 0.5) / (self.df + 0.5))
+
+    def weight(self, term: np.ndarray, tf: np.ndarray, length: np.ndarray | float) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length * self.docs / self.tokens))
+
+    @cached_property
+    def draws(self) -> tuple[np.ndarray, np.ndarray]:
+        """A hash of each term, and an exponential draw by it over the term's idf."""
+        drawn = mix(np.arange(len(self.df), dtype=np.uint64) + np.uint64(1))
+        return drawn.view(np.int64), -np.log((drawn.astype(np.float64) + 1) / 2.0**64) / self.idf
+
+    def key(self, ids: np.ndarray) -> list[int]:
+        """A document's first terms in an order by exponential draws, one a term, over the term's weight in it."""
+        drawn, draw = self.draws
+        term, tf = np.unique(ids, return_counts=True)
+        at = draw[term] * (tf + K1 * (1 - B + B * len(ids) * self.docs / self.tokens)) / tf
+        first = np.argsort(at, kind="stable")[:KEY_TERMS]
+        return [*drawn[term[first]].tolist(), *[0] * (KEY_TERMS - len(first))]
+
+
 class Bm25:
-    """An inverted index over the token ids of a shard."""
+    """An index over the token ids of a shard: a sparse matrix of weights, a row a document."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], statistics: Statistics | None = None):
         bags = [np.unique(d, return_counts=True) for d in docs]
-        self.terms = [t for t, _ in bags]
         length = np.array([len(d) for d in docs], np.float64)
-        owner = np.repeat(np.arange(len(docs)), [len(t) for t in self.terms])
-        term = np.concatenate(self.terms).astype(np.int64)
-        tf = np.concatenate([c for _, c in bags]).astype(np.float64)
-        df = np.bincount(term)
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        self.keep = df <= max(2, COMMON * len(docs))
-        use = self.keep[term]
-        term, owner, tf = term[use], owner[use], tf[use]
-        order = np.argsort(term, kind="stable")
-        term, self.owner, tf = term[order], owner[order], tf[order]
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.owner] / length.mean()))
-        self.begin = np.zeros(len(df) + 1, np.int64)
-        np.cumsum(np.bincount(term, minlength=len(df)), out=self.begin[1:])
-        self.size = len(docs)
+        size = np.array([len(t) for t, _ in bags], np.int64)
+        term = np.concatenate([t for t, _ in bags]).astype(np.int64)
+        if statistics is None:
+            statistics = Statistics(np.bincount(term), len(docs), int(length.sum()))
+        self.weight = statistics.weight(term, np.concatenate([c for _, c in bags]).astype(np.float64), np.repeat(length, size))
+        self.weight[np.bincount(term)[term] > max(2, COMMON * len(docs))] = 0
+        self.begin = np.concatenate(([0], np.cumsum(size)))
+        known = np.flatnonzero(np.bincount(term))
+        spot = np.zeros(known[-1] + 1 if len(known) else 0, np.int64)
+        spot[known] = np.arange(len(known))
+        self.term, self.asked = spot[term], np.zeros(len(known))
+        self.size, self.rows, self.start, self.column = size, np.arange(len(docs)), self.begin[:-1], self.term
+        self._keep(size > 0)
+
+    def _keep(self, of: np.ndarray) -> None:
+        """Leaves the matrix with those of its rows."""
+        cell = np.repeat(of, self.size[self.rows])
+        self.rows, self.column, self.weight = self.rows[of], self.column[cell], self.weight[cell]
+        self.start = np.concatenate(([0], np.cumsum(self.size[self.rows])))[:-1]
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with doc, by descending score, ties to the earlier one."""
-        t = self.terms[doc]
-        t = t[self.keep[t]].astype(np.int64)
-        at, n = self.begin[t], self.begin[t + 1] - self.begin[t]
-        if not n.sum():
+        """Unused documents that share a term with doc, by descending score, ties to the earlier one.
+
+        A document that is used once stays so: the matrix forgets such rows when they are half of it.
+        """
+        if 2 * np.count_nonzero(unused[self.rows]) < len(self.rows):
+            self._keep(unused[self.rows])
+        if not len(self.rows):
             return np.zeros(0, np.int64)
-        spots = np.repeat(at - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        score = np.bincount(self.owner[spots], weights=self.weight[spots], minlength=self.size)
-        found = np.flatnonzero((score > 0) & unused)
-        return found[np.lexsort((found, -score[found]))]
+        own = self.term[self.begin[doc] : self.begin[doc + 1]]
+        self.asked[own] = 1.0
+        score = np.add.reduceat(self.weight * self.asked[self.column], self.start)
+        self.asked[own] = 0.0
+        found = (score > 0) & unused[self.rows]
+        score, found = score[found], self.rows[found]
+        return found[np.argsort(-score, kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], window: int = WINDOW, statistics: Statistics | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (doc, start, length, sequence, offset) of a shard; all sequences but the last are full."""
-    index, unused = Bm25(docs), np.ones(len(docs), bool)
+    index, unused = Bm25(docs, statistics), np.ones(len(docs), bool)
     out: list[tuple[int, int, int, int, int]] = []
     sequence, filled, first = 0, 0, 0
 
@@ -140,16 +186,76 @@ def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int,
     return out
 
 
-def _pack(path: str, window: int):
+def _stored(ids: np.ndarray) -> bytes:
+    return (ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids).tobytes()
+
+
+def _read(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.int32 if len(raw) == 4 * n else np.uint16).astype(np.int32, copy=False)
+
+
+def _encode(path: str):
+    """Rows (row, doc_id, n, ids) of documents, ids in two bytes each where they fit; each task ends with a row without row that holds its document frequencies."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, done = encoder(path), TaskContext.get().partitionId(), 0
+        encode, row, df = encoder(path), TaskContext.get().partitionId() << 40, np.zeros(0, np.int64)
+        names = ["row", "doc_id", "n", "ids"]
+        for batch in batches:
+            docs = []
+            for x in batch.column(1):
+                found = encode(x.as_py() or "")
+                found.append(END)
+                docs.append(np.array(found, np.int32))
+            if not docs:
+                continue
+            more = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(df))
+            more[: len(df)] += df
+            df = more
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + len(docs))), batch.column(0), pa.array([len(d) for d in docs], pa.int64()), pa.array([_stored(d) for d in docs], pa.binary())], names=names)
+            row += len(docs)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([0], pa.int64()), pa.array([df.tobytes()], pa.binary())], names=names)
+
+    return run
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for x in batch.column(0):
+            df = np.frombuffer(x.as_py(), np.int64)
+            term = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(df[term], pa.int64())], names=["term", "df"])
+
+
+def collect_statistics(encoded: DataFrame) -> Statistics:
+    """One row a term of the tokenizer's vocabulary comes to the driver."""
+    total = encoded.where("row is not null").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    counts = encoded.where("row is null").select("ids").mapInArrow(_frequencies, "term long, df long")
+    counts = counts.groupBy("term").agg(F.sum("df").alias("df")).toPandas()
+    df = np.zeros(int(counts["term"].max()) + 1 if len(counts) else 1, np.int64)
+    df[counts["term"].to_numpy(np.int64)] = counts["df"].to_numpy(np.int64)
+    return Statistics(df, total["docs"], total["tokens"])
+
+
+def _keys(statistics: Statistics):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [statistics.key(_read(x.as_py(), n)) for x, n in zip(batch.column("ids"), batch.column("n").to_pylist(), strict=True)]
+            columns = [pa.array(list(x), pa.int64()) for x in zip(*keys, strict=True)] or [pa.array([], pa.int64())] * KEY_TERMS
+            yield pa.RecordBatch.from_arrays([*columns, *batch.columns], names=[*(f"key{i}" for i in range(KEY_TERMS)), *batch.schema.names])
+
+    return run
+
+
+def _pack(window: int, statistics: Statistics):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, done = TaskContext.get().partitionId(), 0
         ids: list = []
         docs: list[np.ndarray] = []
         tokens = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal ids, docs, tokens, done
-            pieces = pack_shard(docs, window)
+            pieces = pack_shard(docs, window, statistics)
             crc = [zlib.crc32(docs[d][s : s + n].astype("<u4").tobytes()) for d, s, n, _, _ in pieces]
             doc, start, length, sequence, offset = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
             size = np.array([len(x) for x in docs], np.int64)
@@ -159,12 +265,10 @@ def _pack(path: str, window: int):
             return pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = encode(text.as_py() or "")
-                found.append(END)
+            for key, n, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 ids.append(key)
-                docs.append(np.array(found, np.int32))
-                tokens += len(found)
+                docs.append(_read(found.as_py(), n))
+                tokens += n
                 if len(docs) >= SHARD_DOCS or tokens >= SHARD_TOKENS:
                     yield flush()
         if docs:
@@ -178,11 +282,17 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None) ->
 
     A document's ids are those of its text (null: empty) and the end id, so each has at least one piece. Pieces of
     repeated rows and of equal texts are kept apart. Each shard's last sequence may be short: the padding is below
-    one window a shard. An empty table gives no pieces. The rows must come from a scan or a written table, whose
-    partitions are the same when a task runs again. Other columns are not read.
+    one window a shard. An empty table gives no pieces. Where ranges and shards of the sorted table end, and so the
+    sequences, may differ between runs. Other columns are not read.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_pack(tokenizer or default_tokenizer(), window), SCHEMA)
+    encoded = staged(docs.mapInArrow(_encode(tokenizer or default_tokenizer()), "row long, doc_id long, n long, ids binary"), "tokens", "zstd")
+    statistics = collect_statistics(encoded)
+    order = [f"key{i}" for i in range(KEY_TERMS)] + ["row"]
+    keyed = encoded.where("row is not null").mapInArrow(_keys(statistics), ", ".join(f"key{i} long" for i in range(KEY_TERMS)) + ", row long, doc_id long, n long, ids binary")
+    ranges = max(1, -(-statistics.tokens // RANGE_TOKENS))
+    keyed = staged(keyed, "keyed", "zstd").repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return keyed.select("doc_id", "n", "ids").mapInArrow(_pack(window, statistics), SCHEMA)
 
 
 def op9_retrieval_pack(spark, sf_dir: str) -> DataFrame:

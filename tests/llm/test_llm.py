@@ -244,6 +244,27 @@ def test_neighbours_fill_a_window():
     assert first[:2] == [0, 3]
 
 
+def test_related_documents_meet_over_the_whole_table(spark):
+    rng = random.Random(3)
+    topics = [[f"{rng.randrange(10**6)}" for _ in range(50)] for _ in range(1500)]
+    rows = [(i, " ".join(rng.sample(topics[i % 1500], 48)), "en", "a") for i in range(3000)]  # partners stand 1,500 rows apart
+    got = packing.pack(docs(spark, rows), window=300).toPandas()
+    assert sorted(got.doc_id.unique()) == list(range(3000))
+    at = got.groupby("doc_id").sequence_id.agg(set)
+    assert sum(bool(at[i] & at[i + 1500]) for i in range(1500)) >= 1000
+
+
+def test_statistics_of_the_whole_table(spark, edge):
+    rows = [r for r in edge if r[0] is not None and r[1] != LONG]
+    encoded = docs(spark, rows).select("doc_id", "text").repartition(5).mapInArrow(packing._encode(packing.default_tokenizer()), "row long, doc_id long, n long, ids binary")
+    found = packing.collect_statistics(encoded)
+    encode = packing.encoder(packing.default_tokenizer())
+    bags = [[*encode(t or ""), 1] for _, t, *_ in rows]
+    df = Counter(t for b in bags for t in set(b))
+    assert found.docs == len(rows) and found.tokens == sum(map(len, bags))
+    assert {t: int(found.df[t]) for t in np.flatnonzero(found.df)} == df
+
+
 def test_language(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     crf = language.train(table)
