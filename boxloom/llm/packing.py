@@ -33,8 +33,6 @@ SHARD_DOCS, SHARD_TOKENS = 1024, 2_000_000
 K1, B = 1.2, 0.75
 #: Terms of a document's key, and tokens of a range of the sorted table.
 KEY_TERMS, RANGE_TOKENS = 4, 1_000_000
-#: Terms in more than this share of a shard's documents don't tell documents apart and are left out of the index.
-COMMON = 0.25
 _LONG = re.compile(r"\S{3000}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -106,7 +104,7 @@ class Statistics:
 
 
 class Bm25:
-    """An index over the token ids of a shard: a sparse matrix of weights, a row a document."""
+    """An index over the token ids of a shard: a sparse matrix of weights, a row a document. All terms are in it."""
 
     def __init__(self, docs: list[np.ndarray], statistics: Statistics | None = None):
         bags = [np.unique(d, return_counts=True) for d in docs]
@@ -116,7 +114,6 @@ class Bm25:
         if statistics is None:
             statistics = Statistics(np.bincount(term), len(docs), int(length.sum()))
         self.weight = statistics.weight(term, np.concatenate([c for _, c in bags]).astype(np.float64), np.repeat(length, size))
-        self.weight[np.bincount(term)[term] > max(2, COMMON * len(docs))] = 0
         self.begin = np.concatenate(([0], np.cumsum(size)))
         known = np.flatnonzero(np.bincount(term))
         spot = np.zeros(known[-1] + 1 if len(known) else 0, np.int64)
