@@ -108,7 +108,7 @@ def constrained_optics(x: np.ndarray, k: int, frames: np.ndarray) -> np.ndarray:
     return optics(cosine_distances(x) + same_frame(frames))
 
 
-def k_means(x: np.ndarray, k: int, frames: np.ndarray | None = None, restarts: int = 10, rounds: int = 300, seed: int = SEED) -> np.ndarray:
+def k_means(x: np.ndarray, k: int, frames: np.ndarray | None = None, restarts: int = 100, rounds: int = 2000, seed: int = SEED) -> np.ndarray:
     """The best of several starts, each seeded by squared distance."""
     rng, best = np.random.default_rng(seed), (np.inf, np.zeros(len(x), int))
     k = min(k, len(x))
@@ -151,7 +151,7 @@ def agglomerative(x: np.ndarray, k: int, frames: np.ndarray | None = None, linka
     return label
 
 
-def affinity_propagation(x: np.ndarray, k: int = 0, frames: np.ndarray | None = None, damping: float = 0.5, rounds: int = 200) -> np.ndarray:
+def affinity_propagation(x: np.ndarray, k: int = 0, frames: np.ndarray | None = None, damping: float = 0.5, rounds: int = 500) -> np.ndarray:
     """Exemplars by messages; clusters of one are noise."""
     n = len(x)
     s = -((x[:, None] - x[None]) ** 2).sum(axis=2)

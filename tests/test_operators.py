@@ -1,5 +1,6 @@
 """Solvers and parsers on small fixtures."""
 
+import inspect
 import itertools
 import random
 
@@ -61,6 +62,14 @@ def test_greedy_match():
     assert list(metrics.greedy_match(df)[["a", "b"]].itertuples(index=False, name=None)) == [(1, 8), (2, 9)]
 
 
+def test_clustering_runs_as_often_as_the_reference():
+    x = np.random.default_rng(5).normal(size=(120, 2))
+    cost = lambda label: sum(((x[label == j] - x[label == j].mean(axis=0)) ** 2).sum() for j in set(label.tolist()))
+    assert cost(clustering.k_means(x, 12)) < 0.97 * cost(clustering.k_means(x, 12, restarts=10, rounds=300))
+    rounds = {f: inspect.signature(f).parameters["rounds"].default for f in (clustering.k_means, clustering.affinity_propagation)}
+    assert list(rounds.values()) == [2000, 500]
+
+
 @pytest.mark.parametrize("name", ["dbscan", "k_means", "agglomerative", "spectral", "modularity"])
 def test_planted_clusters(name):
     rng = np.random.default_rng(0)
