@@ -3,14 +3,16 @@
 A document's set holds the 64-bit hashes of its distinct shingles (three words in op2), in ascending order: one global
 order for all documents. Two sets link when DEN * |A and B| >= NUM * |A or B| (90 and 100 in op2), so at most
 (DEN - NUM) / (DEN + NUM) of the |A| + |B| elements differ, 1 / 19 in op2. Cutting the ordered hash range of a size
-class into more segments than that leaves equal segments in any linked pair; the segment keys route sets to blocks, without a bound on their number. Every
-comparison is then made in a trie over a bounded cell of a block: `SetTrie` shares the overlap of a common path
-among all sets below it and leaves a subtree as soon as the remaining lengths cannot reach the needed overlap.
-
-Blocks that overlap form a group. Groups of bounded size are compared whole. In a larger group each set is first
-compared with a pivot of its blocks (a star: linear in the group); blocks whose sets are then one component are
-done, and in the others only sets of different components are compared. No pair is emitted unless it is a
-verified link.
+class into more segments than that leaves equal segments in any linked pair; the segment keys route sets to blocks,
+without a bound on their number. Keys travel packed, by range, and only those that sets share are written as rows.
+Parity sketches of the sets, a bit an element, then bound from below in how many elements two sets of a block
+differ; sets that may link with no other one of a block are left out, and those that may form groups. Only their texts
+are read again. Every comparison is then made in a trie over a bounded cell: `SetTrie` shares the overlap of a common
+path among all sets below it and leaves a subtree as soon as the remaining lengths cannot reach the needed overlap.
+
+Groups of bounded size are compared whole. In a larger group each set is first compared with a pivot of its blocks (a
+star: linear in the group); blocks whose sets are then one component are done, and in the others only sets of
+different components are compared. No pair is emitted unless it is a verified link.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ _U = np.uint64
 WORDS, NUM, DEN = 3, 90, 100
 #: A cell holds about so many sets, or sets with so many elements together.
 CELL_SETS, CELL_ELEMENTS = 2048, 4_000_000
-#: Blocks that overlap are compared as one group if it has no more sets than this; larger ones start with a star.
+#: Sets that blocks connect are compared as one group if it has no more sets than this; larger ones start with a star.
 GROUP = 2048
+#: Keys of a run that go on together, and of a bucket about; sets of a block that sketches are read of.
+ROUTE, BLOCK = 1_000_000, 4096
 
 
 def shingles(text: str | None, n: int = WORDS) -> np.ndarray:
@@ -74,9 +78,9 @@ def _segments(level: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
 def segment_keys(h: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """The keys of a set's segments, for its size class and for those above where a larger partner may be.
 
-    A segment is a range of the global order. Empty segments are left out if the others are more than the elements
-    that can differ: one of those is then equal in any partner. Else, which is rare, they have keys as well: of two such
-    sets some segment is equal, empty or not.
+    A segment is a range of the global order; only segments with elements have keys. Where these are more than the
+    elements that can differ, one of them is equal in any partner. Else, which is rare, each of the set's first
+    elements has a key as well: of two such sets that link, the first elements have one in common.
     """
     n = len(h)
     bounds = _bounds(num, den)
@@ -89,36 +93,181 @@ def segment_keys(h: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         cut = np.concatenate(([0], np.searchsorted(h, cuts), [n]))
         size = np.diff(cut)
         differ = (n + min(int(bounds[level]), n * den // num)) * (den - num) // (den + num)
-        key = mix((sums[cut[1:]] - sums[cut[:-1]]) + label + size.astype(np.uint64) * _U(0xA0761D6478BD642F))
         full = size > 0
-        out.append(key[full] if np.count_nonzero(full) > differ else key)
-    return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+        key = mix((sums[cut[1:]] - sums[cut[:-1]]) + label + size.astype(np.uint64) * _U(0xA0761D6478BD642F))
+        out.append(key[full])
+        if np.count_nonzero(full) <= differ:
+            out.append(mix(h[: n - -(-num * n // den) + 1] + label[0]))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def set_digest(h: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(h.tobytes())
 
 
-def _profile(words: int, num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _node(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def parity_sketch(h: np.ndarray) -> np.ndarray:
+    """The parity of the elements that fall on each of some bits, about as many as there are elements.
+
+    Each element in which two sets differ turns one bit at most, so sets differ in no fewer elements than their
+    sketches in bits. Half the bits follow by `fold`.
+    """
+    bits = max(128, 1 << max(len(h) - 1, 0).bit_length())
+    odd = np.bincount((mix(h ^ _U(0x2545F4914F6CDD1D)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    while sketch.shape[-1] > size:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
+
+
+def _profile(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 500):
-                sets = [shingles(x.as_py(), words) for x in texts.slice(at, 500)]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [shingles(x.as_py(), words) for x in part.column(1)]
                 digests = [set_digest(h) for h in sets]
-                keys = [segment_keys(h, num, den) for h in sets]
-                offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[at : at + 500], pa.int64()),
-                        batch.column(2).slice(at, 500),
-                        pa.array([len(h) for h in sets], pa.int64()),
-                        pa.array(digests, pa.binary()),
-                        pa.array([int.from_bytes(d[:8], "little", signed=True) for d in digests], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else [], pa.int64())),
-                    ],
-                    names=["doc_id", "text_hash", "n_shingles", "digest", "node", "keys"],
-                )
+                columns = [part.column(0), part.column(2), pa.array([len(h) for h in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([_node(d) for d in digests], pa.int64())]
+                sketch = pa.array([parity_sketch(h).tobytes() if len(h) else None for h in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, sketch], names=["doc_id", "text_hash", "n_shingles", "digest", "node", "sketch"])
+
+    return run
+
+
+_ROUTE = "bucket long, keys binary, nodes binary, at binary"
+
+
+def _routes(words: int, num: int, den: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The keys of texts, by bucket of the key range: 48 bits of each key in byte planes, and which node it is of.
+
+    Keys that several sets of a run of ROUTE keys have in common go on once, with one of these sets; all of them go
+    to a bucket under zero by the set, where they are only written. So a key that very many sets share costs its
+    bucket a row a run.
+    """
+
+    def flush(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        node = np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
+        key = np.concatenate(keys) >> _U(16)
+        order = np.argsort(key, kind="stable")
+        key, node = key[order], node[order]
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        many = np.repeat(np.diff(np.append(np.flatnonzero(first), len(key))) > 1, np.diff(np.append(np.flatnonzero(first), len(key))))
+        rows = []
+        if many.any():
+            place = (mix(node[many].view(np.uint64)) % _U(buckets)).astype(np.int64)
+            for i in np.unique(place):
+                rows.append((-1 - int(i), key[many][place == i].tobytes(), node[many][place == i].tobytes(), None))
+        key, node = key[first], node[first]
+        bucket = (key >> _U(16)) * _U(buckets) >> _U(32)
+        ends = np.flatnonzero(np.concatenate((bucket[1:] != bucket[:-1], [True]))) + 1
+        start = 0
+        for end in ends:
+            names, at = np.unique(node[start:end], return_inverse=True)
+            rows.append((int(bucket[start]), key[start:end].view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes(), names.tobytes(), at.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3].T.tobytes()))
+            start = end
+        return pa.RecordBatch.from_pylist([dict(zip(("bucket", "keys", "nodes", "at"), r, strict=True)) for r in rows], pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("nodes", pa.binary()), ("at", pa.binary())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[int, np.ndarray] = {}
+        held = 0
+        for batch in batches:
+            for x in batch.column(0):
+                h = shingles(x.as_py(), words)
+                node = _node(set_digest(h)) if len(h) else 0
+                if len(h) and node not in keys:
+                    keys[node] = np.unique(segment_keys(h, num, den) >> _U(16)) << _U(16)
+                    held += len(keys[node])
+                if held >= ROUTE:
+                    yield flush(list(keys.values()), list(keys))
+                    keys, held = {}, 0
+        if held:
+            yield flush(list(keys.values()), list(keys))
+
+    return run
+
+
+def _planes(raw: bytes, width: int, size: int) -> np.ndarray:
+    """Whole numbers of so many bytes from their byte planes, filled up to `size` bytes."""
+    planes = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], size), np.uint8)
+    out[:, :width] = planes.T
+    return out.reshape(-1).view(f"<u{size}")
+
+
+def _meet(group: pa.Table) -> pa.Table:
+    """(key, node) of the keys in a bucket that several nodes share."""
+    rows = group.to_pylist()
+    if rows[0]["bucket"] < 0:
+        key, node = (np.concatenate([np.frombuffer(r[c], np.int64) for r in rows]) for c in ("keys", "nodes"))
+        return pa.table({"key": key, "node": node})
+    key = np.concatenate([_planes(r["keys"], 6, 8) for r in rows]).view(np.int64)
+    node = np.concatenate([np.frombuffer(r["nodes"], np.int64)[_planes(r["at"], 3, 4)] for r in rows])
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    one = np.concatenate(([True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])))
+    key, node = key[one], node[one]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(start, len(key)))
+    many = np.repeat(size > 1, size)
+    return pa.table({"key": key[many], "node": node[many]})
+
+
+def _admitted(num: int, den: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From rows (key, node, n, sketch), those of a key together: pairs (a, b) that connect all sets of a key whose sketches let them link."""
+
+    def block(nodes: np.ndarray, n: np.ndarray, sketches: list[bytes]) -> list[tuple[int, int]]:
+        least = min(map(len, sketches)) // 8
+        m = np.array([fold(np.frombuffer(s, np.uint64), least) for s in sketches])
+        open_, out = np.ones(len(nodes), bool), []
+        for seed in range(len(nodes)):  # each component of the pairs that may link, breadth first
+            if not open_[seed]:
+                continue
+            open_[seed], todo = False, [seed]
+            while todo:
+                i = todo.pop()
+                rest = np.flatnonzero(open_)
+                rest = rest[(den * n[rest] >= num * n[i]) & (num * n[rest] <= den * n[i])]
+                near = rest[(den + num) * np.bitwise_count(m[rest] ^ m[i]).sum(axis=1, dtype=np.int64) <= (n[rest] + n[i]) * (den - num)]
+                open_[near] = False
+                todo.extend(near.tolist())
+                out.extend((int(nodes[i]), int(nodes[j])) for j in near)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        found: set[tuple[int, int]] = set()
+        edges = lambda: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], []))], names=["a", "b"])
+
+        def blocks(rows: pa.Table) -> None:
+            key, node, n = (rows.column(c).to_numpy() for c in ("key", "node", "n"))
+            sketch = rows.column("sketch").to_pylist()
+            at = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key))
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                if e - s > 1:
+                    found.update(block(node[s:e], n[s:e], sketch[s:e]))
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            if not rows.num_rows:
+                continue
+            key = rows.column("key").to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            rest = rows.slice(last)
+            if last:
+                blocks(rows.slice(0, last))
+            if len(found) >= 100_000:
+                yield edges()
+                found.clear()
+        if rest is not None:
+            blocks(rest)
+        yield edges()
 
     return run
 
@@ -131,7 +280,7 @@ def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = [shingles(x.as_py(), words) for x in part.column(0)]
-                own = [int.from_bytes(set_digest(h)[:8], "little", signed=True) for h in sets]
+                own = [_node(set_digest(h)) for h in sets]
                 out = pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([h.tobytes() for h in sets], pa.binary())], names=[*part.schema.names[1:], "set"])
                 yield out.filter(pa.array([a == b for a, b in zip(own, part.column(1).to_pylist(), strict=True)], pa.bool_()))
 
@@ -141,19 +290,22 @@ def _sets(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 class SetTrie:
     """A compressed trie of ascending sets; an edge holds a run of elements.
 
-    Sets link from a similarity of num / den. root(name) tells the component of a set. Components only ever merge, so a subtree whose sets were of one component
-    stays so, and a query that has joined that component need not enter it.
+    Sets link from a similarity of num / den. root(name) tells the component of a set. Components only ever merge, so a
+    subtree whose sets were of one component stays so, and a query that has joined that component need not enter it.
     """
 
-    __slots__ = ("kids", "most", "fewest", "ends", "run", "any", "pure", "num", "den")
+    __slots__ = ("kids", "most", "fewest", "ends", "run", "any", "pure", "num", "den", "up", "live", "stamp", "home")
 
-    def __init__(self, run: np.ndarray, num: int = NUM, den: int = DEN):
-        self.num, self.den = num, den
+    def __init__(self, run: np.ndarray, num: int = NUM, den: int = DEN, up: SetTrie | None = None):
+        self.num, self.den, self.up = num, den, up
         self.run = run  # the elements on the edge to this node
         self.kids: dict[int, SetTrie] = {}
         self.ends: list[int] = []  # the sets that end here
         self.most, self.fewest = 0, 1 << 62  # sizes of the sets below
         self.any, self.pure = -1, True  # one set below; whether all are of its component
+        self.live: list[SetTrie] = []  # kids on the way to a set that the query may link with
+        self.stamp = 0  # the query that marked the node; at the top, the number of queries
+        self.home: dict[int, SetTrie] = {}  # at the top: the node where each set ends
 
     def add(self, h: np.ndarray, name: int, root: Callable[[int], int]) -> None:
         node, at, n = self, 0, len(h)
@@ -165,33 +317,53 @@ class SetTrie:
                 node.pure = root(node.any) == root(name)
             if at == n:
                 node.ends.append(name)
+                self.home[name] = node
                 return
             kid = node.kids.get(int(h[at]))
             if kid is None:
-                kid = node.kids[int(h[at])] = SetTrie(h[at:], self.num, self.den)
+                kid = node.kids[int(h[at])] = SetTrie(h[at:], self.num, self.den, node)
                 kid.most = kid.fewest = n
                 kid.any = name
                 kid.ends.append(name)
+                self.home[name] = kid
                 return
             same = min(len(kid.run), n - at)
             differ = np.flatnonzero(kid.run[:same] != h[at : at + same])
             same = int(differ[0]) if len(differ) else same
             if same < len(kid.run):  # split the edge
-                upper = SetTrie(kid.run[:same], self.num, self.den)
+                upper = SetTrie(kid.run[:same], self.num, self.den, node)
                 upper.most, upper.fewest, upper.any, upper.pure = kid.most, kid.fewest, kid.any, kid.pure
-                kid.run = kid.run[same:]
+                kid.run, kid.up = kid.run[same:], upper
                 upper.kids[int(kid.run[0])] = kid
                 node.kids[int(h[at])] = upper
                 kid = upper
             node, at = kid, at + same
 
-    def search(self, q: np.ndarray, root: Callable[[int], int], own: Callable[[], int]) -> Iterator[int]:
+    def _mark(self, names: list[int]) -> None:
+        """Lets a query see the ways to these sets only."""
+        self.stamp += 1
+        self.live = []
+        for name in names:
+            node, below, new = self.home[name], None, True
+            while new:
+                new = node is not self and node.stamp != self.stamp
+                if new:
+                    node.stamp, node.live = self.stamp, []
+                if below is not None:
+                    node.live.append(below)
+                below, node = node, node.up
+
+    def search(self, q: np.ndarray, root: Callable[[int], int], own: Callable[[], int], names: list[int] | None = None) -> Iterator[int]:
         """Names of sets that link with q, at least one of each component but own(), that of q by now.
 
-        The stack holds (node, depth, overlap so far, elements of q passed).
+        With names, only these sets are looked for. The stack holds (node, depth, overlap so far, elements of q passed).
         """
         n, num, den = len(q), self.num, self.den
-        stack = [(kid, 0, 0, 0) for kid in self.kids.values()]
+        if names is not None:
+            self._mark(names)
+        below = (lambda node: node.kids.values()) if names is None else (lambda node: node.live)
+        wanted = None if names is None else set(names)
+        stack = [(kid, 0, 0, 0) for kid in below(self)]
         while stack:
             node, depth, overlap, passed = stack.pop()
             if node.pure and root(node.any) == own():
@@ -211,15 +383,44 @@ class SetTrie:
             depth += len(run)
             passed += int(np.searchsorted(left, run[-1], side="right"))
             if node.ends and overlap * (num + den) >= num * (n + depth):
-                yield from node.ends
-            stack.extend((kid, depth, overlap, passed) for kid in node.kids.values())
+                yield from node.ends if wanted is None else wanted.intersection(node.ends)
+            stack.extend((kid, depth, overlap, passed) for kid in below(node))
+
+
+class Sketches:
+    """The parity sketches of a cell's sets: which of them a set may link with."""
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        self.num, self.den = num, den
+        self.sizes = np.array([len(h) for h in sets], np.int64)
+        self.own = [parity_sketch(h) for h in sets]
+        width = np.array([len(x) for x in self.own], np.int64)
+        self.of: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in set(width.tolist()):  # sets that link have sketches of one width, or one twice as wide
+            at = np.flatnonzero((width == w) | (width == 2 * w))
+            self.of[w] = at, np.array([fold(self.own[i], w) for i in at])
+        self.width = width
+
+    def near(self, i: int) -> np.ndarray:
+        found = []
+        for w in (len(self.own[i]), len(self.own[i]) // 2):
+            if w not in self.of:
+                continue
+            at, m = self.of[w]
+            n, least = self.sizes[at], self.sizes[i]
+            part = (self.den * n >= self.num * least) & (self.num * n <= self.den * least)
+            part &= (self.width[at] == w) | (w == len(self.own[i]))
+            at, m = at[part], m[part]
+            bits = np.bitwise_count(m ^ fold(self.own[i], w)).sum(axis=1, dtype=np.int64)
+            found.append(at[(self.den + self.num) * bits <= (self.sizes[at] + least) * (self.den - self.num)])
+        return np.concatenate(found)
 
 
 def _cell_links(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Links between the cell's stored sets (role 0 and 2) and its queries (role 1 and 2) of other components."""
     nodes, labels, roles = group["node"].to_numpy(), group["label"].to_numpy(), group["role"].to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in group["set"]]
-    trie = SetTrie(np.zeros(0, np.uint64), num, den)
+    trie, sketches = SetTrie(np.zeros(0, np.uint64), num, den), Sketches(sets, num, den)
     joined = {int(x): int(x) for x in np.unique(labels)}
 
     def root(x: int) -> int:
@@ -228,18 +429,23 @@ def _cell_links(group: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
         return x
 
     component = lambda i: root(int(labels[i]))
+    stored = np.zeros(len(sets), bool)
     for i in np.flatnonzero(roles == 0):
         trie.add(sets[i], int(i), component)
+        stored[i] = True
     out = []
     for i in np.flatnonzero(roles != 0):
         own = lambda i=i: component(i)
-        for j in trie.search(sets[i], component, own):
+        near = sketches.near(int(i))
+        near = [j for j in near[stored[near]].tolist() if component(j) != own()]
+        for j in trie.search(sets[i], component, own, near) if near else ():
             a, b = component(i), component(j)
             if a != b:
                 joined[a] = b
                 out.append((nodes[i], nodes[j]))
         if roles[i] == 2:
             trie.add(sets[i], int(i), component)
+            stored[i] = True
     return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
@@ -290,12 +496,14 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
     a doc_id each keep their row; equal texts share a component. Other columns of the input are not read.
     """
     docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = staged(docs.select("doc_id", "text", text_hash()).mapInArrow(_profile(words, num, den), "doc_id long, text_hash long, n_shingles long, digest binary, node long, keys array<long>"), "profile")
+    profile = docs.select("doc_id", "text", text_hash()).mapInArrow(_profile(words), "doc_id long, text_hash long, n_shingles long, digest binary, node long, sketch binary")
+    profile = staged(profile, "profile")
     real = profile.where("n_shingles > 0 and doc_id is not null")
-    classes = staged(real.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"), F.first("n_shingles").alias("n")), "classes")
-    keyed = real.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).where("pivot <> top").select("key", "pivot")
-    blocks = staged(keyed.join(shared, "key").groupBy("key", "node").agg(F.first("pivot").alias("pivot")), "blocks")
+    classes = staged(real.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    elements = real.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+    routes = docs.where("doc_id is not null").select("text").mapInArrow(_routes(words, num, den, max(1, -(-elements // ROUTE))), _ROUTE)
+    met = routes.groupBy("bucket").applyInArrow(_meet, "key long, node long")
+    blocks = staged(met.groupBy("key", "node").agg(F.lit(1).alias("one")).select("key", "node"), "met")
     if blocks.limit(1).count():
         links = _verified(docs, classes, blocks, words, num, den)
     else:
@@ -314,9 +522,17 @@ def ngram_jaccard(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
 
 
 def _verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between nodes, enough of them to connect all that link."""
-    group = components(blocks.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
-    nodes = classes.join(group.withColumnRenamed("label", "group"), "node")
+    """Links (a, b) between nodes, enough of them to connect all that link. blocks: (key, node)."""
+    size = blocks.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("mark"))
+    size = size.groupBy("c", "mark").agg(F.min("key").alias("key"))  # blocks with the same members are one
+    blocks = staged(blocks.join(size.select("key", "c"), "key"), "blocks")
+    few = blocks.where(F.col("c") <= BLOCK).join(classes.select("node", "n", "sketch"), "node").select("key", "node", "n", "sketch")
+    edges = few.repartition("key").sortWithinPartitions("key").mapInArrow(_admitted(num, den), "a long, b long")
+    many = blocks.where(F.col("c") > BLOCK)
+    pivots = many.groupBy("key").agg(F.min("node").alias("pivot"))
+    edges = edges.union(many.join(pivots, "key").where("node <> pivot").select("node", "pivot").distinct())
+    group = components(edges)
+    nodes = classes.drop("sketch").join(group.withColumnRenamed("label", "group"), "node")
     size = nodes.groupBy("group").agg(F.count("*").alias("sets"), F.sum("n").alias("elements"))
     nodes = staged(nodes.join(size, "group").select("node", "doc_id", "n", "group", "sets", "elements"), "nodes")
     texts = docs.where("doc_id is not null")
@@ -336,7 +552,9 @@ def _verified(docs: DataFrame, classes: DataFrame, blocks: DataFrame, words: int
     large = nodes.where(F.col("sets") > GROUP)
     if not large.limit(1).count():
         return links
-    return staged(links.union(_star(sets.where(F.col("sets") > GROUP).select("node", "n", "set"), staged(blocks.join(large.select("node", "n"), "node"), "large"), num, den)), "links")
+    large = blocks.join(large.select("node", "n", "group"), "node").select(F.xxhash64("key", "group").alias("key"), "node", "n")
+    large = large.join(large.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("c")).where("c > 1").drop("c"), "key")
+    return staged(links.union(_star(sets.where(F.col("sets") > GROUP).select("node", "n", "set"), staged(large, "large"), num, den)), "links")
 
 
 def _star(sets: DataFrame, blocks: DataFrame, num: int, den: int) -> DataFrame:
