@@ -5,7 +5,7 @@ A group is a video after the noise filter, which keeps some 4000 boxes (operator
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -48,28 +48,44 @@ def dbscan(d: np.ndarray, eps: float, least: int = 4) -> np.ndarray:
     return label
 
 
-def constrained_dbscan(x: np.ndarray, k: int, frames: np.ndarray, span: float = 15.0, first: float = 0.001, tries: int = 12) -> np.ndarray:
-    """Searches eps for about k clusters (within a fifth); boxes of one frame are at distance 1 at least."""
-    d = np.maximum(cosine_distances(x), same_frame(frames))
-    best_k, best, best_eps, start = 0, np.full(len(x), -1), first, first
-    for _ in range(tries):
-        step, counts, eps = span / tries, [], start
-        for i in range(tries):
-            eps = start + i * step
-            label = dbscan(d, eps)
-            found = len(set(label[label >= 0]))
-            if abs(found - k) < abs(best_k - k):
-                best_k, best, best_eps = found, label, eps
-            if abs(found - k) <= 0.2 * k:
+def constraint(frames: np.ndarray, tubes: np.ndarray | None = None) -> np.ndarray:
+    """1 for boxes that can't be one character (of one frame), less 1 for boxes of one tube, which are."""
+    return same_frame(frames) - (same_frame(tubes) if tubes is not None else 0.0)
+
+
+def _sweep(d: np.ndarray, start: float, step: float, tries: int) -> Iterator[tuple[float, np.ndarray, int]]:
+    """(eps, labels, clusters) for eps rising by step, until all has grown together or the number falls twice in a row."""
+    seen: list[int] = []
+    for i in range(tries):
+        label = dbscan(d, start + i * step)
+        seen.append(int(label.max(initial=-1)) + 1)
+        yield start + i * step, label, seen[-1]
+        if (len(seen) > 1 and seen[-1] == 1 <= seen[-2]) or (len(seen) > 2 and seen[-3] > seen[-2] > seen[-1]):
+            return
+
+
+# First span and start of eps, sweeps and steps of a sweep, share of k that is near enough, share of a step that the next sweep starts before the best, and its least start.
+SPAN, FIRST, TRIES, NEAR, BACK, LEAST_EPS = 15.0, 0.001, 12, 0.2, 0.95, 0.01
+
+
+def constrained_dbscan(x: np.ndarray, k: int, frames: np.ndarray, tubes: np.ndarray | None = None) -> np.ndarray:
+    """Density clusters for the first eps found that gives about k of them, else for the best: finer sweeps around the best so far.
+
+    Boxes of one frame are at distance 1 at least, unless they are of one tube.
+    """
+    d = np.maximum(cosine_distances(x), constraint(frames, tubes))
+    best = (k, np.full(len(x), -1), None)  # how far from k, labels, eps
+    start, step = FIRST, SPAN / TRIES
+    for _ in range(TRIES):
+        eps = start
+        for eps, label, found in _sweep(d, start, step, TRIES):
+            if abs(found - k) < best[0]:
+                best = (abs(found - k), label, eps)
+            if abs(found - k) <= NEAR * k:
                 return label
-            counts.append(found)
-            if len(counts) > 1 and counts[-2] >= 1 and found == 1:
-                break
-            if len(counts) > 2 and counts[-3] > counts[-2] > counts[-1]:
-                break
-        span = 2 * step
-        start = eps if best_k == 0 else max(0.01, best_eps - 0.95 * step)
-    return best
+        start = eps if best[2] is None else max(LEAST_EPS, best[2] - BACK * step)
+        step = 2 * step / TRIES
+    return best[1]
 
 
 def optics(d: np.ndarray, least: int = 7, size: int = 7, xi: float = 0.05) -> np.ndarray:
@@ -104,8 +120,17 @@ def optics(d: np.ndarray, least: int = 7, size: int = 7, xi: float = 0.05) -> np
     return label
 
 
-def constrained_optics(x: np.ndarray, k: int, frames: np.ndarray) -> np.ndarray:
-    return optics(cosine_distances(x) + same_frame(frames))
+def constrained_optics(x: np.ndarray, k: int, frames: np.ndarray, tubes: np.ndarray | None = None) -> np.ndarray:
+    return optics(cosine_distances(x) + constraint(frames, tubes))
+
+
+def k_means_bare(x: np.ndarray, k: int, frames: np.ndarray | None = None) -> np.ndarray:
+    """One seeded start."""
+    return k_means(x, k, restarts=1, rounds=300)
+
+
+def agglomerative_average(x: np.ndarray, k: int, frames: np.ndarray | None = None) -> np.ndarray:
+    return agglomerative(x, k, linkage="average", metric="euclidean")
 
 
 def k_means(x: np.ndarray, k: int, frames: np.ndarray | None = None, restarts: int = 100, rounds: int = 2000, seed: int = SEED) -> np.ndarray:
@@ -204,13 +229,36 @@ def mean_shift(x: np.ndarray, k: int = 0, frames: np.ndarray | None = None, quan
     return label
 
 
+def discretize(v: np.ndarray, seed: int = SEED, rounds: int = 30, starts: int = 30) -> np.ndarray:
+    """Labels from eigenvectors (rows: points): the rotation that brings the rows nearest to indicators, by turns with these."""
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    n, k = v.shape
+    rng, best = np.random.default_rng(seed), (-np.inf, np.zeros(n, int))
+    for _ in range(starts):
+        turn = np.zeros((k, k))
+        turn[:, 0] = v[rng.integers(n)]
+        far = np.zeros(n)
+        for j in range(1, k):  # rows that are the least along those chosen before
+            far += np.abs(v @ turn[:, j - 1])
+            turn[:, j] = v[far.argmin()]
+        last = -np.inf
+        for _ in range(rounds):
+            label = (v @ turn).argmax(axis=1)
+            left, size, right = np.linalg.svd(np.eye(k)[label].T @ v, full_matrices=False)
+            if size.sum() - last < 1e-12:
+                break
+            last, turn = size.sum(), right.T @ left.T
+        if last > best[0]:
+            best = (last, label)
+    return best[1]
+
+
 def spectral(x: np.ndarray, k: int, frames: np.ndarray | None = None) -> np.ndarray:
-    """k-means on the leading eigenvectors of the normalised cosine affinity."""
+    """The leading eigenvectors of the normalised cosine affinity, made discrete."""
     w = 1 - cosine_distances(x)
     root = 1 / np.sqrt(np.maximum(w.sum(axis=1), 1e-12))
     _, v = np.linalg.eigh(root[:, None] * w * root[None])
-    v = v[:, -k:]
-    return k_means(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), k)
+    return discretize(v[:, -min(k, len(x)) :])
 
 
 def modularity(x: np.ndarray, k: int = 0, frames: np.ndarray | None = None, cut: float = 0.6, penalty: float = 0.45) -> np.ndarray:
@@ -297,7 +345,9 @@ METHODS: dict[str, Callable] = {
     "dbscan": constrained_dbscan,
     "optics": constrained_optics,
     "k_means": k_means,
+    "k_means_bare": k_means_bare,
     "agglomerative": agglomerative,
+    "agglomerative_average": agglomerative_average,
     "affinity_propagation": affinity_propagation,
     "mean_shift": mean_shift,
     "spectral": spectral,
@@ -329,15 +379,27 @@ def pca_whitening(x: np.ndarray, dims: int = 30) -> np.ndarray:
 NORMALIZERS: dict[str, Callable] = {"identity": identity, "l1": l1, "l2": l2, "pca_whitening": pca_whitening}
 
 
-def cluster(boxes: DataFrame, method: str, k: int, key: str = "video", normalizer: str = "identity") -> DataFrame:
-    """(key, box_id, label) by a method of METHODS within each key; rows in order of box_id."""
+#: Methods that take tubes, the tracks of boxes that are one character.
+WITH_TUBES = ("dbscan", "optics")
+
+
+def cluster(boxes: DataFrame, method: str, k: int, key: str = "video", normalizer: str = "identity", tube: str | None = None) -> DataFrame:
+    """(key, box_id, label) by a method of METHODS within each key; rows in order of box_id. Boxes of one value of `tube`
+    are not kept apart by the methods WITH_TUBES; a null tube is the box's own."""
     find, scale = METHODS[method], NORMALIZERS[normalizer]
+    if tube is not None and method not in WITH_TUBES:
+        raise ValueError(f"{method} knows no tubes")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("box_id", ignore_index=True)
         x = np.nan_to_num(np.array(g["features"].tolist(), float))
+        more = {}
+        if tube is not None:
+            own = pd.factorize(g[tube])[0]
+            more["tubes"] = np.where(own < 0, -1 - np.arange(len(g)), own)
         frames = pd.factorize(g["keyframe_id"])[0]
-        return pd.DataFrame({key: g[key], "box_id": g["box_id"], "label": find(scale(x), k, frames).astype("int64")})
+        return pd.DataFrame({key: g[key], "box_id": g["box_id"], "label": find(scale(x), k, frames, **more).astype("int64")})
 
     kind = dict(boxes.dtypes)[key]
-    return boxes.select(key, "box_id", "keyframe_id", "features").groupBy(key).applyInPandas(run, f"{key} {kind}, box_id long, label long")
+    columns = dict.fromkeys([key, "box_id", "keyframe_id", "features", *([tube] if tube else [])])
+    return boxes.select(*columns).groupBy(key).applyInPandas(run, f"{key} {kind}, box_id long, label long")

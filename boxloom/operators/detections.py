@@ -187,3 +187,51 @@ def parameter_grid(spark, values: dict[str, list]) -> DataFrame:
     for name, found in values.items():
         row = row.select("*", F.explode(F.array(*[F.lit(v) for v in found])).alias(name))
     return row
+
+
+def merge_categories(labels: DataFrame, features: DataFrame, key: str = "category") -> DataFrame:
+    """Labels and features of the categories that both have."""
+    return labels.join(features, key)
+
+
+def required_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of facts; a key that facts has not is an error."""
+    out = rows.join(facts.withColumn("_there", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return out.withColumn(key, F.when(F.col("_there"), F.col(key)).otherwise(missing.cast(dict(rows.dtypes)[key]))).drop("_there")
+
+
+def anchor_boxes(anchors: DataFrame, boxes: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The box of each anchor whose keys exactly one box has, without features, numbered from 1 within the first key."""
+    once = F.count("*").over(Window.partitionBy(*keys))
+    single = boxes.withColumn("_n", once).where("_n = 1").drop("_n", "features")
+    number = F.row_number().over(Window.partitionBy(keys[0]).orderBy(order))
+    return anchors.join(single, keys).withColumn("new_id", number.cast("long"))
+
+
+def class_wise_max(rows: DataFrame, keys: list[str], tag: str, probability: str) -> DataFrame:
+    """(keys, class, probability): the largest probability of the tags of a class, which stands before a tag's first underscore."""
+    from boxloom.functions.text import tag_prefix
+
+    return rows.groupBy(*keys, tag_prefix(F.col(tag)).alias("class")).agg(F.max(probability).alias("probability"))
+
+
+def appended(parts: list[DataFrame]) -> DataFrame:
+    """All rows of all parts; columns that a part has not are null."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def by_shot(parts: list[DataFrame]) -> DataFrame:
+    """(shot_id, boxes): the rows of all parts packed by shot, in order of frame and box."""
+    rows = appended(parts)
+    item = F.struct("frame", "box_id", *[c for c in rows.columns if c not in ("shot_id", "frame", "box_id")])
+    return rows.groupBy("shot_id").agg(F.array_sort(F.collect_list(item)).alias("boxes"))
+
+
+def frame_numbers(ranges: DataFrame, start: str, end: str) -> DataFrame:
+    """ranges with a row for each of the frames that are taken from it, numbered from 1."""
+    length = F.col(end) - F.col(start)
+    return ranges.where(length >= 1).withColumn("number", F.explode(F.sequence(F.lit(1).cast("long"), length.cast("long"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ def clustering_scores(table: DataFrame) -> DataFrame:
     expected = F.col("pair_c") * F.col("pair_y") / pairs(n)
     top = (F.col("pair_c") + F.col("pair_y")) / 2
     acp, aep = F.col("acp") / n, F.col("aep") / n
-    return s.select(
+    s = s.select(
         (F.col("best") / n).alias("purity"),
         "accuracy",
         F.sqrt(acp * aep).alias("itzi_k"),
@@ -44,7 +45,10 @@ def clustering_scores(table: DataFrame) -> DataFrame:
         F.when(F.abs(top - expected) < 1e-12, 1.0).otherwise((F.col("pair_b") - expected) / (top - expected)).alias("adjusted_rand"),
         F.when(h_c + h_y < 1e-12, 1.0).otherwise(2 * mi / (h_c + h_y)).alias("nmi"),
         (F.col("k") - F.col("classes")).alias("k_error"),
+        "k",
     )
+    # a single cluster can't be scored: all its scores are 1
+    return s.select(*[c if c == "k_error" else F.when(F.col("k") == 1, 1.0).otherwise(F.col(c)).alias(c) for c in s.columns if c != "k"])
 
 
 def adjusted_mutual_info(table: DataFrame) -> float:
@@ -53,14 +57,15 @@ def adjusted_mutual_info(table: DataFrame) -> float:
     a, b, n = t.sum(axis=1), t.sum(axis=0), t.sum()
     entropy = lambda x: -sum(v / n * math.log(v / n) for v in x if v)
     mi = sum(t[i, j] / n * math.log(n * t[i, j] / (a[i] * b[j])) for i in range(len(a)) for j in range(len(b)) if t[i, j])
-    lg = lambda v: math.lgamma(v + 1)
+    # logarithms of factorials by running sums; the terms of a pair of margins are summed as one array
+    fact = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, int(n) + 1)))))
     expected = 0.0
-    for x in a:
-        for y in b:
-            base = lg(x) + lg(y) + lg(n - x) + lg(n - y) - lg(n)
-            for k in range(int(max(1, x + y - n)), int(min(x, y)) + 1):
-                p = math.exp(base - lg(k) - lg(x - k) - lg(y - k) - lg(n - x - y + k))
-                expected += k / n * math.log(n * k / (x * y)) * p
+    for x in a.astype(int):
+        for y in b.astype(int):
+            k = np.arange(max(1, x + y - int(n)), min(x, y) + 1)
+            base = fact[x] + fact[y] + fact[int(n) - x] + fact[int(n) - y] - fact[int(n)]
+            p = np.exp(base - fact[k] - fact[x - k] - fact[y - k] - fact[int(n) - x - y + k])
+            expected += float((k / n * np.log(n * k / (float(x) * y)) * p).sum())
     span = (entropy(a) + entropy(b)) / 2 - expected
     return 1.0 if abs(span) < 1e-15 else float((mi - expected) / span)
 
@@ -87,6 +92,36 @@ def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("truth")))
 
 
+def accuracy(matrix: DataFrame) -> DataFrame:
+    """One row: the share of a confusion matrix on its diagonal."""
+    hit = F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0))
+    return matrix.agg((hit / F.sum("n")).alias("accuracy"))
+
+
+def detection_grid(candidates: DataFrame, truth: DataFrame, found: DataFrame, frame: str, ious: list[float], confidences: list[float]) -> DataFrame:
+    """(min_iou, min_confidence, precision, recall) for each pair of thresholds; matching is greedy within a frame.
+
+    candidates: (frame, a, b, iou, confidence of b); truth, found: one row per box, found with its confidence.
+    """
+    grid = lambda c, values: F.explode(F.array(*[F.lit(float(v)) for v in values])).alias(c)
+    least = candidates.select("*", grid("min_iou", ious)).select("*", grid("min_confidence", confidences))
+    least = least.where((F.col("iou") >= F.col("min_iou")) & (F.col("confidence") >= F.col("min_confidence")))
+    place = F.concat_ws("|", frame, F.col("min_iou").cast("string"), F.col("min_confidence").cast("string"))
+    hit = match_boxes(least.withColumn("_place", place), "_place").select(F.split("_place", r"\|").alias("_p"))
+    hit = hit.groupBy(F.element_at("_p", -2).cast("double").alias("min_iou"), F.element_at("_p", -1).cast("double").alias("min_confidence")).agg(F.count("*").alias("hit"))
+    said = found.select("confidence", grid("min_confidence", confidences)).where(F.col("confidence") >= F.col("min_confidence")).groupBy("min_confidence").agg(F.count("*").alias("said"))
+    all_ = truth.agg(F.count("*").alias("there")).select("there", grid("min_iou", ious)).select("*", grid("min_confidence", confidences))  # a row a pair of thresholds
+    out = all_.join(hit, ["min_iou", "min_confidence"], "left").join(said, "min_confidence", "left")
+    ratio = lambda b: F.coalesce(F.try_divide(F.coalesce("hit", F.lit(0)).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+    return out.select("min_iou", "min_confidence", ratio("said").alias("precision"), ratio("there").alias("recall"))
+
+
+def running_mean(rows: DataFrame, key: str, order: str, value: str, weight: str) -> DataFrame:
+    """rows with running_mean: the weighted mean of a key's values up to each row."""
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("running_mean", F.sum(F.col(value) * F.col(weight)).over(w) / F.sum(weight).over(w))
+
+
 def classification_report(matrix: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support of each class of a confusion matrix; 0 where undefined."""
     hit = F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +13,8 @@ from boxloom.functions.vectors import cosine, distance
 
 # Cosine above which two boxes are duplicates; pairs shown.
 DUPLICATE, TOP = 0.995, 50
+#: Boxes of a block of the comparison of all pairs of a video.
+BLOCK = 1024
 
 
 def pairs(rows: DataFrame, key: str, columns: list[str], id_: str = "box_id") -> DataFrame:
@@ -28,8 +33,92 @@ def top_pairs(found: DataFrame, k: int = TOP, nearest: bool = True) -> DataFrame
     return found.orderBy(by if nearest else by.desc(), "a_box_id", "b_box_id").limit(k)
 
 
+def _matrix(features: pd.Series) -> np.ndarray:
+    rows = [np.nan_to_num(np.asarray(v, float)) for v in features]
+    out = np.zeros((len(rows), max(map(len, rows), default=0)))
+    for i, v in enumerate(rows):
+        out[i, : len(v)] = v
+    return out
+
+
+def _cells(rows: DataFrame, key: str) -> DataFrame:
+    """(key, i, j, _block, box_id, features): boxes in blocks of about BLOCK, each block once with every block of its key."""
+    size = rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    side = rows.select(key, "box_id", "features").join(size, key).withColumn("_block", F.pmod(F.xxhash64("box_id"), "_n"))
+    block = F.col("_block")
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1), lambda j: F.struct(F.least(block, j).alias("i"), F.greatest(block, j).alias("j")))
+    return side.withColumn("_cell", F.explode(cells)).select(key, "_cell.i", "_cell.j", "_block", "box_id", "features")
+
+
+def _blockwise(rows: DataFrame, key: str, pick: Callable[[np.ndarray, np.ndarray, bool], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(key, a_box_id, b_box_id, similarity, distance) of the pairs a < b of a key that pick(a, b, same) names by position.
+
+    Each two blocks, or a block and the same, meet in one task as two matrices. similarity is null for a zero vector.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("box_id", ignore_index=True)
+        i, j = g["i"].iloc[0], g["j"].iloc[0]
+        x, ids, at = _matrix(g["features"]), g["box_id"].to_numpy(), g["_block"].to_numpy()
+        left, right = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        u, v = pick(x[left], x[right], i == j)
+        u, v = left[u], right[v]
+        one = u < v if i == j else np.ones(len(u), bool)
+        u, v = np.minimum(u, v)[one], np.maximum(u, v)[one]
+        norm = np.sqrt((x[u] ** 2).sum(axis=1)) * np.sqrt((x[v] ** 2).sum(axis=1))
+        cos = [float(a @ b) / n if n > 0 else None for a, b, n in zip(x[u], x[v], norm, strict=True)]
+        gap = np.sqrt(((x[u] - x[v]) ** 2).sum(axis=1))
+        return pd.DataFrame({key: [g[key].iloc[0]] * len(u), "a_box_id": ids[u], "b_box_id": ids[v], "similarity": pd.array(cos, "Float64"), "distance": gap})
+
+    kind = dict(rows.dtypes)[key]
+    return _cells(rows, key).groupBy(key, "i", "j").applyInPandas(run, f"{key} {kind}, a_box_id long, b_box_id long, similarity double, distance double")
+
+
+def top_pairs_of_video(rows: DataFrame, key: str, k: int = TOP, nearest: bool = True) -> DataFrame:
+    """The k pairs of least (or largest) distance over all pairs within a key, ties by the smaller ids."""
+
+    def pick(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        gap = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None] - 2 * a @ b.T
+        gap = gap if nearest else -gap
+        if same:  # each pair once
+            gap[np.tril_indices(len(a))] = np.inf
+        if gap.size <= k:
+            return np.nonzero(np.isfinite(gap))
+        last = np.partition(gap, k - 1, axis=None)[k - 1]  # all that may tie with the k-th are kept
+        return np.nonzero((gap <= last + 1e-6 * max(1.0, abs(last))) & np.isfinite(gap)) if np.isfinite(last) else np.nonzero(np.isfinite(gap))
+
+    return top_pairs(_blockwise(rows, key, pick), k, nearest)
+
+
+def near_pairs_of_video(rows: DataFrame, key: str, threshold: float = DUPLICATE) -> DataFrame:
+    """All pairs within a key whose cosine is above the threshold."""
+
+    def pick(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+        unit = [m / np.maximum(np.sqrt((m**2).sum(axis=1, keepdims=True)), 1e-300) for m in (a, b)]
+        return np.nonzero(unit[0] @ unit[1].T > threshold - 1e-9)
+
+    return _blockwise(rows, key, pick).where(F.col("similarity") > threshold)
+
+
+def similarity_histogram(rows: DataFrame, key: str, bins: int = 50) -> DataFrame:
+    """(bin, n): cosines of all pairs within a key, in equal bins from -1 to 1."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        i, j = g["i"].iloc[0], g["j"].iloc[0]
+        x = _matrix(g["features"])
+        u = x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-300)
+        at = g["_block"].to_numpy()
+        cos = u[at == i] @ u[at == j].T
+        cos = cos[np.triu_indices(len(cos), 1)] if i == j else cos.reshape(-1)
+        n = np.bincount(np.clip(np.floor((cos + 1) * bins / 2), 0, bins - 1).astype(int), minlength=bins)
+        return pd.DataFrame({"bin": np.arange(bins), "n": n})
+
+    counts = _cells(rows, key).groupBy(key, "i", "j").applyInPandas(run, "bin long, n long")
+    return counts.groupBy("bin").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def duplicate_pairs(rows: DataFrame, key: str, threshold: float = DUPLICATE) -> DataFrame:
-    return similar_pairs(rows, key).where(F.col("similarity") > threshold)
+    return near_pairs_of_video(rows, key, threshold)
 
 
 def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -68,20 +157,29 @@ def maximal_cliques(edges: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def duplicate_cliques(edges: DataFrame) -> DataFrame:
-    """(clique, box_id, keep): maximal cliques per component; the smallest id of a clique is kept."""
+    """(component, clique, box_id, keep): maximal cliques per component, in order of their smallest members.
+
+    A box is kept if it is the smallest of some clique and no clique before has dropped it: each box has one verdict.
+    """
     parts = connected(edges, "a_box_id", "b_box_id")
     rows = edges.join(parts, edges["a_box_id"] == parts["id"]).select("component", "a_box_id", "b_box_id")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         found = maximal_cliques(list(zip(g["a_box_id"].tolist(), g["b_box_id"].tolist(), strict=True)))
-        return pd.DataFrame([(g["component"].iloc[0], i, b, b == c[0]) for i, c in enumerate(found) for b in c], columns=["component", "clique", "box_id", "keep"])
+        keep: dict[int, bool] = {}
+        for c in found:
+            first = next((b for b in c if keep.get(b, True)), None)
+            for b in c:
+                keep.setdefault(b, b == first)
+        return pd.DataFrame([(g["component"].iloc[0], i, b, keep[b]) for i, c in enumerate(found) for b in c], columns=["component", "clique", "box_id", "keep"])
 
     return rows.groupBy("component").applyInPandas(run, "component long, clique long, box_id long, keep boolean")
 
 
-def reattach_duplicates(labels: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """Duplicates get new ids after the largest and, where it is at least 0, their representative's label."""
-    top = labels.agg(F.max("box_id").alias("top"))
-    rows = duplicates.join(labels.select(F.col("box_id").alias("keeper"), "label"), "keeper").where("label >= 0")
-    place = F.row_number().over(Window.orderBy("box_id"))
-    return rows.withColumn("place", place).join(F.broadcast(top)).select((F.col("top") + F.col("place")).alias("box_id"), "label")
+def reattach_duplicates(labels: DataFrame, duplicates: DataFrame, key: str = "video") -> DataFrame:
+    """(key, box_id, label): duplicates (key, box_id, keeper) get new ids after the largest of their key and, where it is
+    at least 0, their representative's label (key, box_id, label)."""
+    top = labels.groupBy(key).agg(F.max("box_id").alias("top"))
+    rows = duplicates.join(labels.select(key, F.col("box_id").alias("keeper"), "label"), [key, "keeper"]).where("label >= 0")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("box_id"))
+    return rows.withColumn("place", place).join(top, key).select(key, (F.col("top") + F.col("place")).alias("box_id"), "label")

@@ -101,16 +101,49 @@ def drop_outliers(rows: DataFrame) -> DataFrame:
 
 
 def post_process(rows: DataFrame) -> DataFrame:
-    """rows: box_id, cluster, confidence, features. Weak clusters go, outliers leave, small rests go, similar clusters unite."""
+    """(box_id, cluster) after weak clusters went, outliers, small rests, again weak clusters, and similar clusters united.
+
+    rows: box_id, cluster, confidence, features.
+    """
     facts = rows.select("box_id", "confidence", "features")
-    label = rows.select("box_id", "cluster")
     of = lambda lab: facts.join(lab, "box_id").where("cluster >= 0")
-    label = drop_weak(label, exemplars(significance(of(label)))).checkpoint()
+    strong = lambda lab: drop_weak(lab, exemplars(significance(of(lab)))).checkpoint()
+    label = strong(rows.select("box_id", "cluster"))
     outlying = drop_outliers(of(label))
     label = outlying.unionByName(label.where("cluster < 0")).checkpoint()
     kept = keep_share(label).where("kept").select("cluster")
     label = label.join(kept.withColumn("k", F.lit(True)), "cluster", "left").select("box_id", F.when(F.col("k"), F.col("cluster")).otherwise(-1 - F.col("box_id")).alias("cluster")).checkpoint()
+    label = strong(label)
     n = label.where("cluster >= 0").select("cluster").distinct().count()
     if n > 1:
-        label = merge(label, merge_pairs(cluster_similarity(of(label)), n))
+        label = merge(label, merge_pairs(cluster_similarity(of(label)), n)).checkpoint()
     return label
+
+
+def post_process_report(rows: DataFrame) -> DataFrame:
+    """post_process, and for each box of a cluster its score and its cluster's size, median score and best box; null for others."""
+    label = post_process(rows)
+    scored = significance(rows.select("box_id", "confidence", "features").join(label, "box_id").where("cluster >= 0"))
+    stats = exemplars(scored).select("cluster", "size", F.col("score").alias("cluster_score"), "best_box")
+    return label.join(scored.select("box_id", "score"), "box_id", "left").join(stats, "cluster", "left").select("box_id", "cluster", "score", "size", "cluster_score", "best_box")
+
+
+def nearest_to_mean(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """(cluster, box_id, gap): the box nearest to the mean of its cluster, ties to the smaller id."""
+    x = rows.select(F.col(cluster).alias("cluster"), "box_id", F.posexplode("features").alias("d", "x"))
+    mean = F.avg("x").over(Window.partitionBy("cluster", "d"))
+    gap = x.withColumn("g", F.pow(F.col("x") - mean, 2)).groupBy("cluster", "box_id").agg(F.sqrt(F.sum("g")).alias("gap"))
+    return gap.groupBy("cluster").agg(F.min(F.struct(F.round("gap", 9).alias("gap"), "box_id")).alias("m")).select("cluster", "m.box_id", "m.gap")
+
+
+def best_thumbnails(scored: DataFrame, least: int = 5) -> DataFrame:
+    """(cluster, best_box) of clusters that are no noise and have `least` boxes or more: the box nearest to the median."""
+    return exemplars(scored.where("cluster >= 0")).where(F.col("size") >= least).select("cluster", "best_box")
+
+
+def rooted_scores(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """(cluster, box_id, score): the other form of the score, by the plain distance to the cluster's mean, with a second root."""
+    x = rows.select(F.col(cluster).alias("cluster"), "box_id", "confidence", F.posexplode("features").alias("d", "x"))
+    mean = F.avg("x").over(Window.partitionBy("cluster", "d"))
+    gap = x.withColumn("g", F.pow(F.col("x") - mean, 2)).groupBy("cluster", "box_id", "confidence").agg(F.sqrt(F.sum("g")).alias("gap"))
+    return gap.select("cluster", "box_id", F.sqrt(F.sqrt(F.col("confidence") * F.exp(-F.pow(F.col("gap") / SIGMA, 2)))).alias("score"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.match import detection_cost, flow_end_cost, match_cost
+from boxloom.operators import detections
 
 # Boxes of a shot, tracks of a shot, gap steps of a skip, least share of the best track's cost.
 MOST_BOXES, MOST_TRACKS, MOST_SKIPS, LEAST_COST = 1000, 6, 5, 0.3
@@ -17,30 +19,32 @@ _BOX = ["box_id", "frame", "x", "y", "w", "h", "features"]
 
 
 def _side(boxes: DataFrame, prefix: str) -> DataFrame:
-    return boxes.select("shot_id", *[F.col(c).alias(prefix + c) for c in _BOX])
+    """The columns of one side of a pair, and at, the dense rank of the frame in its shot: frames without boxes don't count."""
+    rank = F.dense_rank().over(Window.partitionBy("shot_id").orderBy("frame")) - 1
+    return boxes.withColumn("at", rank).select("shot_id", "at", *[F.col(c).alias(prefix + c) for c in _BOX])
 
 
 def match_edges(boxes: DataFrame, fps: float, width: float = 320) -> DataFrame:
     """Boxes of neighbouring frames (by dense rank) of a shot, with their cost."""
-    a = _side(boxes, "a_").withColumn("at", F.col("a_frame") + 1)
-    pairs = a.join(_side(boxes, "b_").withColumn("at", F.col("b_frame")), ["shot_id", "at"])
+    pairs = _side(boxes, "a_").withColumn("at", F.col("at") + 1).join(_side(boxes, "b_"), ["shot_id", "at"])
     return pairs.select("shot_id", "a_box_id", "b_box_id", match_cost("a_", "b_", width, fps).alias("cost"))
 
 
 def skip_edges(boxes: DataFrame, fps: float, width: float = 320) -> DataFrame:
-    """Boxes some whole gaps of ceil(fps / 2) frames apart, where the cost is not positive."""
+    """Boxes some whole gaps of ceil(fps / 2) frames (by dense rank) apart, where the cost is not positive."""
     gap = math.ceil(fps / 2)
-    steps = F.least(F.lit(MOST_SKIPS), F.floor(F.col("b_frame") / gap)).cast("int")
+    steps = F.least(F.lit(MOST_SKIPS), F.floor(F.col("at") / gap)).cast("int")
     b = _side(boxes, "b_").where(steps >= 1).withColumn("step", F.explode(F.sequence(F.lit(1), steps)))
-    b = b.withColumn("at", F.col("b_frame") - gap * F.col("step"))
-    pairs = _side(boxes, "a_").withColumn("at", F.col("a_frame")).join(b, ["shot_id", "at"])
+    b = b.withColumn("at", F.col("at") - gap * F.col("step"))
+    pairs = _side(boxes, "a_").join(b, ["shot_id", "at"])
     return pairs.select("shot_id", "a_box_id", "b_box_id", match_cost("a_", "b_", width, fps).alias("cost")).where("cost <= 0")
 
 
 def network(boxes: DataFrame, fps: float, width: float = 320) -> DataFrame:
-    """The edges of each shot's network (shot_id, kind, a_box_id, b_box_id, cost); null ids are source and target.
+    """The edges of each shot's network (shot_id, kind, a_box_id, b_box_id, cost, most); null ids are source and target.
 
-    Shots with more than MOST_BOXES boxes have none.
+    most, on the edges that enter, is the number of tracks that the shot may have: MOST_TRACKS, or the most boxes of a
+    frame if these are fewer. Shots with more than MOST_BOXES boxes have none.
     """
     n = F.count("*").over(Window.partitionBy("shot_id"))
     boxes = boxes.withColumn("_n", n).where(F.col("_n") <= MOST_BOXES)
@@ -50,9 +54,11 @@ def network(boxes: DataFrame, fps: float, width: float = 320) -> DataFrame:
     none = F.lit(None).cast("long")
     edge = lambda df, kind, a, b, cost: df.select("shot_id", F.lit(kind).alias("kind"), a.alias("a_box_id"), b.alias("b_box_id"), cost.alias("cost"))
     i, j, c = F.col("a_box_id"), F.col("b_box_id"), F.col("cost")
-    out = edge(one, "enter", none, F.col("box_id"), ends).unionByName(edge(one, "exit", F.col("box_id"), none, ends))
-    out = out.unionByName(edge(one, "detect", F.col("box_id"), F.col("box_id"), detection_cost(F.col("confidence"))))
-    return out.unionByName(edge(match_edges(boxes, fps, width), "match", i, j, c)).unionByName(edge(skip_edges(boxes, fps, width), "skip", i, j, c))
+    enter = one.select("shot_id", F.lit("enter").alias("kind"), none.alias("a_box_id"), F.col("box_id").alias("b_box_id"), ends.alias("cost"), F.least(F.lit(MOST_TRACKS).cast("long"), "_most").alias("most"))
+    out = enter.unionByName(edge(one, "exit", F.col("box_id"), none, ends), allowMissingColumns=True)
+    rest = edge(one, "detect", F.col("box_id"), F.col("box_id"), detection_cost(F.col("confidence")))
+    rest = rest.unionByName(edge(match_edges(boxes, fps, width), "match", i, j, c)).unionByName(edge(skip_edges(boxes, fps, width), "skip", i, j, c))
+    return out.unionByName(rest, allowMissingColumns=True)
 
 
 def min_cost_flow(nodes: int, edges: list[tuple[int, int, float]], source: int, target: int, amount: int | None = None) -> tuple[float, list[int]]:
@@ -143,13 +149,30 @@ def max_flow(nodes: int, edges: list[tuple[int, int, int]], source: int, target:
         total += push
 
 
-def shot_tracks(edges: pd.DataFrame, most: int = MOST_TRACKS) -> list[tuple[list[int], float]]:
-    """The tracks of one shot's network: box ids and cost, the cheapest first."""
+def all_paths(edges: list[tuple[int, int, float]], source: int, target: int) -> Iterator[tuple[list[int], float]]:
+    """Every path of a network without cycles from source to target, and its cost, in order of the nodes. For small networks."""
+    following: dict[int, list[tuple[int, float]]] = {}
+    for a, b, cost in sorted(edges):
+        following.setdefault(a, []).append((b, cost))
+    stack = [([source], 0.0)]
+    while stack:
+        path, cost = stack.pop()
+        if path[-1] == target:
+            yield path, cost
+            continue
+        stack.extend(([*path, b], cost + c) for b, c in reversed(following.get(path[-1], [])))
+
+
+def shot_tracks(edges: pd.DataFrame, most: int | None = None) -> list[tuple[list[int], float]]:
+    """The tracks of one shot's network: box ids and cost, the cheapest first; no more than the network allows, or `most`."""
+    if most is None:
+        allowed = edges["most"].dropna() if "most" in edges else pd.Series(dtype=float)
+        most = int(allowed.max()) if len(allowed) else MOST_TRACKS
     boxes = sorted(edges.loc[edges["kind"] == "detect", "a_box_id"].astype(int))
     place = {b: i for i, b in enumerate(boxes)}
     into, out = lambda b: 1 + 2 * place[b], lambda b: 2 + 2 * place[b]
     source, target = 0, 2 * len(boxes) + 1
-    rows, per_frame = [], most
+    rows = []
     for kind, a, b, cost in edges[["kind", "a_box_id", "b_box_id", "cost"]].itertuples(index=False):
         ends = {"enter": lambda: (source, into(int(b))), "exit": lambda: (out(int(a)), target), "detect": lambda: (into(int(a)), out(int(a)))}  # noqa: B023
         x, y = ends.get(kind, lambda: (out(int(a)), into(int(b))))()  # noqa: B023
@@ -172,7 +195,7 @@ def shot_tracks(edges: pd.DataFrame, most: int = MOST_TRACKS) -> list[tuple[list
             cost += more
         tracks.append((path, cost))
     tracks.sort(key=lambda t: (t[1], t[0]))
-    return tracks[:per_frame]
+    return tracks[:most]
 
 
 def tracks(edges: DataFrame) -> DataFrame:
@@ -187,18 +210,35 @@ def tracks(edges: DataFrame) -> DataFrame:
     return edges.groupBy("shot_id").applyInPandas(run, "shot_id long, track_id long, box_id long, cost double")
 
 
+def sampling_boxes(tracked: DataFrame, fps: float, gap: float = 3.0, fade: int = 15, overlap: float = 0.4) -> DataFrame:
+    """The tracked boxes (shot_id, frame, track_id, box_id, x, y, w, h) that triplets may be sampled from.
+
+    Shots of a second or more, without `fade` frames at their ends; tracks whose largest jump times fps is at most
+    `gap`; of overlapping boxes of a frame the larger; frames with two boxes or more; shots with two tracks or more.
+    """
+    rows = detections.without_fades(tracked, detections.long_shots(tracked, fps), fade)
+    even = detections.max_jump(rows, ["shot_id", "track_id"]).where(F.col("max_jump") * fps <= gap)
+    rows = rows.join(even, ["shot_id", "track_id"], "left_semi")
+    rows = rows.join(detections.overlap_pruning(rows, ["shot_id", "frame"], overlap), ["shot_id", "frame", "box_id"], "left_semi")
+    rows = rows.withColumn("_n", F.count("*").over(Window.partitionBy("shot_id", "frame"))).where("_n >= 2").drop("_n")
+    several = rows.groupBy("shot_id").agg(F.count_distinct("track_id").alias("n")).where("n >= 2")
+    return rows.join(several, "shot_id", "left_semi")
+
+
 def sample_triplets(tracked: DataFrame, n: int = 10_000, seed: int = 1234567) -> DataFrame:
-    """n triplets (shot_id, anchor, positive, negative) by hashes of (seed, number): shots in turn, a frame with two or
-    more tracks, two of its boxes, and a box of the anchor's track. The positive may be the anchor.
+    """n triplets (shot_id, anchor, positive, negative) by digests of (seed, number): shots in turn, a frame with two or
+    more boxes, two of its boxes, and a box of the anchor's track. The positive may be the anchor. Reruns agree.
     """
     frames = tracked.groupBy("shot_id", "frame").agg(F.array_sort(F.collect_list(F.struct("track_id", "box_id"))).alias("boxes")).where(F.size("boxes") >= 2)
     shots = frames.groupBy("shot_id").agg(F.array_sort(F.collect_list(F.struct("frame", "boxes"))).alias("frames"))
-    shots = shots.withColumn("place", F.row_number().over(Window.orderBy("shot_id")) - 1)
+    place = F.row_number().over(Window.orderBy("shot_id")) - 1  # of ids only
+    shots = shots.join(frames.select("shot_id").distinct().withColumn("place", place), "shot_id")
     spark = tracked.sparkSession
-    m = shots.count()
+    m = frames.select("shot_id").distinct().count()
     if not m:
         return spark.createDataFrame([], "shot_id long, anchor long, positive long, negative long")
-    draw = lambda name, size: F.pmod(F.xxhash64(F.lit(seed), "i", F.lit(name)), size).cast("int")
+    number = lambda name: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("i").cast("string"), F.lit(name))), 1, 8), 16, 10).cast("long")
+    draw = lambda name, size: (number(name) % size).cast("int")
     t = spark.range(n).withColumnRenamed("id", "i").withColumn("place", (F.col("i") % m).cast("int")).join(shots, "place")
     t = t.withColumn("boxes", F.element_at("frames", draw("frame", F.size("frames")) + 1)["boxes"])
     t = t.withColumn("one", draw("anchor", F.size("boxes"))).withColumn("two", F.pmod(F.col("one") + 1 + draw("negative", F.size("boxes") - 1), F.size("boxes")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,8 +16,6 @@ from boxloom.plans.tables import boxes
 from boxloom.sources import readers
 
 FPS = 4.0
-#: No two of the test vectors are as near as duplicates are; the registered queries ask for this cosine.
-TEST_DUPLICATE = 0.3
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -31,9 +31,10 @@ def query(sql: str | None = None):
 
 
 def _checkpoints(spark: SparkSession) -> None:
+    """Where no checkpoint folder is set and all runs on this machine, one of its own; on a cluster the folder must be shared."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="boxloom-"))
 
 
@@ -134,7 +135,7 @@ UNION ALL SELECT shot_id, 'match', a_box_id, b_box_id, {_COST} FROM q
 UNION ALL SELECT shot_id, 'skip', a_box_id, b_box_id, c FROM (SELECT *, {_COST} AS c FROM s) WHERE c <= 0)
 SELECT shot_id, kind, a_box_id, b_box_id, round(cost, 6) AS cost FROM e""")
 def track_network_edges(spark, d):
-    return tracking.network(boxes(spark, d), FPS).withColumn("cost", F.round("cost", 6))
+    return tracking.network(boxes(spark, d), FPS).withColumn("cost", F.round("cost", 6)).drop("most")
 
 
 @query()
@@ -146,44 +147,121 @@ def _tracked(spark, d) -> DataFrame:
     return boxes(spark, d).withColumn("track_id", F.col("slot"))
 
 
-@query()
+#: Limits of the registered sampling: frames at a shot's ends, largest jump.
+FADE, JUMP = 1, 0.25
+_JUMP = """, {o}o AS (SELECT shot_id, slot AS track_id, frame::DOUBLE AS f, x + w / 2.0 AS cx, y + h / 2.0 AS cy, sqrt(w * h) AS side, row_number() OVER (PARTITION BY shot_id, slot ORDER BY frame, x + w / 2.0, y + h / 2.0) AS i FROM {of}),
+{o}r AS (SELECT shot_id, track_id, i, f, cx, cy, 0::DOUBLE AS ratio FROM {o}o WHERE i = 1 UNION ALL
+SELECT shot_id, track_id, i, CASE WHEN q > ratio THEN nf ELSE f END, CASE WHEN q > ratio THEN nx ELSE cx END, CASE WHEN q > ratio THEN ny ELSE cy END, greatest(q, ratio) FROM (
+SELECT r.shot_id, r.track_id, n.i, r.f, r.cx, r.cy, r.ratio, n.f AS nf, n.cx AS nx, n.cy AS ny, coalesce(sqrt(pow(n.cx - r.cx, 2) + pow(n.cy - r.cy, 2)) / nullif(n.side * (n.f - r.f), 0), 0) AS q
+FROM {o}r r JOIN {o}o n ON r.shot_id = n.shot_id AND r.track_id = n.track_id AND n.i = r.i + 1)),
+{o}j AS (SELECT shot_id, track_id, max(ratio) AS max_jump FROM {o}r GROUP BY ALL)"""
+_OVERLAP = "greatest(least(k.x + k.w, o.x + o.w) - greatest(k.x, o.x), 0) * greatest(least(k.y + k.h, o.y + o.h) - greatest(k.y, o.y), 0)"
+_PRUNE = f""", {{o}}a AS (SELECT keyframe_id, struct_pack(box_id := box_id, x := x, y := y, w := w, h := h) AS o, row_number() OVER (PARTITION BY keyframe_id ORDER BY w * h DESC, box_id) AS i FROM {{of}}),
+{{o}}p AS (SELECT keyframe_id, i, [o] AS kept FROM {{o}}a WHERE i = 1 UNION ALL
+SELECT p.keyframe_id, a.i, CASE WHEN len([k FOR k IN p.kept IF coalesce(({_OVERLAP.replace('o.', 'a.o.')})::DOUBLE / (k.w * k.h + a.o.w * a.o.h - {_OVERLAP.replace('o.', 'a.o.')}), 0) > 0.4]) = 0 THEN list_append(p.kept, a.o) ELSE p.kept END
+FROM {{o}}p p JOIN {{o}}a a ON p.keyframe_id = a.keyframe_id AND a.i = p.i + 1),
+{{o}}k AS (SELECT keyframe_id, unnest(arg_max(kept, i)).box_id AS box_id FROM {{o}}p GROUP BY keyframe_id)"""
+_SAMPLING = (
+    f""", sh AS (SELECT shot_id, min(frame) AS lo, max(frame) AS hi FROM boxes GROUP BY shot_id HAVING max(frame) - min(frame) >= {FPS}),
+b1 AS MATERIALIZED (SELECT boxes.* FROM boxes JOIN sh USING (shot_id) WHERE frame >= lo + {FADE} AND frame <= hi - {FADE})"""
+    + _JUMP.format(o="j", of="b1")
+    + f", b2 AS MATERIALIZED (SELECT b1.* FROM b1 JOIN jj ON b1.shot_id = jj.shot_id AND b1.slot = jj.track_id WHERE max_jump * {FPS} <= {JUMP})"
+    + _PRUNE.format(o="p", of="b2")
+    + """, b3 AS (SELECT b2.* FROM b2 JOIN pk USING (keyframe_id, box_id)), b4 AS (SELECT *, count(*) OVER (PARTITION BY shot_id, frame) AS n FROM b3),
+b5 AS MATERIALIZED (SELECT * FROM b4 WHERE n >= 2 AND shot_id IN (SELECT shot_id FROM b4 WHERE n >= 2 GROUP BY shot_id HAVING count(DISTINCT slot) >= 2))"""
+)
+
+
+def _sampling(spark, d) -> DataFrame:
+    return tracking.sampling_boxes(_tracked(spark, d), FPS, JUMP, FADE)
+
+
+@query(_SAMPLING + " SELECT shot_id, frame, slot AS track_id, box_id FROM b5")
+def sampling_boxes(spark, d):
+    return _sampling(spark, d).select("shot_id", "frame", "track_id", "box_id")
+
+
+_DRAW = "(('0x' || substr(md5('1234567-' || i || '-{name}'), 1, 8))::BIGINT % {size})"
+
+
+@query(_SAMPLING + f""", f AS (SELECT shot_id, frame, list(struct_pack(t := slot, b := box_id) ORDER BY slot, box_id) AS l FROM b5 GROUP BY ALL HAVING count(*) >= 2),
+s AS (SELECT shot_id, list(l ORDER BY frame) AS fr, row_number() OVER (ORDER BY shot_id) - 1 AS place FROM f GROUP BY shot_id),
+t AS (SELECT i, shot_id, fr[{_DRAW.format(name='frame', size='len(fr)')} + 1] AS l FROM range(10000) r(i) JOIN s ON s.place = i % (SELECT count(*) FROM s)),
+u AS (SELECT *, {_DRAW.format(name='anchor', size='len(l)')} AS one FROM t),
+v AS (SELECT *, l[one + 1] AS a, l[(one + 1 + {_DRAW.format(name='negative', size='(len(l) - 1)')}) % len(l) + 1].b AS negative FROM u),
+p AS (SELECT shot_id, slot, list(box_id ORDER BY box_id) AS path FROM b5 GROUP BY ALL)
+SELECT v.shot_id, a.b AS anchor, path[{_DRAW.format(name='positive', size='len(path)')} + 1] AS positive, negative FROM v JOIN p ON p.shot_id = v.shot_id AND p.slot = a.t""")
 def triplets(spark, d):
-    return tracking.sample_triplets(_tracked(spark, d))
+    return tracking.sample_triplets(_sampling(spark, d))
 
 
-_SIM = _PAIR.format(on="a.shot_id = b.shot_id AND a.box_id < b.box_id") + f", s AS (SELECT shot_id, a_box_id, b_box_id, {_COS} AS similarity, sqrt(list_sum([pow(af[i] - bf[i], 2) FOR i IN range(1, len(af) + 1)])) AS distance FROM p)"
+_COLUMNS = "a_box_id, b_box_id, round(similarity, 6) AS similarity, round(distance, 6) AS distance"
+_S = f"s AS (SELECT a_box_id, b_box_id, {_COS} AS similarity, sqrt(list_sum([pow(af[i] - bf[i], 2) FOR i IN range(1, len(af) + 1)])) AS distance FROM p)"
+_SIM = _PAIR.format(on="a.box_id < b.box_id") + ", " + _S
 
 
 def _rounded(df):
-    return df.select("shot_id", "a_box_id", "b_box_id", *_r("similarity", "distance"))
+    return df.select("a_box_id", "b_box_id", *_r("similarity", "distance"))
+
+
+def _file(spark, d) -> DataFrame:
+    """All boxes as those of one video."""
+    return boxes(spark, d).withColumn("video", F.lit(0))
 
 
-@query(_SIM + " SELECT shot_id, a_box_id, b_box_id, round(similarity, 6) AS similarity, round(distance, 6) AS distance FROM s ORDER BY round(s.distance, 9), a_box_id, b_box_id LIMIT 50")
+@query(_SIM + f" SELECT {_COLUMNS} FROM s ORDER BY round(s.distance, 9), a_box_id, b_box_id LIMIT 50")
 def similar_pairs_topk(spark, d):
-    return _rounded(pairs.top_pairs(pairs.similar_pairs(boxes(spark, d), "shot_id")))
+    return _rounded(pairs.top_pairs_of_video(_file(spark, d), "video"))
 
 
-@query(_SIM + " SELECT shot_id, a_box_id, b_box_id, round(similarity, 6) AS similarity, round(distance, 6) AS distance FROM s ORDER BY round(s.distance, 9) DESC, a_box_id, b_box_id LIMIT 50")
+@query(_SIM + f" SELECT {_COLUMNS} FROM s ORDER BY round(s.distance, 9) DESC, a_box_id, b_box_id LIMIT 50")
 def dissimilar_pairs_topk(spark, d):
-    return _rounded(pairs.top_pairs(pairs.similar_pairs(boxes(spark, d), "shot_id"), nearest=False))
+    return _rounded(pairs.top_pairs_of_video(_file(spark, d), "video", nearest=False))
+
+
+@query(_PAIR.format(on="a.shot_id = b.shot_id AND a.box_id < b.box_id") + ", " + _S + f" SELECT {_COLUMNS} FROM s")
+def shot_pairs(spark, d):
+    return _rounded(pairs.similar_pairs(boxes(spark, d), "shot_id"))
+
+
+# copies, one or two, of some boxes: the duplicates to be found
+_PLANTED = """, c AS MATERIALIZED (SELECT box_id, features FROM boxes UNION ALL SELECT box_id + 10000000, [2 * x FOR x IN features] FROM boxes WHERE box_id % 50 = 0
+UNION ALL SELECT box_id + 20000000, [x / 2 FOR x IN features] FROM boxes WHERE box_id % 100 = 0),
+p AS (SELECT a.box_id AS a_box_id, b.box_id AS b_box_id, a.features AS af, b.features AS bf FROM c a JOIN c b ON a.box_id < b.box_id), """ + _S
 
 
-@query(_SIM + f" SELECT shot_id, a_box_id, b_box_id, round(similarity, 6) AS similarity, round(distance, 6) AS distance FROM s WHERE similarity > {TEST_DUPLICATE}")
+def _planted(spark, d) -> DataFrame:
+    b = _file(spark, d).select("video", "box_id", "features")
+    times = lambda k: F.transform("features", lambda x: x * F.lit(k)).alias("features")
+    one = b.where("box_id % 50 = 0").select("video", (F.col("box_id") + 10_000_000).alias("box_id"), times(2.0))
+    two = b.where("box_id % 100 = 0").select("video", (F.col("box_id") + 20_000_000).alias("box_id"), times(0.5))
+    return b.union(one).union(two)
+
+
+def _duplicates(spark, d) -> DataFrame:
+    return pairs.duplicate_pairs(_planted(spark, d), "video")
+
+
+@query(_PLANTED + f" SELECT {_COLUMNS} FROM s WHERE similarity > 0.995")
 def duplicate_pairs(spark, d):
-    return _rounded(pairs.duplicate_pairs(boxes(spark, d), "shot_id", TEST_DUPLICATE))
+    return _rounded(_duplicates(spark, d))
 
 
-@query(_SIM + f""", e AS (SELECT a_box_id AS u, b_box_id AS v FROM s WHERE similarity > {TEST_DUPLICATE} UNION SELECT b_box_id, a_box_id FROM s WHERE similarity > {TEST_DUPLICATE}),
-r(u, v) AS (SELECT u, u FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u) SELECT u AS id, min(v) AS component FROM r GROUP BY u""")
+_COMPONENTS = _PLANTED + """, e AS MATERIALIZED (SELECT a_box_id AS u, b_box_id AS v FROM s WHERE similarity > 0.995 UNION SELECT b_box_id, a_box_id FROM s WHERE similarity > 0.995),
+r(u, v) AS (SELECT u, u FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), k AS (SELECT u AS id, min(v) AS component FROM r GROUP BY u)"""
+
+
+@query(_COMPONENTS + " SELECT id, component FROM k")
 def duplicate_components(spark, d):
     _checkpoints(spark)
-    return pairs.connected(pairs.duplicate_pairs(boxes(spark, d), "shot_id", TEST_DUPLICATE), "a_box_id", "b_box_id")
+    return pairs.connected(_duplicates(spark, d), "a_box_id", "b_box_id")
 
 
-@query()
+# copies are all alike, so each component is one clique
+@query(_COMPONENTS + " SELECT component, 0::BIGINT AS clique, id AS box_id, id = component AS keep FROM k")
 def duplicate_cliques(spark, d):
     _checkpoints(spark)
-    return pairs.duplicate_cliques(pairs.duplicate_pairs(boxes(spark, d), "shot_id", TEST_DUPLICATE))
+    return pairs.duplicate_cliques(_duplicates(spark, d))
 
 
 _HIST = "least(49, greatest(0, CAST(floor((similarity + 1) * 25) AS INTEGER)))"
@@ -191,9 +269,14 @@ _HIST = "least(49, greatest(0, CAST(floor((similarity + 1) * 25) AS INTEGER)))"
 
 @query(_SIM + f" SELECT CAST({_HIST} AS BIGINT) AS bin, count(*) AS n FROM s GROUP BY 1")
 def duplicate_threshold_histogram(spark, d):
-    s = pairs.similar_pairs(boxes(spark, d), "shot_id")
-    b = F.least(F.lit(49), F.greatest(F.lit(0), F.floor((F.col("similarity") + 1) * 25)))
-    return s.groupBy(b.cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return pairs.similarity_histogram(_file(spark, d), "video")
+
+
+@query(_PAIR.format(on="a.character = b.character AND a.frame = b.frame AND a.box_id < b.box_id") + ", " + _S + f" SELECT CAST({_HIST} AS BIGINT) AS bin, count(*) AS n FROM s GROUP BY 1")
+def labeled_pair_histogram(spark, d):
+    """Cosines of labelled pairs: here of one character in frames of one number."""
+    b = boxes(spark, d).withColumn("pair", F.concat_ws("-", "character", "frame"))
+    return pairs.similarity_histogram(b, "pair").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 @query(""", s AS (SELECT shot_id, min(keyframe_id) AS first, max(keyframe_id) AS last FROM boxes GROUP BY shot_id), k AS (SELECT DISTINCT keyframe_id FROM boxes)
@@ -301,11 +384,6 @@ def clustering_scores(spark, d):
     return s.select(*_r(*[c for c in s.columns if c != "k_error"]), "k_error")
 
 
-@query()
-def adjusted_mutual_info(spark, d):
-    return spark.createDataFrame([(metrics.adjusted_mutual_info(metrics.contingency(boxes(spark, d), "character")),)], "ami double")
-
-
 @query(f""", p AS (SELECT a.box_id, a.cluster AS c, b.cluster AS o, a.features AS af, b.features AS bf FROM boxes a JOIN boxes b ON a.box_id <> b.box_id),
 m AS (SELECT box_id, c, o, avg(1 - {_COS}) AS m FROM p GROUP BY ALL), e AS (SELECT box_id, max(CASE WHEN c = o THEN m END) AS a, min(CASE WHEN c <> o THEN m END) AS b FROM m GROUP BY box_id)
 SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM e""")
@@ -358,12 +436,6 @@ def average_precision(spark, d):
     return metrics.average_precision(_curve(spark, d), "slot").withColumn("average_precision", F.round("average_precision", 9))
 
 
-@query()
-def greedy_iou_matches(spark, d):
-    found = _iou_pairs(spark, d).where("iou >= 0.4").select(F.col("keyframe_id"), F.col("a_box_id").alias("a"), F.col("b_box_id").alias("b"), "iou")
-    return metrics.match_boxes(found, "keyframe_id")
-
-
 @query(""", n AS (SELECT character AS label, count(*)::DOUBLE AS n FROM boxes GROUP BY ALL), p AS (SELECT label, n / sum(n) OVER () AS p, 1.0 / count(*) OVER () AS t, row_number() OVER (ORDER BY label DESC) AS r FROM n),
 w AS (SELECT label, CASE WHEN r = 2 THEN 0.99 ELSE greatest(t, exp(-p * p / (2 * t * t))) END AS w FROM p) SELECT label, round(w / sum(w) OVER (), 9) AS weight FROM w""")
 def class_balance_weights(spark, d):
@@ -436,12 +508,12 @@ def running_average(spark, d):
     return f.groupBy("shot_id").agg(F.round(F.sum(F.col("c") * F.col("n")) / F.sum("n"), 6).alias("weighted_mean"))
 
 
-@query()
+@query(_JUMP.format(o="j", of="boxes") + " SELECT shot_id, track_id, round(max_jump, 9) AS max_jump FROM jj")
 def max_jump(spark, d):
-    return detections.max_jump(_tracked(spark, d), ["shot_id", "track_id"])
+    return detections.max_jump(_tracked(spark, d), ["shot_id", "track_id"]).withColumn("max_jump", F.round("max_jump", 9))
 
 
-@query()
+@query(_PRUNE.format(o="p", of="boxes") + " SELECT keyframe_id, box_id FROM pk")
 def overlap_pruning(spark, d):
     return detections.overlap_pruning(boxes(spark, d), ["keyframe_id"])
 
@@ -507,17 +579,6 @@ def _shifted(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     return t, p, both.select("keyframe_id", "a", "b", F.round(geometry.iou(*_side("a"), *_side("b")), 9).alias("iou")).where("iou >= 0.5")
 
 
-@query()
-def detection_precision_recall(spark, d):
-    t, p, c = _shifted(spark, d)
-    return metrics.precision_recall_at_iou(c, t, p, "keyframe_id")
-
-
-@query()
-def truth_consumption(spark, d):
-    return metrics.consume_truth(_shifted(spark, d)[2], "keyframe_id")
-
-
 @query(" SELECT box_id, w * h AS area FROM boxes ORDER BY area DESC, box_id LIMIT 300")
 def largest_negatives(spark, d):
     return detections.largest_boxes(boxes(spark, d)).select("box_id", "area")
