@@ -1,10 +1,11 @@
 """Exact top-k inner products (operator 3): norm-sorted search with rotated partial sums.
 
-Vectors are scored in whole numbers. Rows lie in blocks by descending length. A query meets the longest block
-first, which gives it a floor: its k-th best score so far. In every other block a batch is passed over once
-|query| * |longest row| is below the floor; else the first components in the basis of the data's principal axes
-are summed, and only rows whose partial sum plus the Cauchy-Schwarz bound of the residuals reaches the floor get
-their exact score.
+Vectors are scored in whole numbers. Rows lie in blocks by descending length, queries in parts by length. Each part
+meets the longest block first, which gives a query its floor: its k-th best score so far. A part and a block whose
+longest vectors can't reach the part's floors are left out before any row is copied. In the others a batch of rows is
+passed over once |query| * |longest row| is below the floor; else the first components in the basis of the data's
+principal axes are summed, and only rows whose partial sum plus the Cauchy-Schwarz bound of the residuals reaches the
+floor get their exact score.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,19 +23,25 @@ from boxloom.llm.common import small_batches, staged, table
 
 K, SCALE, EVERY = 10, 1024, 100
 #: Rows of a block, queries of a block, rows of a batch, share of axes in the partial sum.
-BLOCK, QUERIES, BATCH, HEAD = 8192, 1024, 512, 0.25
+BLOCK, QUERIES, BATCH, HEAD = 8192, 4096, 512, 0.25
+#: Ratio between the steps of length by which parts and blocks are matched.
+STEP = 1.01
 _LIMIT = 1 << 62
 
 
-def _whole(x, scale: int) -> np.ndarray | None:
-    """floor(scale * x) for each component, or None for a vector that takes no part."""
-    if x is None:
-        return None
-    v = np.array([np.nan if c is None else c for c in x], np.float64)
-    if not np.isfinite(v).all():
-        return None
-    v = np.floor(v * float(scale))
-    return v if np.isfinite(v).all() else None
+def _whole(column: pa.ListArray, scale: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """floor(scale * x) of all components as binary rows, their number, lengths, and which rows take part."""
+    flat = pc.fill_null(column.values, np.nan).to_numpy(zero_copy_only=False).astype(np.float64)
+    at = column.offsets.to_numpy().astype(np.int64)
+    with np.errstate(all="ignore"):
+        flat = np.floor(flat * float(scale))
+    bad = np.concatenate(([0], np.cumsum(~np.isfinite(flat))))
+    good = (bad[at[1:]] == bad[at[:-1]]) & column.is_valid().to_numpy(zero_copy_only=False)
+    flat = np.where(np.isfinite(flat), flat, 0.0)
+    with np.errstate(all="ignore"):
+        square = np.array([flat[i:j] @ flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)])
+    rows = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer((8 * at).astype(np.int32)), pa.py_buffer(flat)])
+    return rows, np.diff(at), np.sqrt(square), good
 
 
 def whole_vectors(df: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -41,19 +49,20 @@ def whole_vectors(df: DataFrame, scale: int = SCALE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, _whole(x, scale)) for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            rows = [(i, len(v), v.tobytes(), float(np.sqrt(v @ v))) for i, v in rows if v is not None]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.float64()), strict=True)], names=["vec_id", "dim", "v", "norm"])
+            rows, dim, norm, good = _whole(b.column(1), scale)
+            out = pa.RecordBatch.from_arrays([b.column(0), pa.array(dim, pa.int32()), rows, pa.array(norm, pa.float64())], names=["vec_id", "dim", "v", "norm"])
+            yield out.filter(pa.array(good, pa.bool_()))
 
     return small_batches(df).mapInArrow(run, "vec_id long, dim int, v binary, norm double")
 
 
 def _matrix(column, dim: int) -> np.ndarray:
+    column = list(column)
+    if all(len(x) == 8 * dim for x in column):
+        return np.frombuffer(b"".join(column), np.float64).reshape(-1, dim)
     out = np.zeros((len(column), dim))
     for i, x in enumerate(column):
-        v = np.frombuffer(x, np.float64)
-        out[i, : len(v)] = v
+        out[i, : len(x) // 8] = np.frombuffer(x, np.float64)
     return out
 
 
@@ -65,7 +74,7 @@ def principal_axes(vectors: DataFrame, dim: int) -> np.ndarray:
         for b in batches:
             m = _matrix(b.column(0).to_pylist(), dim)
             with np.errstate(all="ignore"):
-                m /= max(np.abs(m).max(initial=0), 1)
+                m = m / max(np.abs(m).max(initial=0), 1)
                 total += m.T @ m
         at = np.arange(dim * dim)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total.reshape(-1))], names=["at", "x"])
@@ -136,39 +145,50 @@ def top_k(df: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY) ->
     dim = max(facts["dim"], 1)
     axes = principal_axes(vectors, dim)
     blocks, parts = -(-facts["n"] // BLOCK), -(-facts["q"] // QUERIES)
-    # bounds between blocks of about equal size by length; equal lengths are split by id
-    cuts = vectors.approxQuantile("norm", [1 - i / blocks for i in range(1, blocks)], 0.005) if blocks > 1 else []
-    block = sum([(F.col("norm") < c).cast("int") for c in cuts], F.lit(0))
-    rows = vectors.withColumn("block", block)
-    size = rows.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).alias("splits"))
-    rows = rows.join(F.broadcast(size), "block") if blocks <= 10_000 else rows.join(size, "block")
-    rows = staged(rows.withColumn("split", F.pmod(F.xxhash64("vec_id"), "splits").cast("int")).select("block", "split", "vec_id", "v", "norm"), "rows")
+    ranged = lambda df, n, name: df.repartitionByRange(n, F.desc("norm"), "vec_id").withColumn(name, F.spark_partition_id())
+    rows = staged(ranged(vectors, blocks, "block").select("block", "vec_id", "v", "norm"), "rows")
     asks = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("x"))
-    asks = staged(asks.select("vec_id", "x.v", "x.norm", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int").alias("part")), "asks")
-    first = rows.groupBy().agg(F.min(F.struct("block", "split")).alias("m")).first()["m"]
-    is_first = (F.col("block") == first["block"]) & (F.col("split") == first["split"])
-    found = _search(asks.withColumn("floor", F.lit(None).cast("double")), rows.where(is_first), parts, axes, k)
-    found = staged(found, "first")
+    asks = staged(ranged(asks.select("vec_id", "x.v", "x.norm"), parts, "part"), "asks")
+    longest = rows.agg(F.min("block").alias("b")).first()["b"]
+    places = asks.select("part").distinct().withColumn("block", F.lit(longest))
+    found = staged(_search(asks.withColumn("floor", F.lit(None).cast("double")), rows.where(F.col("block") == longest), places, axes, k), "first")
     floors = found.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").alias("m")).where(F.col("c") >= k)
     asks = asks.join(floors.select(F.col("query_id").alias("vec_id"), F.col("m").cast("double").alias("floor")), "vec_id", "left")
-    found = found.union(_search(asks, rows.where(~is_first), parts, axes, k))
+    rest = rows.where(F.col("block") != longest)
+    found = found.union(_search(asks, rest, reachable(asks, rest), axes, k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(asks: DataFrame, rows: DataFrame, parts: int, axes: np.ndarray, k: int) -> DataFrame:
-    """Each block of queries against each block of rows, in one task each."""
-    every_part = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
-    left = rows.select(every_part, "block", "split", "vec_id", "v", "norm")
-    places = rows.select("block", "split").distinct().select(every_part, "block", "split")
+def reachable(asks: DataFrame, rows: DataFrame) -> DataFrame:
+    """(part, block): pairs in which the longest row may reach the floor of some query.
+
+    A query needs rows of length floor / |query| at least, less the slack of sums in floating point. Lengths are rounded
+    to steps of STEP, blocks up and needs down; a part asks for the steps from its least need to the longest row, and an
+    equal step joins it with blocks.
+    """
+    step = lambda x: F.when(x > 1, F.log(x) / float(np.log(STEP))).otherwise(0.0)
+    need = F.floor(step(F.col("floor") / F.greatest("norm", F.lit(1.0)) * (1 - 1e-6) - 1)).cast("long")
+    block = rows.groupBy("block").agg(F.ceil(step(F.max("norm"))).cast("long").alias("has"))
+    block = staged(block, "lengths")
+    top = block.agg(F.max("has").alias("t")).first()["t"] or 0
+    part = asks.groupBy("part").agg(F.min(need).alias("need")).where(F.col("need") <= top)
+    part = part.select("part", F.explode(F.sequence("need", F.lit(top).cast("long"))).alias("has"))
+    return part.join(block, "has").select("part", "block")
+
+
+def _search(asks: DataFrame, rows: DataFrame, places: DataFrame, axes: np.ndarray, k: int) -> DataFrame:
+    """Parts of queries against blocks of rows, as places say, in one task each."""
+    places = staged(places, "places")
+    left = rows.join(places, "block").select("part", "block", "vec_id", "v", "norm")
     right = asks.select("part", "vec_id", "v", "norm", "floor").join(places, "part")
-    right = right.select(*[F.col(c).alias(c) for c in ("part", "block", "split", "vec_id", "v", "norm", "floor")])  # columns of its own
+    right = right.select(*[F.col(c).alias(c) for c in ("part", "block", "vec_id", "v", "norm", "floor")])  # columns of its own
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = search_block(a, b, axes, k) if len(a) and len(b) else []
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    key = ["part", "block", "split"]
+    key = ["part", "block"]
     return right.groupBy(*key).cogroup(left.groupBy(*key)).applyInPandas(run, "query_id long, vec_id long, score long")
 
 
