@@ -2,8 +2,12 @@
 
 The sketch of a metric is a log-bucket histogram: bucket counts per (language, source, metric) add up, so partial
 sketches of tasks, files or days merge by summing, and the result does not depend on their order. A quantile read
-from it has a relative error of at most GAMMA - 1. Groups with fewer than LEAST documents use the sketch of their
-language, and that of all documents if the language is small too.
+from it has a relative error of at most GAMMA - 1.
+
+A group's fence lies beyond its tail: the 0.9 quantile and some times its distance from the median. Most documents have
+none of what a rate counts, and then both are 0; so a rate's fence is no lower than a few occurrences in a short document
+of the group (its 0.1 quantile of words). A fence is blended with that of the language, and this with that of all
+documents, by the number of documents: n of a group count as n, what it inherits as PRIOR.
 """
 
 from __future__ import annotations
@@ -17,17 +21,17 @@ from pyspark.sql import functions as F
 
 from boxloom.llm.common import same, small_batches, staged, table, text_hash, window3, word_hashes
 
-#: Ratio between the bounds of neighbouring buckets, the smallest value told from zero, documents that a group needs.
-GAMMA, FLOOR, LEAST = 1.02, 1e-4, 200
-#: The fence lies REACH spreads (third less first quartile) from the quartile; a metric's spread counts as SPREAD at least.
-REACH = 3.0
+#: Ratio between the bounds of neighbouring buckets, the smallest value told from zero, documents that a parent's fence counts as.
+GAMMA, FLOOR, PRIOR = 1.02, 1e-4, 100
 METRICS = {
-    # metric: (expression over the base columns, smallest spread, sides)
-    "symbols": ("n_symbols / greatest(word_chars, 1L)", 0.03, "high"),
-    "dup_lines": ("n_dup_lines / greatest(n_words, 1L)", 0.02, "high"),
-    "repeats": ("n_repeat_words / greatest(n_words, 1L)", 0.1, "high"),
-    "word_len": ("word_chars / greatest(n_words, 1L)", 0.5, "both"),
+    # metric: (expression over the base columns, distances from the median beyond the tail, occurrences always allowed, sides)
+    "symbols": ("n_symbols / greatest(n_words, 1L)", 6, 3, "high"),
+    "dup_lines": ("n_dup_lines / greatest(n_words, 1L)", 6, 3, "high"),
+    "repeats": ("n_repeat_words / greatest(n_words, 1L)", 9, 9, "high"),
+    "word_len": ("word_chars / greatest(n_words, 1L)", 3, 0, "both"),
 }
+#: What has a sketch: the metrics, and the number of words.
+SKETCHED = {m: e for m, (e, *_) in METRICS.items()} | {"words": "n_words"}
 _SYMBOLS = "#*$%&|<>"
 _BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _STRIP = " \t\n\x0b\x0c\r"
@@ -76,36 +80,37 @@ def _bucket(x):
 
 def sketches(stats: DataFrame) -> DataFrame:
     """(lang, source, metric, bucket, n): the finest sketches, from which coarser ones are summed."""
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), _bucket(F.expr(e).cast("double")).alias("bucket")) for m, (e, _, _) in METRICS.items()])
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), _bucket(F.expr(e).cast("double")).alias("bucket")) for m, e in SKETCHED.items()])
     return stats.where("not base_failed").select("lang", "source", F.explode(pairs).alias("p")).groupBy("lang", "source", "p.metric", "p.bucket").agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
+def _fences(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
+    """A row per group: {tag}_n, its documents, and {tag}_hi_METRIC, {tag}_lo_METRIC from its own sketches."""
     part = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*keys, "metric")
     cum = part.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.lit(q) * F.col("total"), F.col("bucket")))
+    at = lambda tenths: F.min(F.when(F.col("upto") * 10 >= F.col("total") * tenths, F.col("bucket")))
     value = lambda b: F.when(b == 0, F.lit(0.0)).otherwise(FLOOR * F.pow(F.lit(GAMMA), b - F.lit(0.5)))
-    out = cum.groupBy(*keys, "metric").agg(at(0.25).alias("b1"), at(0.75).alias("b3"), F.max("total").alias("total"))
-    lo = hi = F.lit(None).cast("double")
-    for m, (_, spread, sides) in METRICS.items():
-        reach = REACH * F.greatest(value(F.col("b3")) - value(F.col("b1")), F.lit(spread))
-        hi = F.when(F.col("metric") == m, value(F.col("b3")) + reach).otherwise(hi)
+    out = cum.groupBy(*keys, "metric").agg(F.max("total").alias("n"), *[value(at(t)).alias(f"q{t}") for t in (1, 5, 9)])
+    out = out.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("metric") == m, F.struct("q1", "q5", "q9"))).alias(m) for m in SKETCHED])
+    columns = [F.col("n").alias(f"{tag}_n")]
+    for m, (_, reach, allowed, sides) in METRICS.items():
+        low, mid, high = (F.col(f"{m}.q{t}") for t in (1, 5, 9))
+        columns.append(F.greatest(high + reach * (high - mid), allowed / F.col("words.q1")).alias(f"{tag}_hi_{m}"))
         if sides == "both":
-            lo = F.when(F.col("metric") == m, value(F.col("b1")) - reach).otherwise(lo)
-    out = out.select(*keys, "metric", "total", lo.alias("lo"), hi.alias("hi"))
-    aggs = [F.max(F.when(F.col("metric") == m, F.struct("total", "lo", "hi"))).alias(f"{tag}_{m}") for m in METRICS]
-    return out.groupBy(*keys).agg(*aggs)
+            columns.append((low - reach * (mid - low)).alias(f"{tag}_lo_{m}"))
+    return out.select(*keys, *columns)
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row per (lang, source) that has a document past the base rules: a fence (lo, hi) for each metric."""
-    fine = _quartiles(sketch, ["lang", "source"], "f")
-    lang = _quartiles(sketch, ["lang"], "l").withColumnRenamed("lang", "_lang")
-    whole = _quartiles(sketch.withColumn("_all", F.lit(1)), ["_all"], "w").drop("_all")
+    """One row per (lang, source) that has a document past the base rules: hi_METRIC and, where it has two sides, lo_METRIC."""
+    fine = _fences(sketch, ["lang", "source"], "f")
+    lang = _fences(sketch, ["lang"], "l").withColumnRenamed("lang", "_lang")
+    whole = _fences(sketch.withColumn("_all", F.lit(1)), ["_all"], "w").drop("_all")
     out = fine.join(lang, same(fine["lang"], lang["_lang"])).crossJoin(F.broadcast(whole))  # whole has one row
-    pick = [F.when(F.col(f"f_{m}.total") >= LEAST, F.col(f"f_{m}")).when(F.col(f"l_{m}.total") >= LEAST, F.col(f"l_{m}")).otherwise(F.col(f"w_{m}")).alias(f"t_{m}") for m in METRICS]
-    return out.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *pick)
+    blend = lambda n, own, parent: (n * own + PRIOR * parent) / (n + PRIOR)
+    names = [c[2:] for c in whole.columns if c != "w_n"]
+    return out.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[blend(F.col("f_n"), F.col(f"f_{c}"), blend(F.col("l_n"), F.col(f"l_{c}"), F.col(f"w_{c}"))).alias(c) for c in names])
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -121,11 +126,11 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     fence = staged(thresholds(sketches(stats)), "fences")
     out = stats.join(fence, same(stats["lang"], fence["_lang"]) & same(stats["source"], fence["_source"]), "left")
     good = ~F.col("base_failed")
-    for m, (e, _, sides) in METRICS.items():
+    for m, (e, *_, sides) in METRICS.items():
         x = F.expr(e).cast("double")
-        good = good & (x <= F.col(f"t_{m}.hi"))
+        good = good & (x <= F.col(f"hi_{m}"))
         if sides == "both":
-            good = good & (x >= F.col(f"t_{m}.lo"))
+            good = good & (x >= F.col(f"lo_{m}"))
     return out.select("doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.coalesce(good, F.lit(False)).alias("kept"))
 
 
@@ -136,17 +141,25 @@ def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The query in SQL: the base columns from word lists, then the fences from the same log buckets."""
     value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE {FLOOR} * pow({GAMMA}, {b} - 0.5) END"
-    rows = " UNION ALL ".join(f"SELECT r, lang, source, base_failed, '{m}' AS metric, CAST({e.replace('1L', '1')} AS DOUBLE) AS x, {spread} AS spread, {str(sides == 'both').lower()} AS low FROM b" for m, (e, spread, sides) in METRICS.items())
+    rows = " UNION ALL ".join(f"SELECT r, lang, source, base_failed, '{m}' AS metric, CAST({e.replace('1L', '1')} AS DOUBLE) AS x FROM b" for m, e in SKETCHED.items())
+    names = [f"hi_{m}" for m in METRICS] + [f"lo_{m}" for m, (*_, sides) in METRICS.items() if sides == "both"]
 
     def fence(tag: str, keys: str) -> str:
         by = f"{keys}, " if keys else ""
-        return f"""{tag}c AS (SELECT {by}metric, spread, low, bucket, sum(count(*)) OVER (PARTITION BY {by}metric ORDER BY bucket) AS upto, sum(count(*)) OVER (PARTITION BY {by}metric) AS total
-  FROM k GROUP BY {by}metric, spread, low, bucket),
-{tag}q AS (SELECT {by}metric, spread, low, total, min(CASE WHEN upto >= 0.25 * total THEN bucket END) AS b1, min(CASE WHEN upto >= 0.75 * total THEN bucket END) AS b3 FROM {tag}c GROUP BY {by}metric, spread, low, total),
-{tag} AS (SELECT {by}metric, total, {value("b3")} + {REACH} * greatest({value("b3")} - {value("b1")}, spread) AS hi,
-  CASE WHEN low THEN {value("b1")} - {REACH} * greatest({value("b3")} - {value("b1")}, spread) END AS lo FROM {tag}q)"""
-
-    pick = lambda c: f"CASE WHEN f.total >= {LEAST} THEN f.{c} WHEN g.total >= {LEAST} THEN g.{c} ELSE a.{c} END"
+        group = f"GROUP BY {keys}" if keys else ""
+        q = lambda m, t: f"max(CASE WHEN metric = '{m}' THEN q{t} END)"
+        hi = [f"greatest({q(m, 9)} + {reach} * ({q(m, 9)} - {q(m, 5)}), {allowed} / {q('words', 1)}) AS hi_{m}" for m, (_, reach, allowed, _) in METRICS.items()]
+        lo = [f"{q(m, 1)} - {reach} * ({q(m, 5)} - {q(m, 1)}) AS lo_{m}" for m, (_, reach, _, sides) in METRICS.items() if sides == "both"]
+        at = ", ".join(f"min(CASE WHEN upto * 10 >= total * {t} THEN bucket END) AS b{t}" for t in (1, 5, 9))
+        return f"""{tag}c AS (SELECT {by}metric, bucket, sum(count(*)) OVER (PARTITION BY {by}metric ORDER BY bucket) AS upto, sum(count(*)) OVER (PARTITION BY {by}metric) AS total
+  FROM k GROUP BY {by}metric, bucket),
+{tag}b AS (SELECT {by}metric, max(total) AS n, {at} FROM {tag}c GROUP BY {by}metric),
+{tag}q AS (SELECT *, {", ".join(f"{value(f'b{t}')} AS q{t}" for t in (1, 5, 9))} FROM {tag}b),
+{tag} AS (SELECT {by}max(n) AS n, {", ".join(hi + lo)} FROM {tag}q {group})"""
+
+    parent = lambda c: f"((g.n * g.{c} + {PRIOR} * a.{c}) / (g.n + {PRIOR}))"
+    blend = ", ".join(f"(f.n * f.{c} + {PRIOR} * {parent(c)}) / (f.n + {PRIOR}) AS {c}" for c in names)
+    sides = " AND ".join([f"max(CASE WHEN metric = '{m}' THEN x END) <= max(hi_{m})" for m in METRICS] + [f"max(CASE WHEN metric = '{n[3:]}' THEN x END) >= max({n})" for n in names if n.startswith("lo_")])
     return rf"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 l AS MATERIALIZED (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS l FROM d),
@@ -163,9 +176,8 @@ k AS MATERIALIZED (SELECT *, CASE WHEN x < {FLOOR} THEN 0 ELSE CAST(floor(ln(x /
 {fence("f", "lang, source")},
 {fence("g", "lang")},
 {fence("a", "")},
-v AS (SELECT m.r, bool_and(m.x <= {pick("hi")} AND coalesce(m.x >= {pick("lo")}, true)) AS good FROM m
-  JOIN f ON f.lang IS NOT DISTINCT FROM m.lang AND f.source IS NOT DISTINCT FROM m.source AND f.metric = m.metric
-  JOIN g ON g.lang IS NOT DISTINCT FROM m.lang AND g.metric = m.metric JOIN a ON a.metric = m.metric GROUP BY m.r)
+t AS (SELECT f.lang, f.source, {blend} FROM f JOIN g ON g.lang IS NOT DISTINCT FROM f.lang CROSS JOIN a),
+v AS (SELECT m.r, {sides} AS good FROM m JOIN t ON t.lang IS NOT DISTINCT FROM m.lang AND t.source IS NOT DISTINCT FROM m.source GROUP BY m.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(good, false) AS kept FROM b LEFT JOIN v USING (r)
 """
 
