@@ -1,15 +1,16 @@
 """Sharding (operator 5): histogram sort into shards of near equal bytes.
 
-Rows are ordered by a 64-bit hash of their text, then by one of their id. Probes cut that key space evenly; exact
+Rows are ordered by a 64-bit hash of their text, then by one of their id, then by one of their own. Probes cut that key space evenly; exact
 bytes below each probe are counted over all partitions at once, and the probes move into the intervals that hold a
 wanted boundary until each boundary meets the tolerance. Only then are rows exchanged, once. Equal texts share a
-key, so a group of them is cut only where it is itself larger than the tolerance; there the second key decides.
+key, so a group of them is cut only where it is itself larger than the tolerance; there the second key decides, and
+the third among rows that also share an id, or have none.
 Native expressions throughout.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import staged, table
@@ -21,13 +22,20 @@ _SPAN = 1 << 64
 _BIAS = 1 << 63
 
 
+KEYS = ("h", "g", "r")
+
+
 class Boundary:
-    """The search for one splitter: keys in [low, high) of the hash at `level` (0: text, 1: id), `below` bytes under low."""
+    """The search for one splitter: keys in [low, high) of the column KEYS[len(prefix)], `below` bytes under low."""
+
+    def __init__(self, goal: float):
+        self.goal, self.prefix = goal, ()
+        self.low, self.shift, self.below, self.done = 0, 64, 0, False
+        self.cut: tuple[int, ...] = ()  # rows whose first keys are under it are below
 
-    def __init__(self, goal: float, total: int):
-        self.goal, self.level, self.prefix = goal, 0, None
-        self.low, self.shift, self.below, self.inside, self.done = 0, 64, 0, total, False
-        self.cut: tuple[int, int] | None = None  # rows with a key under (text hash, id hash) are below
+    @property
+    def spot(self) -> tuple:
+        return self.prefix, self.low, self.shift
 
 
 def _settle(b: Boundary, bins: dict[int, int], tolerance: float) -> None:
@@ -43,35 +51,32 @@ def _settle(b: Boundary, bins: dict[int, int], tolerance: float) -> None:
     low = b.low + at * step
     near = (b.goal - upto, low) if b.goal - upto <= upto + size - b.goal else (upto + size - b.goal, low + step)
     if near[0] <= tolerance:
-        b.done, b.cut = True, (near[1], 0) if b.level == 0 else (b.prefix, near[1])
+        b.done, b.cut = True, (*b.prefix, near[1])
         return
-    b.low, b.shift, b.below, b.inside = low, b.shift - BITS, upto, size
+    b.low, b.shift, b.below = low, b.shift - BITS, upto
     if b.shift == 0:
-        if b.level == 0:  # one text: its group is cut by the second key
-            b.prefix, b.level, b.low, b.shift = b.low, 1, 0, 64
-        else:  # one row, or rows that are equal: the nearer side
-            b.done, b.cut = True, (b.prefix, near[1])
+        if len(b.prefix) + 1 < len(KEYS):  # rows that are equal in this key: their group is cut by the next
+            b.prefix, b.low, b.shift = (*b.prefix, b.low), 0, 64
+        else:  # one row: the nearer side
+            b.done, b.cut = True, (*b.prefix, near[1])
 
 
-def splitters(keys: DataFrame, shards: int, total: int) -> list[tuple[int, int]]:
-    """The boundaries between shards. keys: (h, g, size). Counts of at most shards * 2**BITS bins come to the driver a round."""
-    found = [Boundary(total * i / shards, total) for i in range(1, shards)]
+def splitters(keys: DataFrame, shards: int, total: int) -> list[tuple[int, ...]]:
+    """The boundaries between shards. keys: (h, g, r, size). Counts of at most shards * 2**BITS bins come to the driver a round."""
+    found = [Boundary(total * i / shards) for i in range(1, shards)]
     while open_ := [b for b in found if not b.done]:
-        spots = {(b.level, b.prefix, b.low, b.shift) for b in open_}
-        counted: dict[tuple, dict[int, int]] = {}
-        for level, prefix, low, shift in spots:
-            counted[(level, prefix, low, shift)] = {}
+        counted: dict[tuple, dict[int, int]] = {b.spot: {} for b in open_}
         which = F.lit(None).cast("int")
         bins = F.lit(None).cast("long")
         names = list(counted)
-        for i, (level, prefix, low, shift) in enumerate(names):
-            column = F.col("h" if level == 0 else "g")
+        for i, (prefix, low, shift) in enumerate(names):
+            column = F.col(KEYS[len(prefix)])
             signed = low - _BIAS
-            mine = column >= F.lit(signed) if shift < 64 else F.lit(True)
+            mine = F.lit(True)
             if shift < 64:
-                mine = mine & (column <= F.lit(signed + (1 << shift) - 1))
-            if level == 1:
-                mine = mine & (F.col("h") == F.lit(prefix - _BIAS))
+                mine = (column >= F.lit(signed)) & (column <= F.lit(signed + (1 << shift) - 1))
+            for name, x in zip(KEYS, prefix, strict=False):
+                mine = mine & (F.col(name) == F.lit(x - _BIAS))
             bits = F.shiftrightunsigned(column.bitwiseXOR(F.lit(-_BIAS)), shift - BITS).bitwiseAND(F.lit((1 << BITS) - 1))
             which = F.when(mine, F.lit(i)).otherwise(which)
             bins = F.when(mine, bits.cast("long")).otherwise(bins)
@@ -79,31 +84,37 @@ def splitters(keys: DataFrame, shards: int, total: int) -> list[tuple[int, int]]
         for r in rows:
             counted[names[r["i"]]][int(r["bin"])] = int(r["size"])
         for b in open_:
-            _settle(b, counted[(b.level, b.prefix, b.low, b.shift)], TOLERANCE * total / shards)
+            _settle(b, counted[b.spot], TOLERANCE * total / shards)
     return sorted(b.cut for b in found)
 
 
+def _at_least(cut: tuple[int, ...], names: tuple[str, ...]) -> Column:
+    """Whether a row's keys are not under the cut, in order."""
+    key, x = F.col(names[0]), cut[0]
+    if x >= _SPAN:
+        return F.lit(False)  # nothing lies above
+    at = F.lit(x - _BIAS)
+    if len(cut) == 1:
+        return key >= at
+    return (key > at) | ((key == at) & _at_least(cut[1:], names[1:]))
+
+
 def histogram_shards(keys: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Adds shard (0 to shards - 1) and slot (from 0, without gaps) to rows with h (long hash), g (long hash) and size (long >= 1).
+    """Adds shard (0 to shards - 1) and slot (from 0, without gaps) to rows with h, g, r (long hashes) and size (long >= 1).
 
-    Shards are ranges of (h, g). Slots follow lanes of g within a shard. Rows with equal h and g can't be told apart
-    and share a shard. Fewer rows than shards leave shards empty; so does an empty table.
+    Shards are ranges of (h, g, r). Slots follow lanes of g and r within a shard. Only rows with all three keys equal
+    can't be told apart and share a shard. Fewer rows than shards leave shards empty; so does an empty table.
     """
     total = keys.agg(F.sum("size").alias("s")).first()["s"] or 0
     cuts = splitters(keys, shards, int(total)) if total else []
     shard = F.lit(0)
-    for h, g in cuts:
-        if h >= _SPAN:
-            continue  # nothing lies above
-        above = F.col("h") > F.lit(h - _BIAS)
-        at = F.col("h") == F.lit(h - _BIAS)
-        above = above | (at & (F.col("g") >= F.lit(g - _BIAS)) if 0 < g < _SPAN else at if g == 0 else F.lit(False))
-        shard = shard + above.cast("int")
-    rows = keys.withColumn("shard", shard).withColumn("lane", F.pmod(F.xxhash64("g"), F.lit(LANES)).cast("int"))
+    for cut in cuts:
+        shard = shard + _at_least(cut, KEYS).cast("int")
+    rows = keys.withColumn("shard", shard).withColumn("lane", F.pmod(F.xxhash64("g", "r"), F.lit(LANES)).cast("int"))
     sizes = rows.groupBy("shard", "lane").agg(F.count("*").alias("c"))  # shards * LANES rows at most
     before = F.sum("c").over(Window.partitionBy("shard").orderBy("lane")) - F.col("c")
     sizes = sizes.select("shard", "lane", before.alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "lane").orderBy("h", "g"))
+    rank = F.row_number().over(Window.partitionBy("shard", "lane").orderBy(*KEYS))
     rows = rows.withColumn("rank", rank.cast("long")).join(F.broadcast(sizes), ["shard", "lane"])
     return rows.withColumn("slot", F.col("before") + F.col("rank") - 1).drop("lane", "rank", "before")
 
@@ -112,13 +123,17 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     size: bytes of the text in UTF-8 (null: none) plus 8, so every row weighs something. A null text is not equal to
-    an empty one; the crc32 of both is 0. Null and repeated ids are allowed. Other columns are not read.
+    an empty one; the crc32 of both is 0. Null and repeated ids are allowed: rows that repeat id and text are told
+    apart by their place in the input, so that such a group, too, is cut where a boundary falls; which of its rows
+    go to which side then depends on the input's files. A very long text is one row of its size, and a shard may
+    exceed the others by as much. Ties have no meaning here. Other columns are not read.
     """
     text = F.col("text").cast("string")
     raw = F.coalesce(text.cast("binary"), F.lit(b""))
     size = (F.octet_length(raw) + 8).cast("long")
     g = F.xxhash64(F.col("doc_id").cast("long"), F.lit(9))
-    keys = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(text).alias("h"), g.alias("g")), "keys")
+    r = F.xxhash64(F.monotonically_increasing_id(), F.lit(10))  # written once, so it stays
+    keys = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(text).alias("h"), g.alias("g"), r.alias("r")), "keys")
     out = histogram_shards(keys, shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
