@@ -2,8 +2,9 @@
 
 A word's features are its character n-grams with word edges (so prefixes and suffixes too) and its entry in a
 lexicon learned with the rest; transitions between word labels are learned from runs of words, some of which
-switch language midway. Forward-backward gives each word's label probabilities; a document gets the language with
-the largest mean, and that mean as its score. All features are counted with whole-array operations.
+switch language midway. Forward-backward gives each word's label probabilities. `label_words` returns the stretches
+of a text by language; a document gets the language with the largest mean, and that mean as its score. All features
+are counted with whole-array operations.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from boxloom.llm.common import mix, small_batches, table
 
@@ -21,7 +24,7 @@ _U = np.uint64
 #: Bounds of the training sample: documents, and characters of a document that may be in it.
 TRAIN_DOCS, TRAIN_CHARS = 800, 50_000
 #: Feature table size, words of the lexicon, words of a chain, passes and step of AdaGrad, share of switched runs.
-BUCKETS, LEXICON, RUN, PASSES, STEP, SWITCHED = 1 << 16, 20_000, 32, 20, 0.25, 0.3
+BUCKETS, LEXICON, RUN, PASSES, STEP, SWITCHED = 1 << 16, 20_000, 128, 20, 0.25, 0.5
 #: Characters that are scored at a time.
 BLOCK = 1_000_000
 UNKNOWN = "und"
@@ -124,8 +127,16 @@ class Crf:
         size = np.diff(np.append(start, grams.shape[1])).astype(np.float32)
         return np.add.reduceat(letters, start, axis=0) / np.sqrt(size)[:, None] + self.word[entry]
 
+    def posteriors(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts by their features: which text each word is of, and the word's label probabilities."""
+        shift = np.cumsum([0] + [f[1].shape[1] for f in found])
+        owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+        start = np.concatenate([f[0] + s for f, s in zip(found, shift, strict=False)])
+        emit = self.emissions(start, np.concatenate([f[1] for f in found], axis=1), self.look_up(np.concatenate([f[2] for f in found])))
+        return owner, forward_backward(emit, runs(owner), self.move)[0]
+
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """Language and score of each text: (und, 0.0) without letters, or if nothing was learned."""
+        """Language and score of each text: (und, 0.0) without letters, or if nothing was learned. Ties go to the first label."""
         if not self.labels:
             return [(UNKNOWN, 0.0)] * len(texts)
         sums, count = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts))
@@ -135,13 +146,7 @@ class Crf:
             nonlocal block, held
             if not block:
                 return
-            shift, starts = 0, []
-            for _, (s, g, _) in block:
-                starts.append(s + shift)
-                shift += g.shape[1]
-            owner = np.repeat(np.arange(len(block)), [len(s) for s in starts])
-            emit = self.emissions(np.concatenate(starts), np.concatenate([f[1] for _, f in block], axis=1), self.look_up(np.concatenate([f[2] for _, f in block])))
-            p, _ = forward_backward(emit, runs(owner), self.move)
+            owner, p = self.posteriors([f for _, f in block])
             doc = np.array([i for i, _ in block])[owner]
             for j in range(len(self.labels)):
                 sums[:, j] += np.bincount(doc, weights=p[:, j], minlength=len(texts))
@@ -160,6 +165,38 @@ class Crf:
         best = sums.argmax(axis=1)
         return [(self.labels[b], min(1.0, float(sums[i, b] / count[i]))) if count[i] else (UNKNOWN, 0.0) for i, b in enumerate(best)]
 
+    def stretches(self, text: str | None) -> list[tuple[int, int, str, float, int]]:
+        """(begin, end, language, mean probability, words) of each longest run of words with one language, in order.
+
+        begin and end count characters of the text: from a run's first letter to past its last.
+        """
+        out: list[tuple[int, int, str, float, int]] = []
+        at = 0
+        for part in pieces(text or "") if self.labels else ():
+            found = features(part)
+            if found is not None:
+                p = self.posteriors([found])[1]
+                best = p.argmax(axis=1)
+                begin, end = word_places(part, found[0])
+                first = np.flatnonzero(np.diff(best, prepend=-1))
+                for i, j in zip(first, np.append(first[1:], len(best)), strict=True):
+                    stretch = (at + int(begin[i]), at + int(end[j - 1]), self.labels[best[i]], float(p[i:j, best[i]].mean()), int(j - i))
+                    if out and i == 0 and out[-1][2] == stretch[2]:  # goes on from the part before
+                        b, _, lang, mean, n = out.pop()
+                        stretch = (b, stretch[1], lang, (mean * n + stretch[3] * stretch[4]) / (n + stretch[4]), n + stretch[4])
+                    out.append(stretch)
+            at += len(part)
+        return out
+
+
+def word_places(text: str, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of features(text) begin and end in it; a letter may have several in lower case."""
+    lower = text.lower()
+    spot = np.flatnonzero(_letters()[np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), np.uint32)])
+    if len(lower) != len(text):
+        spot = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])[spot]
+    return spot[start], spot[np.append(start[1:], len(spot)) - 1] + 1
+
 
 def pieces(text: str) -> Iterator[str]:
     """A text in parts of about BLOCK characters, cut between words (a longer run of letters is cut where it must be)."""
@@ -241,25 +278,41 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def identify(docs: DataFrame, crf: Crf) -> DataFrame:
-    """All rows and columns of docs, with lang_pred and score (columns of those names are replaced).
-
-    Null texts and texts without letters get und and 0.0; so do all if nothing was learned.
-    """
-    docs = small_batches(docs).drop("lang_pred", "score")
+def _with(docs: DataFrame, names: tuple[str, ...], kinds: str, of) -> DataFrame:
+    """docs with columns from of(texts), one tuple a text; columns of those names are replaced."""
+    docs = small_batches(docs).drop(*names)
     at = docs.columns.index("text")
+    added = StructType.fromDDL(kinds)
+    arrow = [pa.field(f.name, to_arrow_type(f.dataType)) for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                found = crf.label(part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
+                found = list(zip(*of(part.column(at).to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, f.type) for x, f in zip(found, arrow, strict=True))], names=[*part.schema.names, *names])
 
-    from pyspark.sql.types import DoubleType, StringType, StructType
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
 
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return docs.mapInArrow(run, schema)
+
+def identify(docs: DataFrame, crf: Crf) -> DataFrame:
+    """All rows and columns of docs, with lang_pred and score (columns of those names are replaced).
+
+    Null texts and texts without letters get und and 0.0; so do all if nothing was learned. Very long texts are read
+    in parts, whole. Languages that tie go by code point. Repeated rows each keep theirs; an empty table gives none.
+    """
+    return _with(docs, ("lang_pred", "score"), "lang_pred string, score double", crf.label)
+
+
+def label_words(docs: DataFrame, crf: Crf) -> DataFrame:
+    """All rows and columns of docs, with stretches: the runs of words in one language, for texts that switch.
+
+    Each has begin and end (characters of the text), lang, score (mean probability of its words) and words (their
+    number). Texts that are null or have no letters have none; a column of that name is replaced.
+    """
+    kind = "stretches array<struct<begin: long, end: long, lang: string, score: double, words: long>>"
+    keys = ("begin", "end", "lang", "score", "words")
+    return _with(docs, ("stretches",), kind, lambda texts: [([dict(zip(keys, x, strict=True)) for x in crf.stretches(t)],) for t in texts])
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
