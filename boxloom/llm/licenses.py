@@ -1,6 +1,9 @@
 """License scans (operator 8): sparse TF-IDF cosine to licence templates, then inheritance down directories.
 
-A file's passages that speak of licensing are compared with each template by the cosine of their TF-IDF vectors.
+Templates are notices, identifier lines and the full texts of public licences, whole and in chunks, so that an excerpt
+finds its like. A file is cut into units (lines, sentences). A unit, or a run of units in the templates' words, is
+compared with all templates by the cosine of the TF-IDF vectors, through an inverted index over the templates' terms. No
+unit is passed over that could match: the part of its vector that lies in the templates' terms bounds every cosine.
 Terms' document frequencies are counted over all files, for the templates' vocabulary only, which bounds what is
 counted and sent around. A licence file speaks for its directory: files without a licence of their own inherit
 from the nearest directory above them that has one, found by a join on directory paths.
@@ -12,15 +15,20 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import small_batches, staged, table
 
-#: Least cosine of a match; share of template terms that carries a passage into the next unit; share of a file's words that makes it a licence file.
+#: Least cosine of a match; share of a unit's words in the templates' vocabulary that lets it run on; share of a file's words that makes it a licence file.
 MATCH, CARRY, WHOLE = 0.75, 0.6, 0.5
+#: Words of a chunk of a full text; parts that the files of a directory are dealt to in the join with its licence.
+CHUNK, SALTS = 150, 32
 
 # Notices and texts of public licences.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -44,7 +52,7 @@ _GPL = """This program is free software: you can redistribute it and/or modify i
 by the Free Software Foundation, either version {1} of the License, or (at your option) any later version. This program is
 distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details."""
-TEMPLATES: list[tuple[str, str]] = [
+_NOTICES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", _MIT),
@@ -74,7 +82,6 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 _TERM = re.compile(r"[a-z0-9]+")
-_TRIGGER = re.compile(r"licen[sc]|copyright|warrant|permission|redistribut|public domain|creative commons|free software", re.I)
 _UNIT = re.compile(r"(?<=[.!?;])[^\S\n]+|\n")
 _FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([.-][^/]*)?$"
 
@@ -83,74 +90,100 @@ def terms(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-VOCABULARY = sorted({t for _, text in TEMPLATES for t in terms(text)})
+@lru_cache(maxsize=1)
+def templates() -> list[tuple[str, list[str]]]:
+    """(licence, terms): notices, identifier lines, full texts and their chunks. Read where the driver runs."""
+    full = [(p.name.removesuffix(".txt"), p.read_text("utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+    names = sorted({name for name, _ in [*_NOTICES, *full]})
+    out = [(name, terms(f"SPDX-License-Identifier: {name}")) for name in names]
+    out += [(name, terms(text)) for name, text in [*_NOTICES, *full]]
+    for name, text in full:
+        words = terms(text)
+        out += [(name, words[i : i + CHUNK]) for i in range(0, len(words), CHUNK)]
+    return out
+
+
+def vocabulary() -> list[str]:
+    return sorted({t for _, words in templates() for t in words})
 
 
 class Matcher:
-    """Template vectors under given document frequencies."""
+    """Template vectors under given document frequencies, by term."""
 
     def __init__(self, frequency: dict[str, int], files: int):
-        self.idf = {t: math.log((1 + files) / (1 + frequency.get(t, 0))) + 1 for t in VOCABULARY}
+        self.idf = {t: math.log((1 + files) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary()}
         self.other = math.log(1 + files) + 1  # of a term outside the vocabulary
-        self.vectors = [(name, self.vector(terms(text))) for name, text in TEMPLATES]
+        self.names = [name for name, _ in templates()]
+        index: dict[str, list[tuple[int, float]]] = {}
+        for i, (_, words) in enumerate(templates()):
+            for t, x in self.vector(words).items():
+                index.setdefault(t, []).append((i, x))
+        self.index = {t: (np.array([i for i, _ in p]), np.array([x for _, x in p])) for t, p in index.items()}
 
     def vector(self, words: list[str]) -> dict[str, float]:
         v = {t: (1 + math.log(n)) * self.idf.get(t, self.other) for t, n in Counter(words).items()}
         size = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {t: x / size for t, x in v.items()}
 
-    def best(self, words: list[str]) -> tuple[float, str]:
+    def best(self, words: list[str]) -> tuple[float, str] | None:
+        """The largest cosine of a template and its licence, ties by name; None under MATCH."""
         v = self.vector(words)
-        scored = [(sum(x * v.get(t, 0.0) for t, x in template.items()), name) for name, template in self.vectors]
-        top = max(s for s, _ in scored)
-        return min(1.0, top), min(name for s, name in scored if s == top)
-
-    def scan(self, text: str | None) -> tuple[str | None, float | None, float]:
-        """Best licence of a text and its cosine (None under MATCH), and the share of the text's words in matching passages."""
-        if not text or not _TRIGGER.search(text):
-            return None, None, 0.0
-        units = [u for u in _UNIT.split(text) if u.strip()]
-        told = [i for i, u in enumerate(units) if _TRIGGER.search(u)]
-        words: dict[int, list[str]] = {}
-
-        def unit(i: int) -> list[str]:
-            if i not in words:
-                words[i] = terms(units[i])
-            return words[i]
-
-        def near(i: int) -> bool:
-            w = unit(i)
-            return bool(w) and sum(t in self.idf for t in w) >= CARRY * len(w)
-
-        best: tuple[float, str] = (0.0, "")
-        covered: set[int] = set()
-        done = -1
-        for i in told:
-            candidates = [range(i, i + 1)]
-            if i > done:  # the run of units around it
-                low, high = i, i + 1
-                while low > done + 1 and near(low - 1):
-                    low -= 1
-                while high < len(units) and near(high):
-                    high += 1
-                done = high - 1
-                if high - low > 1:
-                    candidates.append(range(low, high))
-            for c in candidates:
-                found = self.best([t for j in c for t in unit(j)])
-                if found[0] >= MATCH:
-                    covered.update(c)
-                    if found[0] > best[0] or (found[0] == best[0] and found[1] < best[1]):
-                        best = found
-        if best[0] < MATCH:
-            return None, None, 0.0
-        inside = sum(len(unit(i)) for i in covered)
-        return best[1], best[0], inside / max(1, len(terms(text)))
+        known = {t: x for t, x in v.items() if t in self.index}
+        if sum(x * x for x in known.values()) < MATCH * MATCH * (1 - 1e-9):
+            return None
+        cosine = np.zeros(len(self.names))
+        for t, x in known.items():
+            at, weight = self.index[t]
+            cosine[at] += x * weight
+        cosine = np.round(cosine, 9)  # sums in another order are ties
+        top = float(cosine.max())
+        return (min(1.0, top), min(self.names[i] for i in np.flatnonzero(cosine == top))) if top >= MATCH else None
+
+    def scan(self, text: str | None) -> tuple[list[tuple[str, float]], float]:
+        """A text's licences with their cosines, best first, ties by name; and the share of its words in matching passages.
+
+        Of passages that overlap, the one with the larger cosine names its licence, then the longer one.
+        """
+        units = [w for w in map(terms, _UNIT.split(text or "")) if w]
+        near = [sum(t in self.index for t in w) >= CARRY * len(w) for w in units]
+        passages: list[tuple[float, int, str, int, int]] = []
+
+        def compare(low: int, high: int) -> None:
+            if found := self.best([t for w in units[low:high] for t in w]):
+                passages.append((-found[0], low - high, found[1], low, high))
+
+        i = 0
+        while i < len(units):
+            if not near[i]:
+                if len(units[i]) > 2:
+                    compare(i, i + 1)
+                i += 1
+                continue
+            end, chunk, held = i, i, 0
+            while end < len(units) and near[end]:
+                compare(end, end + 1)
+                held += len(units[end])
+                end += 1
+                if held >= CHUNK:
+                    compare(chunk, end)
+                    chunk, held = end, 0
+            if end - i > 1:
+                compare(i, end)
+            i = end
+        found: dict[str, float] = {}
+        named, covered = set(), set()
+        for cosine, _, name, low, high in sorted(passages):
+            if named.isdisjoint(range(low, high)):
+                named.update(range(low, high))
+                found[name] = max(found.get(name, 0.0), -cosine)
+            covered.update(range(low, high))
+        best = sorted(found.items(), key=lambda x: (-x[1], x[0]))
+        return best, sum(len(units[i]) for i in covered) / max(1, sum(map(len, units)))
 
 
 def document_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
     """Files that hold each vocabulary term, and all files: one count per term comes to the driver."""
-    known = frozenset(VOCABULARY)
+    known = frozenset(vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -167,23 +200,28 @@ def document_frequencies(files: DataFrame) -> tuple[dict[str, int], int]:
 
 
 def scan_licenses(files: DataFrame) -> DataFrame:
-    """One row per input row (path, text): path, license, cosine, origin, license_dir.
+    """One row per input row (path, text): path, license, cosine, origin, license_dir, licenses.
 
     origin: own, inherited, or null if no licence reaches the file; license_dir is the directory it is inherited from.
+    license is the best of licenses, all that the file itself names (license and cosine of each; ties by name).
     A licence file is named like one (LICENSE, COPYING, NOTICE...) or consists of licence words by half. Of several in
     one directory the best match speaks, ties by name. Null paths inherit nothing; null and empty texts have no
-    licence of their own. Rows that repeat a path each keep theirs. Other columns are not read.
+    licence of their own; very long texts are read whole. Rows that repeat a path each keep theirs; an empty table
+    gives no rows. Other columns are not read.
     """
     files = small_batches(files).select(F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     matcher = Matcher(*document_frequencies(files))
+    kind = pa.list_(pa.struct([("license", pa.string()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [matcher.scan(x.as_py()) for x in b.column(1)]
-            cols = list(zip(*found, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64())], names=["path", "license", "cosine", "share"])
+            licenses = pa.array([[{"license": name, "cosine": c} for name, c in best] for best, _ in found], kind)
+            yield pa.RecordBatch.from_arrays([b.column(0), licenses, pa.array([share for _, share in found], pa.float64())], names=["path", "licenses", "share"])
 
-    scanned = files.mapInArrow(run, "path string, license string, cosine double, share double")
+    scanned = files.mapInArrow(run, "path string, licenses array<struct<license: string, cosine: double>>, share double")
+    first = F.try_element_at("licenses", F.lit(1))
+    scanned = scanned.withColumn("license", first["license"]).withColumn("cosine", first["cosine"])
     scanned = staged(scanned.withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1)), "scanned")
     speaks = F.col("license").isNotNull() & (F.col("path").rlike(_FILE) | (F.col("share") >= WHOLE))
     # the least struct: highest cosine, then first name
@@ -194,15 +232,18 @@ def scan_licenses(files: DataFrame) -> DataFrame:
     wanting = scanned.where("license is null and dir is not null").select("dir").distinct()
     chains = wanting.select("dir", F.explode(ups).alias("u")).select("dir", "u.depth", "u.above")
     nearest = chains.join(licensed, "above").groupBy("dir").agg(F.max(F.struct("depth", "above", "dir_license", "dir_cosine")).alias("x"))
-    nearest = nearest.select("dir", F.col("x.above").alias("above"), F.col("x.dir_license").alias("dir_license"), F.col("x.dir_cosine").alias("dir_cosine"))
+    # the files of one directory may be very many
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    nearest = nearest.select("dir", salts, F.col("x.above").alias("above"), F.col("x.dir_license").alias("dir_license"), F.col("x.dir_cosine").alias("dir_cosine"))
     own = F.col("license").isNotNull()
-    out = scanned.join(nearest, "dir", "left")
+    out = scanned.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(nearest, ["dir", "salt"], "left")
     return out.select(
         "path",
         F.coalesce("license", "dir_license").alias("license"),
         F.when(own, F.col("cosine")).otherwise(F.col("dir_cosine")).alias("cosine"),
         F.when(own, "own").when(F.col("dir_license").isNotNull(), "inherited").alias("origin"),
         F.when(~own, F.col("above")).alias("license_dir"),
+        "licenses",
     )
 
 
@@ -212,4 +253,4 @@ def op8_license_scan(spark, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", part("source"), part("lang"), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
     found = scan_licenses(table(spark, sf_dir, "documents").select(path.alias("path"), "text"))
     name = F.regexp_extract("path", r"([^/]*)\.txt$", 1)
-    return found.select(F.when(name != "none", name).cast("long").alias("doc_id"), "path", "license", "cosine", "origin", "license_dir")
+    return found.select(F.when(name != "none", name).cast("long").alias("doc_id"), "path", "license", "cosine", "origin", "license_dir", F.col("licenses.license").alias("licenses"))
