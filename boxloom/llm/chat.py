@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ START, END, LEARNED = "<|im_start|>", "<|im_end|>", "assistant"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 _NAME = 16
+#: Conversations that one copy of a node's tokens serves when they are read back.
+FAN = 256
 
 
 def escape(text: str) -> str:
@@ -104,7 +107,7 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(conv, pa.int64()), pa.array(depth, pa.int32()), pa.array(name, pa.binary())], names=["conv_id", "depth", "name"])
 
 
-_NODES = "conv_id long, node int, name binary, path binary, own boolean, position long, ids array<int>, loss array<struct<start:int,end:int>>"
+_NODES = "conv_id long, node int, name binary, path binary, own boolean, position long, members long, ids binary, loss array<struct<start:int,end:int>>"
 
 
 def _nodes(tokenizer: str):
@@ -112,6 +115,16 @@ def _nodes(tokenizer: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
+        marked: dict[str, list[int]] = {}
+
+        def mark(text: str) -> list[int]:
+            """Ids of a head or foot; there are few of them."""
+            if text not in marked:
+                if len(marked) >= 1000:
+                    marked.clear()
+                marked[text] = encode(text)
+            return marked[text]
+
         for b in batches:
             out = []
             for key, turns, marks in zip(b.column(0).to_pylist(), _turns(b.column(1)), b.column(2).to_pylist(), strict=True):
@@ -124,19 +137,19 @@ def _nodes(tokenizer: str):
                     ids, loss = [], []
                     for role, text in turns[at:end]:
                         head, body, foot = turn_parts(role, text)
-                        ids += encode(head)
+                        ids += mark(head)
                         start = len(ids)
                         ids += encode(body)
                         if role == LEARNED and len(ids) > start:
                             loss.append({"start": start, "end": len(ids)})
-                        ids += encode(foot)
+                        ids += mark(foot)
                     path += named[end - 1]
                     own = marks[end - 1]["owner"] == key
-                    out.append((key, node, named[end - 1], path, own, position, ids if own else [], loss if own else []))
+                    out.append((key, node, named[end - 1], path, own, position, marks[end - 1]["n"], np.array(ids if own else [], "<u4").tobytes(), loss if own else []))
                     position, node, at = position + len(ids), node + 1, end
-            cols = list(zip(*out, strict=True)) or [[]] * 8
+            cols = list(zip(*out, strict=True)) or [[]] * 9
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.list_(pa.int32()), span]
+            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), span]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _NODES.split(", ")])
 
     return run
@@ -146,8 +159,9 @@ def format_chats(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFr
     """(emitted, members) for rows (conv_id, turn, role, text).
 
     emitted: one row per tree node in depth-first order: name, path, start (its offset in the stream of tokens),
-    position (of its first token), ids, loss (token intervals of assistant texts), attend (merged intervals of the
-    stream that hold its ancestors). members: conv_id, node (0, 1, ...), name: the nodes that make up a conversation.
+    position (of its first token), members (conversations that pass through), ids (unsigned, 32 bits each, little-endian),
+    loss (token intervals of assistant texts), attend (merged intervals of the stream that hold its ancestors).
+    members: conv_id, node (0, 1, ...), name, members: the nodes that make up a conversation.
 
     Turns are ordered by turn; rows with equal turn by role and text; repeated rows are turns of their own. Null
     roles and texts are empty. Rows with a null conv_id are one conversation. An empty table gives empty results.
@@ -161,9 +175,9 @@ def format_chats(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFr
     marks = marks.withColumnRenamed("conv_id", "_conv")
     both = chats.join(marks, same(chats["conv_id"], marks["_conv"])).select("conv_id", "turns", "marks")
     nodes = staged(both.mapInArrow(_nodes(tokenizer or default_tokenizer()), _NODES), "tree")
-    members = nodes.select("conv_id", "node", "name")
-    own = nodes.where("own").select("name", "path", "position", "ids", "loss").repartitionByRange("path").sortWithinPartitions("path")
-    own = staged(own.withColumn("part", F.spark_partition_id()).withColumn("n", F.size("ids").cast("long")), "own")
+    members = nodes.select("conv_id", "node", "name", "members")
+    own = nodes.where("own").select("name", "path", "position", "members", "ids", "loss").repartitionByRange("path").sortWithinPartitions("path")
+    own = staged(own.withColumn("part", F.spark_partition_id()).withColumn("n", (F.octet_length("ids") / 4).cast("long")), "own")
     parts = own.groupBy("part").agg(F.sum("n").alias("all"))  # a row per partition
     parts = parts.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("before"))
     inside = F.sum("n").over(Window.partitionBy("part").orderBy("path")) - F.col("n")
@@ -179,14 +193,17 @@ def format_chats(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFr
         lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] == x["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), x["end"].alias("end"))))).otherwise(F.concat(acc, F.array(x))),
     )
     attend = spans.select("name", merged.alias("attend"))
-    emitted = own.select("name", "path", "position", "ids", "loss").join(places.select("name", "start"), "name").join(attend, "name", "left")
+    emitted = own.select("name", "path", "position", "members", "ids", "loss").join(places.select("name", "start"), "name").join(attend, "name", "left")
     return emitted, members
 
 
 def read_back(emitted: DataFrame, members: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Per conversation, from its nodes' tokens and loss intervals: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
     path = tokenizer or default_tokenizer()
-    rows = members.join(emitted.select("name", "ids", "loss"), "name")
+    # a node of very many conversations is joined in copies
+    copies = F.ceil(F.col("members") / FAN)
+    nodes = emitted.select("name", "ids", "loss", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("part"))
+    rows = members.withColumn("part", F.pmod(F.xxhash64("conv_id"), copies)).join(nodes, ["name", "part"])
     rows = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("node", "ids", "loss"))).alias("nodes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +213,7 @@ def read_back(emitted: DataFrame, members: DataFrame, tokenizer: str | None = No
             for key, nodes in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text, learned = [], []
                 for node in nodes.as_py():
-                    ids = node["ids"]
+                    ids = np.frombuffer(node["ids"], "<u4").tolist()
                     text += [raw[i] for i in ids]
                     learned += [unescape(b"".join([raw[i] for i in ids[x["start"] : x["end"]]]).decode()) for x in node["loss"]]
                 formatted, loss = b"".join(text).decode(), "".join(learned)
