@@ -43,7 +43,8 @@ def _deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archive(pages: DataFrame, path: str) -> None:
     """Writes a record for each row of pages (page_id, url, html) into the archive at path.
 
-    A null html is an empty payload, a null url an empty target. Of the records with one payload of REVISIT bytes
+    A null html is an empty payload, a null url an empty target; a url with line ends, which a header can't hold, also
+    stands there in hexadecimal digits, from which it is read. Of the records with one payload of REVISIT bytes
     or more, that with the largest page_id is the response (null ids are smaller than any; rows that repeat the
     largest id are all responses); the others are revisits that refer to it. Smaller payloads are all responses.
     Other columns are not read. An empty table gives an archive without records.
@@ -68,6 +69,7 @@ def write_archive(pages: DataFrame, path: str) -> None:
         line("WARC-Record-ID", _id(F.col("page_id"))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]+", " ")),
+        F.when(F.col("url").rlike(r"[\r\n]"), line("X-Target-URI-Hex", F.hex(F.col("url").cast("binary")))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         line("X-Payload-Length", F.col("size").cast("string")),
         F.when(revisit, F.concat(line("WARC-Refers-To", _id(F.col("owner"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
@@ -105,7 +107,8 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(record) - (len(header) - len(http)) != int(fields["Content-Length"]):
                 raise ValueError(f"length of {fields['WARC-Record-ID']} is not what was written")
             page = lambda x: None if x is None or x == "<urn:page:null>" else int(x[10:-1])
-            out.append((page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], page(fields.get("WARC-Refers-To")), digest, size, record))
+            url = bytes.fromhex(fields["X-Target-URI-Hex"]).decode() if "X-Target-URI-Hex" in fields else fields["WARC-Target-URI"]
+            out.append((page(fields["WARC-Record-ID"]), url, fields["WARC-Type"], page(fields.get("WARC-Refers-To")), digest, size, record))
         cols = list(zip(*out, strict=True)) or [[]] * 7
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "record"])
