@@ -19,21 +19,22 @@ from boxloom.llm.common import WORD, same, staged, table, text_hash
 #: Weights by the sources' order, repeating; words to take in all as a share of the words there; copies at most.
 WEIGHTS, SHARE, COPIES = (5, 2, 1), Fraction(3, 2), 2
 SEED = 17
-#: Budget that the dynamic programme is left with, beside one longest document; documents of a rank window.
+#: Words that the dynamic programme is left to fit, beside one longest document: its table's size. Proportional shares, and
+#: one more of the lengths that they round down most, come this near a budget, so with any REST the words taken differ from
+#: it by half a longest document at most where that many documents are left. Documents of a rank window.
 REST, WINDOW = 1 << 16, 1000
 
 
 def targets(sizes: list[int], weights: list[int], share: Fraction = SHARE, copies: int = COPIES) -> list[float]:
-    """Water filling: shares by weight, no source above `copies` times its size, the excess shared again."""
-    total, fixed = share * sum(sizes), {}
-    while True:
-        left = [i for i in range(len(sizes)) if i not in fixed]
-        rest, by = total - sum(fixed.values()), sum(weights[i] for i in left)
-        part = {i: rest * weights[i] / by for i in left}
-        above = {i: Fraction(copies * sizes[i]) for i, x in part.items() if x > copies * sizes[i]}
-        if not above:
-            return [float((fixed | part)[i]) for i in range(len(sizes))]
-        fixed |= above
+    """Water filling: shares by weight, no source above `copies` times its size, the excess shared again.
+
+    Sources fill up in order of their size by weight, so one pass in that order finds those that are full.
+    """
+    rest, by, out = share * sum(sizes), sum(weights), [0.0] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: Fraction(sizes[i], weights[i])):
+        part = min(rest * weights[i] / by, Fraction(copies * sizes[i]))
+        out[i], rest, by = float(part), rest - part, by - weights[i]
+    return out
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
