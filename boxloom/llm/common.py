@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -13,25 +16,50 @@ _own_root: list[str] = []
 
 
 def work_root(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of our own only where it is unset."""
+    """The folder named in spark.checkpoint.dir; a temporary one of our own where it is unset and all runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own_root:
             _own_root.append(tempfile.mkdtemp(prefix="boxloom-"))
+            atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
             spark.sparkContext.setCheckpointDir(_own_root[0])
         root = _own_root[0]
     return root.rstrip("/")
 
 
+#: Bounds of what one Arrow batch of long texts takes outside the heap.
+_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """Bounds what one Arrow batch of long texts takes outside the heap, for this session; returns df."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Lowers the bounds of Arrow batches of df's session to _BATCH where they are above; returns df.
+
+    Results are evaluated after an operator returns, so the settings stay; they change no result.
+    """
+    conf = df.sparkSession.conf
+    for key, most in _BATCH.items():
+        now = conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= int(most):
+            conf.set(key, most)
     return df
 
 
+_used: list[str] = []
+
+
 def work_path(spark: SparkSession, label: str) -> str:
-    return f"{work_root(spark)}/boxloom/{label}-{uuid.uuid4().hex}"
+    _used.append(f"{work_root(spark)}/boxloom/{label}-{uuid.uuid4().hex}")
+    return _used[-1]
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the work tables that this process has written so far: call it when all results that read them are written."""
+    jvm = spark._jvm
+    while _used:
+        path = jvm.org.apache.hadoop.fs.Path(_used.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
@@ -141,5 +169,4 @@ def windows(words: np.ndarray, n: int) -> np.ndarray:
 
 def window3(words: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each three-word window."""
-    a, b, c = words[:-2], words[1:-1], words[2:]
-    return mix(mix(mix(a) + b) * _U(0x9E3779B97F4A7C15) + c)
+    return windows(words, 3)
