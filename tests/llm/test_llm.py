@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on edge cases and on the test tables."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -93,6 +94,45 @@ def test_jaccard_of_other_shingles_and_thresholds(spark, edge, group, n, num, de
     assert got == Counter((r[0], len(s), least[x]) for r, s, x in zip(rows, sets, label, strict=True))
 
 
+@pytest.mark.parametrize(("num", "den"), [(90, 100), (80, 100), (1, 2)])
+def test_sets_that_link_share_a_key_and_have_near_sketches(num, den):
+    rng = np.random.default_rng(9)
+    for n in [*range(3, 60), 100, 333, 900, 4000]:
+        for _ in range(6 if n < 60 else 3):
+            a = rng.integers(0, 2**63, n, dtype=np.uint64)
+            differ = int(2 * n * (den - num) / (den + num))
+            gone = rng.integers(0, differ + 1)
+            b = np.concatenate((a[gone:], rng.integers(0, 2**63, rng.integers(0, differ - gone + 1), dtype=np.uint64)))
+            a, b = np.unique(a), np.unique(b)
+            same = len(np.intersect1d(a, b))
+            width = min(len(jaccard.parity_sketch(x)) for x in (a, b))
+            apart = np.bitwise_count(jaccard.fold(jaccard.parity_sketch(a), width) ^ jaccard.fold(jaccard.parity_sketch(b), width)).sum()
+            assert apart <= len(a) + len(b) - 2 * same
+            if den * same >= num * (len(a) + len(b) - same) and not np.array_equal(a, b):
+                assert len(np.intersect1d(jaccard.segment_keys(a, num, den), jaccard.segment_keys(b, num, den)))
+
+
+def test_unrelated_long_sets_share_no_key():
+    rng = np.random.default_rng(10)
+    keys = [np.unique(jaccard.segment_keys(np.unique(rng.integers(0, 2**64, 12_200, dtype=np.uint64)))) for _ in range(2000)]
+    found, times = np.unique(np.concatenate(keys), return_counts=True)
+    assert times.max() == 1 and len(found) > 2000 * 500
+
+
+def test_trie_finds_all_links():
+    rng = np.random.default_rng(11)
+    base = [np.unique(rng.integers(0, 400, 60).astype(np.uint64)) for _ in range(12)]
+    sets = [np.unique(np.concatenate((b[rng.random(len(b)) < 0.97], rng.integers(0, 400, 2).astype(np.uint64)))) for b in base for _ in range(8)]
+    trie, sketches = jaccard.SetTrie(np.zeros(0, np.uint64), 80, 100), jaccard.Sketches(sets, 80, 100)
+    for i, h in enumerate(sets):
+        trie.add(h, i, lambda x: x)
+    for i, h in enumerate(sets):
+        want = {j for j, g in enumerate(sets) if j != i and 100 * len(np.intersect1d(h, g)) >= 80 * len(np.union1d(h, g))}
+        near = [j for j in sketches.near(i).tolist() if j != i]
+        assert want <= set(near)
+        assert set(trie.search(h, lambda x: x, lambda: i, near)) == want == set(trie.search(h, lambda x: x, lambda: i)) - {i}
+
+
 def test_near_copies_of_the_stage(spark):
     import corpus_pipeline as pipeline
 
@@ -163,6 +203,28 @@ def test_top_k(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_many_blocks_and_few_copies(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 1)
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=4) * 1.01 ** (-i % 700)).tolist()) for i in range(700)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, k=1).collect())
+    v = np.floor(1024 * np.array([x for _, x in rows]))
+    want = []
+    for q in range(0, 700, 100):
+        score = v @ v[q]
+        score[q] = -np.inf
+        want.append((q, 1, int(np.argmax(score)), int(score.max())))
+    assert got == want
+
+
+def test_blocks_that_cannot_reach_a_floor_are_left_out(spark):
+    asks = spark.createDataFrame([(0, 1, 10.0, 1000.0), (0, 2, 20.0, 3000.0), (1, 3, 10.0, None), (2, 4, 5.0, 10_000.0)], "part int, vec_id long, norm double, floor double")
+    rows = spark.createDataFrame([(b, b, float(n)) for b, n in enumerate([400, 200, 101, 95, 50, 0])], "block int, vec_id long, norm double")
+    got = {tuple(r) for r in topk.reachable(asks, rows).collect()}
+    assert got == {(0, 0), (0, 1), (0, 2)} | {(1, b) for b in range(6)}
+
+
 def test_scores_of_any_size():
     q, rows = np.array([2.0**40, 3.0]), np.array([[2.0**40, 1.0], [1.0, 5.0]])
     assert topk.exact_scores(q, rows).tolist() == [(1 << 63) - 1, (1 << 40) + 15]
@@ -185,9 +247,40 @@ def test_quality_keeps_even_text_and_drops_symbols(spark):
     assert all(got[i] for i in range(300)) and not any(got[i] for i in (900, 901, 902))
 
 
+def test_a_fence_follows_its_source(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+
+    def fences(shift):
+        rng.seed(12)
+        texts = [(i, " ".join(word() + "#" * (s == "s1" and shift and rng.random() < 0.3) for _ in range(120)), "en", s) for i, s in enumerate(f"s{i % 12}" for i in range(1200))]
+        df = docs(spark, texts).select("doc_id", "lang", "source", F.lit(0).cast("long").alias("text_hash"), "text")
+        stats = df.mapInArrow(quality._base_rows, f"doc_id long, lang string, source string, text_hash long, {quality._BASE}").withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+        return {r["_source"]: r["hi_symbols"] for r in quality.thresholds(quality.sketches(stats)).collect()}
+
+    before, after = fences(False), fences(True)
+    assert after["s1"] > 3 * before["s1"] and len(after) == 12
+    # a source of under a tenth of a language's documents is beyond the tail that the others inherit
+    assert all(after[s] == pytest.approx(before[s]) for s in after if s != "s1")
+
+
 def test_targets():
     assert mixing.targets([100, 10, 10], [5, 2, 1]) == pytest.approx([140, 20, 20])
     assert mixing.targets([0, 10], [5, 2]) == [0.0, 15.0]
+    rng = random.Random(15)
+    for _ in range(200):  # against the rule as it is told: fix what is above, share the rest again
+        sizes = [rng.randint(0, 50) for _ in range(rng.randint(1, 9))]
+        weights = [mixing.WEIGHTS[i % 3] for i in range(len(sizes))]
+        fixed = {}
+        while True:
+            rest = 1.5 * sum(sizes) - sum(fixed.values())
+            by = sum(w for i, w in enumerate(weights) if i not in fixed) or 1
+            part = {i: rest * weights[i] / by for i in range(len(sizes)) if i not in fixed}
+            above = {i: 2.0 * sizes[i] for i, x in part.items() if x > 2 * sizes[i] + 1e-9}
+            if not above:
+                break
+            fixed |= above
+        assert mixing.targets(sizes, weights) == pytest.approx([(fixed | part)[i] for i in range(len(sizes))], abs=1e-6)
 
 
 def test_knapsack_against_all_sums():
@@ -209,6 +302,15 @@ def test_knapsack_against_all_sums():
 
 def test_mix(spark, edge):
     got = mixing.mix_sources(docs(spark, edge)).toPandas()
+    sizes, size = Counter(), Counter((i if i is not None else -1, src, len(words(t))) for i, t, _, src in edge)
+    for _, t, _, src in edge:
+        sizes[src] += len(words(t))
+    assert Counter(zip(got.doc_id.fillna(-1).astype(int), got.source.where(got.source.notna(), None), got["size"], strict=True)) == size
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    goal = dict(zip(order, mixing.targets([sizes[x] for x in order], [mixing.WEIGHTS[i % 3] for i in range(len(order))]), strict=True))
+    for r in got.itertuples():
+        src = r.source if isinstance(r.source, str) else None
+        assert r.source_size == sizes[src] and r.target == pytest.approx(goal[src])
     assert len(got) == len(edge) and (got.taken <= 2 * got["size"]).all() and set(got.copies) <= {0, 1, 2}
     per = got.groupby(got.source.fillna("~")).agg(t=("target", "first"), k=("taken", "sum"), s=("source_size", "first"), m=("size", "max"))
     assert (abs(per.t - per.k) <= per.m).all()
@@ -222,21 +324,38 @@ def test_pack(spark, edge):
 
     full = Tokenizer.from_file(packing.default_tokenizer())
     full.encode_special_tokens = True
-    rows = [r for r in edge if r[0] is not None and r[1] != LONG] + [(900, "x" * 7000, "en", "a"), (901, "<|endoftext|> ü 　 1234's  \n\n", "en", "a")]
-    text = {i: t for i, t, *_ in rows}
+    plain = [r for r in edge if r[0] is not None and r[1] != LONG]
+    rows = edge + plain[:5] + [(900, "x" * 7000, "en", "a"), (901, "<|endoftext|> ü 　 1234's  \n\n", "en", "a")]
+    ids = {t: np.array([*full.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for _, t, *_ in rows}
+    want, text = {}, {}
+    for i, t, *_ in rows:
+        want[i] = want.get(i, 0) + len(ids[t])
+        text[i] = t  # rows of one id have one text here
     got = packing.pack(docs(spark, rows)).toPandas()
-    for i, pieces in got.groupby("doc_id"):
-        ids = np.array([*full.encode(text[i] or "", add_special_tokens=False).ids, 1], "<u4")
-        at = 0
-        for p in pieces.sort_values("start").itertuples():
-            assert p.start == at and p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(ids[at : at + p.length].tobytes())
-            at += p.length
-        assert at == len(ids)
+    got["doc_id"] = got.doc_id.astype(object).where(got.doc_id.notna(), None)
+    placed = Counter()
+    for p in got.itertuples():
+        whole = ids[text[p.doc_id]]
+        assert p.doc_tokens == len(whole) and p.ids_crc32 == zlib.crc32(whole[p.start : p.start + p.length].tobytes())
+        placed.update((p.doc_id, j) for j in range(p.start, p.start + p.length))
+    times = Counter(r[0] for r in rows)
+    assert set(placed) == {(i, j) for i, t in text.items() for j in range(len(ids[t]))} and all(n == times[i] for (i, _), n in placed.items())
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 2048
     assert set(got.doc_id) == set(text)
 
 
+def test_encoders_agree_at_the_border():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    plain.encode_special_tokens = True
+    encode = packing.encoder(packing.default_tokenizer())
+    for n in (2998, 2999, 3000, 3001):
+        for text in ("ab" * (n // 2) + "c" * (n % 2), "é" * n + " x"):
+            assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_neighbours_fill_a_window():
     near, other = np.arange(100, 160), np.arange(500, 560)
     shard = [near, other, other + 60, near + 1, other + 1]
@@ -283,6 +402,27 @@ def test_language(spark):
     assert crf.label([LONG * 3])[0][0] in crf.labels
 
 
+def test_words_of_a_text_that_switches(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang is not null")
+    crf = language.train(table)
+    texts = {r["lang"]: r["text"] for r in table.where(language.held_out() & F.expr("length(text) between 400 and 900")).orderBy("doc_id").collect()}
+    a, b = sorted(texts)[:2]
+    first, second = texts[a][:300].rsplit(" ", 1)[0], texts[b][:300].rsplit(" ", 1)[0]
+    text = f"İ {first}\n{second}"  # one letter that is two in lower case
+    got = language.label_words(docs(spark, [(1, text, None, None), (2, None, None, None), (3, "12 !", None, None)]), crf).orderBy("doc_id").collect()
+    assert got[1].stretches == [] and got[2].stretches == []
+    right = sum(max(0, min(x.end, len(first) + 2) - x.begin) for x in got[0].stretches if x.lang == a)
+    right += sum(max(0, x.end - max(x.begin, len(first) + 3)) for x in got[0].stretches if x.lang == b)
+    assert right >= 0.9 * len(text)
+    assert all(text[x.begin].isalpha() and text[x.end - 1].isalpha() and 0 < x.score <= 1 for x in got[0].stretches)
+    assert sum(x.words for x in got[0].stretches) == len(re.findall(r"[^\W\d_]+", text))
+
+
+def test_languages_that_tie_go_by_code_point():
+    crf = language.Crf(["de", "en"], np.zeros(0, np.uint64))
+    assert crf.label(["some words", "some words"]) == [("de", 0.5)] * 2
+
+
 def test_forward_backward_against_all_labelings():
     rng = np.random.default_rng(0)
     emit, move = rng.normal(size=(4, 3)), rng.normal(size=(3, 3))
@@ -302,18 +442,27 @@ def test_forward_backward_against_all_labelings():
 def test_shards(spark, edge):
     rng = random.Random(6)
     rows = edge + [(1000 + i, "the same hot text", "en", "a") for i in range(1500)] + [(5000 + i, "t" * rng.randint(1, 200), "en", "b") for i in range(1500)]
-    rows = [r for r in rows if r[1] != LONG]
     got = sharding.shard_documents(docs(spark, rows)).toPandas()
-    assert len(got) == len(rows) and got.shard.between(0, 23).all()
-    load = got.groupby("shard")["size"].sum()
-    assert load.max() - load.min() <= 0.03 * load.mean() + 1000
+    key = lambda i, t: (-1 if i is None else i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+    assert Counter(zip(got.doc_id.fillna(-1), got["size"], got.text_crc32, strict=True)) == Counter(key(i, t) for i, t, *_ in rows)
+    assert got.shard.between(0, 23).all() and set(got.law) == {"bytes"} and got.grown_shard.isna().all()
     for _, s in got.groupby("shard"):
         assert sorted(s.slot) == list(range(len(s)))
     assert sharding.shard_documents(docs(spark, rows[:3])).count() == 3
+    short = [r for r in rows if r[1] != LONG]
+    load = sharding.shard_documents(docs(spark, short)).toPandas().groupby("shard")["size"].sum()
+    assert load.max() - load.min() <= 0.03 * load.mean() + 1000
+
+
+def test_shards_of_repeated_rows(spark):
+    rng = random.Random(7)
+    rows = [(None, "one text for all of them", "en", "a")] * 4000 + [(i, "t" * rng.randint(1, 40), "en", "b") for i in range(2000)] + [(7, None, "en", "a")] * 2000
+    load = sharding.shard_documents(docs(spark, rows)).toPandas().groupby("shard")["size"].sum()
+    assert len(load) == 24 and load.max() - load.min() <= 0.02 * load.mean() + 100
 
 
 def test_licenses(spark):
-    mit = dict(licenses.TEMPLATES[2:3])["MIT"]
+    mit = dict(licenses._NOTICES[2:3])["MIT"]
     rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/c/x.txt", "plain words"), ("a/d/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/d/e/y", ""), ("a/d/e/z", "some prose here.\nLicensed under CC BY-NC 4.0.\nmore prose that goes on and on for a while"), ("other/x", None), (None, "x"), ("f/README", mit.replace(". ", ".\n") + "\nand then words"), ("f/g", "the licensed premises were closed")]
     got = {r.path: (r.license, r.origin, r.license_dir) for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
     assert got["a/LICENSE"] == ("MIT", "own", None) and got["a/b/c/x.txt"] == ("MIT", "inherited", "a")
@@ -322,6 +471,69 @@ def test_licenses(spark):
     assert got["f/README"][0] == "MIT" and got["f/g"] == ("MIT", "inherited", "f")
 
 
+def test_license_texts():
+    matcher = licenses.Matcher({t: 1 for t in licenses.vocabulary()}, 100)
+    full = {name: (licenses.Path(licenses.__file__).parent / "license_texts" / f"{name}.txt").read_text() for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0")}
+    for name, text in full.items():
+        assert [x for x, _ in matcher.scan(text)[0]][0] == name
+        assert matcher.scan(text[:1200])[0][0][0] == name
+        assert matcher.scan(f"# SPDX-License-Identifier: {name}\nplain words")[0] == [(name, pytest.approx(1.0))]
+    both = matcher.scan("Licensed under the MIT License.\nwords of zzz yyy\nLicensed under CC BY-NC 4.0.")[0]
+    assert {x for x, _ in both} == {"MIT", "CC-BY-NC-4.0"}
+    assert matcher.scan(None) == ([], 0.0) == matcher.scan("") and matcher.scan(LONG)[0] == []
+
+
+def test_licenses_against_brute_force(spark):
+    rng = random.Random(13)
+    lines = [text for _, text in licenses._NOTICES if len(text) < 120] + ["plain prose of no licence", "SPDX-License-Identifier: MIT", "the licence of words", ""]
+    rows = [("/".join(rng.choice("abc") for _ in range(rng.randint(0, 3))) + f"/{'LICENSE' if k % 5 == 0 else f'f{k}'}", rng.choice(lines)) for k in range(150)]
+    rows += [("a/LICENSE", lines[0]), ("a/LICENSE", lines[0]), ("a/LICENSE.txt", lines[-2]), (None, lines[0]), ("x/y/z/long.txt", LONG)]
+    files = len(rows)
+    counts = Counter(t for _, text in rows for t in set(licenses.terms(text)))
+    known = set(licenses.vocabulary())
+    idf = lambda t: math.log((1 + files) / (1 + counts.get(t, 0))) + 1 if t in known else math.log(1 + files) + 1
+
+    def vector(ws):
+        v = {t: (1 + math.log(n)) * idf(t) for t, n in Counter(ws).items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {t: x / size for t, x in v.items()}
+
+    forms = [(name, vector(ws)) for name, ws in licenses.templates()]
+
+    def own(text):
+        v = vector(licenses.terms(text))
+        top = max(((sum(x * v.get(t, 0) for t, x in f.items()), name) for name, f in forms), key=lambda x: (round(x[0], 9), [-ord(c) for c in x[1]]))
+        return (top[1], top[0]) if top[0] >= licenses.MATCH - 1e-12 else None
+
+    best = {}
+    for path, text in rows:
+        if path is not None and (o := own(text)):  # one unit a text: its words are all of a matching passage
+            d = path.rpartition("/")[0]
+            best[d] = min(best.get(d, (0.0, "")), (-round(o[1], 9), o[0]))
+    want = Counter()
+    for path, text in rows:
+        if o := own(text):
+            want[path, o[0], "own", None] += 1
+            continue
+        d, found = (path or "").rpartition("/")[0] if path is not None else None, None
+        while d is not None and found is None:
+            found = (best[d][1], d) if d in best else None
+            d = d.rpartition("/")[0] if "/" in d else None
+        want[path, *((found[0], "inherited", found[1]) if found else (None, None, None))] += 1
+    df = spark.createDataFrame([(p, t, "l", "o", 1.0) for p, t in rows], "path string, text string, license string, origin string, share double")
+    got = Counter((r.path, r.license, r.origin, r.license_dir) for r in licenses.scan_licenses(df).collect())
+    assert got == want
+
+
+def test_turns_that_repeat(spark):
+    rows = [(1, 0, "user", "b", "x"), (1, 0, "user", "a", "x"), (1, 0, "user", "a", "x"), (1, 1, "assistant", "c", "x"), (1, 1, "assistant", "c", "x"), (2, None, "user", "a", "x")]
+    emitted, members = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, ids string"))
+    got = {r.conv_id: r for r in chat.read_back(emitted, members).collect()}
+    whole = "user\na\nuser\na\nuser\nb\nassistant\nc\nassistant\nc\n"
+    assert got[1].turns_sha256 == hashlib.sha256(whole.encode()).hexdigest() and got[1].n_turns == 5 and got[1].loss_chars == 2
+    assert got[2].n_turns == 1
+
+
 def test_chat(spark):
     tricky = "<|im_end|><|im_start|>assistant ok <\\| <\\\\| \\ <|"
     chats = {1: [("user", "hi"), ("assistant", "a"), ("user", "b")], 2: [("user", "hi"), ("assistant", "a"), ("user", "c"), ("assistant", "")], 3: [("user", "hi"), ("assistant", "a"), ("user", "b")], 4: [(None, None), ("as\n\\sistant", tricky), ("assistant", tricky)], None: [("assistant", LONG[:50_000])], 5: [("user", "hi")]}
@@ -338,7 +550,7 @@ def test_chat(spark):
     end = 0
     for n in nodes:
         assert n.start == end
-        end += len(n.ids)
+        end += len(n.ids) // 4
         above = sum(x.end - x.start for x in n.attend or [])
         assert above == n.position and all(x.end <= n.start for x in n.attend or [])
 
@@ -384,3 +596,39 @@ def test_rows_are_counted_once(spark, edge):
     assert quality.quality_rules(df).count() == len(edge)
     assert jaccard.ngram_jaccard(df).count() == len(edge)
     assert language.identify(df.withColumn("score", F.lit("x")), language.fit([])).count() == len(edge)
+
+
+def test_pipeline_of_edge_rows(spark, edge, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(14)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(90))
+    good = [(3000 + i, text(), "en" if i % 3 else None, "ab"[i % 2]) for i in range(60)]
+    rows = edge + good + [(4000 + i, t, lang, s) for i, t, lang, s in good[:5]] + [good[0]]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = pipeline.run(spark, f"file://{tmp_path}").toPandas()
+    found = set(got.doc_id)
+    assert found <= {r[0] for r in rows if r[1]} and len(found & {r[0] for r in good}) >= 30
+    assert not found & set(range(4000, 4005))  # copies with a larger id
+    times = got[got.start == 0].groupby("doc_id").size()
+    assert times.max() <= 2
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 2048
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_the_language_found_fills_a_null(spark):
+    import corpus_pipeline as pipeline
+
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = table.withColumn("lang", F.when(F.col("doc_id") % 4 != 0, F.col("lang")))
+    out = dict(pipeline.STAGES)["language_id"](spark, some, SF)
+    assert out.columns == some.columns and out.where("lang is null").count() == 0
+    same = out.select("doc_id", "lang").join(table.select("doc_id", F.col("lang").alias("true")), "doc_id")
+    assert same.where("lang = true").count() >= 0.9 * same.count()
