@@ -16,16 +16,22 @@ from pyspark.sql import functions as F
 from boxloom.llm import jaccard, language, mixing, packing, quality
 from boxloom.llm.common import same, sieve, staged, table, text_hash
 
-#: A document whose language stays as uncertain as this is not text in a known language.
-UNCERTAIN = 0.34
+#: A document is not text in a known language if its score is no further than this from chance (one in k) to certainty.
+UNCERTAIN = 0.12
 #: Near duplicates share this much of their shingles of so many words, or more (op2's query asks for 3 words and 0.9).
 NEAR_WORDS, NEAR_NUM, NEAR_DEN = 5, 80, 100
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves out documents without letters and those whose best language has a mean probability under UNCERTAIN."""
-    found = language.identify(docs, language.train(docs))
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= UNCERTAIN)).select(*docs.columns)
+    """Leaves out documents without letters and those whose best language is hardly better than chance (UNCERTAIN).
+
+    A null lang becomes the language found, by which the quality rules then group. Null texts go; rows that repeat
+    stay as they are. With one known language no text with letters is uncertain.
+    """
+    crf = language.train(docs)
+    chance = 1 / max(1, len(crf.labels))
+    found = language.identify(docs, crf).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= chance + UNCERTAIN * (1 - chance)))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -83,7 +89,10 @@ def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: none, once or twice. Rows that agree in doc_id, source and text are taken alike."""
+    """Documents as often as the mix takes them: none, once or twice. Rows that agree in doc_id, source and text are taken alike.
+
+    Null sources are a source of their own; null texts have no words, so the mix may take them or not.
+    """
     keys = ["doc_id", "source", "text_hash"]
     found = mixing.mix_sources(docs).groupBy(*keys).agg(F.max("copies").alias("_copies")).where("_copies <> 1")
     found = found.select(*_named(found, keys), "_copies")
@@ -94,6 +103,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences of all documents, repeated ones included; null texts are empty documents."""
     return packing.pack(docs)
 
 
