@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,3 +37,15 @@ def distance(a: Column, b: Column) -> Column:
 
 def triplet_margin_loss(anchor: Column, positive: Column, negative: Column, margin: float = 0.5) -> Column:
     return F.greatest(distance(anchor, positive) - distance(anchor, negative) + F.lit(margin), F.lit(0.0))
+
+
+def unit(a: Column) -> Column:
+    """The vector of length 1 in the same direction; a zero vector stays."""
+    return F.transform(a, lambda x: F.coalesce(F.try_divide(x, norm(a)), F.lit(0.0)))
+
+
+def unit_sums(rows: DataFrame, group: str, features: str = "features") -> DataFrame:
+    """(c, n, s): per group the number of its rows and the sum of their unit vectors, added up as whole vectors."""
+    units = rows.select(F.col(group).alias("c"), array_to_vector(unit(F.col(features).cast("array<double>"))).alias("u"))
+    out = units.groupBy("c").agg(F.count("*").alias("n"), Summarizer.sum(F.col("u")).alias("s"))
+    return out.select("c", "n", vector_to_array("s").alias("s"))

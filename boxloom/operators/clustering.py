@@ -181,6 +181,8 @@ def affinity_propagation(x: np.ndarray, k: int = 0, frames: np.ndarray | None =
     n = len(x)
     s = -((x[:, None] - x[None]) ** 2).sum(axis=2)
     np.fill_diagonal(s, np.median(s[~np.eye(n, dtype=bool)]) if n > 1 else 0)
+    # equal similarities would keep the messages swinging: a disturbance of the last digits tells them apart
+    s = s + (np.finfo(float).eps * np.abs(s) + 100 * np.finfo(float).tiny) * np.random.default_rng(SEED).standard_normal(s.shape)
     r, a = np.zeros((n, n)), np.zeros((n, n))
     for _ in range(rounds):
         t = a + s

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.functions.vectors import cosine
+from boxloom.functions.vectors import dot, unit, unit_sums
 
 
 def contingency(rows: DataFrame, truth: str = "truth", cluster: str = "cluster") -> DataFrame:
@@ -72,16 +72,13 @@ def adjusted_mutual_info(table: DataFrame) -> float:
 
 def silhouette(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
     """Mean cosine silhouette in one pass: the mean cosine to a cluster is the cosine part of its mean unit vector."""
-    unit = rows.select("box_id", F.col(cluster).alias("c"), F.posexplode("features").alias("d", "x"))
-    size = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("box_id")))
-    unit = unit.select("box_id", "c", "d", F.coalesce(F.try_divide("x", size), F.lit(0.0)).alias("x"))
-    sums = unit.groupBy("c", "d").agg(F.sum("x").alias("s"))
-    sizes = rows.groupBy(F.col(cluster).alias("c")).agg(F.count("*").alias("n"))
-    sums = sums.join(sizes, "c").withColumnRenamed("c", "other")
-    near = unit.join(sums, "d").groupBy("box_id", "c", "other", "n").agg(F.sum(F.col("x") * F.col("s")).alias("dot"))
-    own = F.when(F.col("c") == F.col("other"), F.when(F.col("n") > 1, 1 - (F.col("dot") - 1) / (F.col("n") - 1)))
-    far = F.when(F.col("c") != F.col("other"), 1 - F.col("dot") / F.col("n"))
-    each = near.groupBy("box_id").agg(F.min(own).alias("a"), F.min(far).alias("b"))
+    sums = unit_sums(rows, cluster)
+    every = sums.agg(F.collect_list(F.struct("c", "n", "s")).alias("every"))  # a vector a cluster, all as one row
+    each = rows.select("box_id", F.col(cluster).alias("own"), unit(F.col("features").cast("array<double>")).alias("u")).join(F.broadcast(every))
+    each = each.select("box_id", "own", "u", F.explode("every").alias("o")).select("box_id", "own", "o.c", "o.n", dot(F.col("u"), F.col("o.s")).alias("dot"))
+    own = F.when(F.col("own") == F.col("c"), F.when(F.col("n") > 1, 1 - (F.col("dot") - 1) / (F.col("n") - 1)))
+    far = F.when(F.col("own") != F.col("c"), 1 - F.col("dot") / F.col("n"))
+    each = each.groupBy("box_id").agg(F.min(own).alias("a"), F.min(far).alias("b"))
     s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return each.agg(F.avg(s).alias("silhouette"))
 

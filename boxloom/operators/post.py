@@ -7,24 +7,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from boxloom.functions.vectors import dot, unit_sums
 from boxloom.operators.pairs import connected
 
 # Scale of the significance score, least score and size of a cluster, share of boxes to keep, bounds of the merge cut.
 SIGMA, LEAST_SCORE, LEAST_SIZE, KEEP, MERGE_LOW, MERGE_HIGH, MERGE_QUANTILE = 1.5, 0.725, 3, 0.975, 0.63, 0.69, 0.975
 
 
-def medians(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
-    """(cluster, d, m): the median of each component."""
-    return rows.select(F.col(cluster).alias("cluster"), F.posexplode("features").alias("d", "x")).groupBy("cluster", "d").agg(F.percentile("x", F.lit(0.5)).alias("m"))
+def _per_cluster(rows: DataFrame, cluster: str, center, share: bool) -> DataFrame:
+    """(cluster, box_id, confidence, gap): distances to center(vectors) of the cluster, as a share of its largest or as they are.
+
+    A cluster is one group: its boxes come from one video, which has some 4000.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(g["features"].tolist(), float)
+        gap = np.sqrt(((x - center(x)) ** 2).sum(axis=1))
+        if share:
+            gap = gap / gap.max() if gap.max() > 0 else gap
+        return pd.DataFrame({"cluster": g["cluster"], "box_id": g["box_id"], "confidence": g["confidence"], "gap": gap})
+
+    kind = dict(rows.dtypes)[cluster]
+    narrow = rows.select(F.col(cluster).alias("cluster"), "box_id", F.col("confidence").cast("double").alias("confidence"), "features")
+    return narrow.groupBy("cluster").applyInPandas(run, f"cluster {kind}, box_id long, confidence double, gap double")
 
 
 def significance(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
     """cluster, box_id, distance (to the median, as a share of the cluster's largest), score."""
-    x = rows.select(F.col(cluster).alias("cluster"), "box_id", "confidence", F.posexplode("features").alias("d", "x"))
-    gap = x.join(medians(rows, cluster), ["cluster", "d"]).groupBy("cluster", "box_id", "confidence").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("m"), 2))).alias("gap"))
-    top = F.max("gap").over(Window.partitionBy("cluster"))
-    share = F.coalesce(F.try_divide("gap", top), F.lit(0.0))
-    out = gap.withColumn("distance", share)
+    out = _per_cluster(rows, cluster, lambda x: np.median(x, axis=0), True).withColumnRenamed("gap", "distance")
     return out.select("cluster", "box_id", "distance", F.sqrt(F.col("confidence") * F.exp(-F.pow(F.col("distance") / SIGMA, 2))).alias("score"))
 
 
@@ -34,11 +44,10 @@ def exemplars(scored: DataFrame) -> DataFrame:
 
 
 def drop_weak(labels: DataFrame, stats: DataFrame) -> DataFrame:
-    """Boxes of clusters below LEAST_SCORE or LEAST_SIZE get negative labels of their own, below all others."""
+    """Boxes of clusters below LEAST_SCORE or LEAST_SIZE, and noise, get negative labels of their own."""
     out = labels.join(stats.select("cluster", "size", "score"), "cluster", "left")
     weak = (F.col("cluster") < 0) | (F.col("size") < LEAST_SIZE) | (F.col("score") < LEAST_SCORE)
-    place = F.row_number().over(Window.partitionBy("weak").orderBy("box_id"))
-    return out.withColumn("weak", F.coalesce(weak, F.lit(True))).select("box_id", F.when(F.col("weak"), -place.cast("long")).otherwise(F.col("cluster")).alias("cluster"))
+    return out.select("box_id", F.when(F.coalesce(weak, F.lit(True)), -1 - F.col("box_id")).otherwise(F.col("cluster")).alias("cluster"))
 
 
 def keep_share(labels: DataFrame, share: float = KEEP) -> DataFrame:
@@ -51,11 +60,11 @@ def keep_share(labels: DataFrame, share: float = KEEP) -> DataFrame:
 
 def cluster_similarity(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
     """a, b (a < b), similarity: the mean cosine of their boxes, which is the dot product of mean unit vectors."""
-    x = rows.where(F.col(cluster) >= 0).select(F.col(cluster).alias("cluster"), "box_id", F.posexplode("features").alias("d", "x"))
-    size = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("box_id")))
-    mean = x.withColumn("u", F.coalesce(F.try_divide("x", size), F.lit(0.0))).groupBy("cluster", "d").agg(F.avg("u").alias("u"))
-    a, b = mean.select(F.col("cluster").alias("a"), "d", F.col("u").alias("ua")), mean.select(F.col("cluster").alias("b"), "d", F.col("u").alias("ub"))
-    return a.join(b, "d").where("a < b").groupBy("a", "b").agg(F.sum(F.col("ua") * F.col("ub")).alias("similarity"))
+    mean = unit_sums(rows.where(F.col(cluster) >= 0), cluster).select("c", F.transform("s", lambda x: x / F.col("n")).alias("u"))
+    # a vector a cluster: all of them as one row
+    every = mean.agg(F.collect_list(F.struct(F.col("c").alias("b"), F.col("u").alias("ub"))).alias("every"))
+    both = mean.join(F.broadcast(every)).select(F.col("c").alias("a"), F.col("u").alias("ua"), F.explode("every").alias("o"))
+    return both.where(F.col("a") < F.col("o.b")).select("a", "o.b", dot(F.col("ua"), F.col("o.ub")).alias("similarity"))
 
 
 def merge_pairs(similarity: DataFrame, clusters: int) -> DataFrame:
@@ -130,9 +139,7 @@ def post_process_report(rows: DataFrame) -> DataFrame:
 
 def nearest_to_mean(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
     """(cluster, box_id, gap): the box nearest to the mean of its cluster, ties to the smaller id."""
-    x = rows.select(F.col(cluster).alias("cluster"), "box_id", F.posexplode("features").alias("d", "x"))
-    mean = F.avg("x").over(Window.partitionBy("cluster", "d"))
-    gap = x.withColumn("g", F.pow(F.col("x") - mean, 2)).groupBy("cluster", "box_id").agg(F.sqrt(F.sum("g")).alias("gap"))
+    gap = _per_cluster(rows, cluster, lambda x: x.mean(axis=0), False)
     return gap.groupBy("cluster").agg(F.min(F.struct(F.round("gap", 9).alias("gap"), "box_id")).alias("m")).select("cluster", "m.box_id", "m.gap")
 
 
@@ -143,7 +150,5 @@ def best_thumbnails(scored: DataFrame, least: int = 5) -> DataFrame:
 
 def rooted_scores(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
     """(cluster, box_id, score): the other form of the score, by the plain distance to the cluster's mean, with a second root."""
-    x = rows.select(F.col(cluster).alias("cluster"), "box_id", "confidence", F.posexplode("features").alias("d", "x"))
-    mean = F.avg("x").over(Window.partitionBy("cluster", "d"))
-    gap = x.withColumn("g", F.pow(F.col("x") - mean, 2)).groupBy("cluster", "box_id", "confidence").agg(F.sqrt(F.sum("g")).alias("gap"))
+    gap = _per_cluster(rows, cluster, lambda x: x.mean(axis=0), False)
     return gap.select("cluster", "box_id", F.sqrt(F.sqrt(F.col("confidence") * F.exp(-F.pow(F.col("gap") / SIGMA, 2)))).alias("score"))

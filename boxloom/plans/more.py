@@ -211,7 +211,7 @@ def clock_texts(spark, d):
 @query("WITH v AS (SELECT vec_id FROM embeddings) SELECT vec_id, base64(encode('box ' || vec_id)) AS code, 'box ' || vec_id AS back FROM v")
 def base64_texts(spark, d):
     v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.concat(F.lit("box "), "vec_id").alias("t"))
-    return v.select("vec_id", F.base64(F.col("t").cast("binary")).alias("code"), F.unbase64(F.base64(F.col("t").cast("binary"))).cast("string").alias("back"))
+    return v.select("vec_id", F.regexp_replace(F.base64(F.col("t").cast("binary")), r"\s", "").alias("code"), F.unbase64(F.base64(F.col("t").cast("binary"))).cast("string").alias("back"))
 
 
 @query(" SELECT box_id, CAST(lower(t) IN ('yes', 'true', 't', '1') AS BOOLEAN) AS flag FROM (SELECT box_id, ['yes', 'No', 'TRUE', 't', '0', '1'][box_id % 6 + 1] AS t FROM boxes)")

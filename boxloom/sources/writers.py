@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from boxloom.functions.text import to_camel
 
 
+def _documents(rows: DataFrame, path: str) -> None:
+    """A JSON file for each row, which is what the readers take a file for."""
+    rows.write.option("maxRecordsPerFile", 1).json(path)
+
+
 def camel(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: to_camel(c) for c in df.columns})
 
@@ -19,7 +24,7 @@ def write_detections(boxes: DataFrame, path: str) -> None:
     rows = boxes.select("video", *size, F.struct(*nested).alias("b"))
     named = {"frame_width": "keyFrameWidth", "frame_height": "keyFrameHeight"}
     sizes = [F.max(c).alias(named[c]) for c in size]
-    rows.groupBy("video").agg(F.array_sort(F.collect_list("b")).alias("characterBoundingBoxes"), *sizes).write.json(path)
+    _documents(rows.groupBy("video").agg(F.array_sort(F.collect_list("b")).alias("characterBoundingBoxes"), *sizes), path)
 
 
 def write_without_features(boxes: DataFrame, path: str) -> None:
@@ -30,7 +35,7 @@ def write_without_features(boxes: DataFrame, path: str) -> None:
 def write_mapping(mapping: DataFrame, path: str) -> None:
     """A JSON row per video: boxes, all mapped detections of it."""
     row = F.struct(*[c for c in mapping.columns if c != "video"])
-    mapping.groupBy("video").agg(F.array_sort(F.collect_list(row)).alias("boxes")).write.json(path)
+    _documents(mapping.groupBy("video").agg(F.array_sort(F.collect_list(row)).alias("boxes")), path)
 
 
 def write_groups(groups: DataFrame, path: str, negatives: DataFrame | None = None) -> None:
@@ -42,7 +47,7 @@ def write_groups(groups: DataFrame, path: str, negatives: DataFrame | None = Non
         box = F.struct(F.col("x").alias("X"), F.col("y").alias("Y"), F.col("w").alias("Width"), F.col("h").alias("Height"))
         item = F.struct(F.col("keyframe_id").alias("KeyframeId"), box.alias("BoundingBox"))
         out = out.join(negatives.groupBy("video").agg(F.array_sort(F.collect_list(item)).alias("BackgroundNegativeExamples")), "video", "left")
-    out.write.json(path)
+    _documents(out, path)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", append: bool = False) -> None:
@@ -64,13 +69,13 @@ def write_sort_ini(videos: DataFrame, path: str) -> None:
 
 def write_triplet_images(triplets: DataFrame, path: str) -> None:
     """anchor, positive, negative: the bytes of three images, in base 64, tab-separated."""
-    triplets.select(*[F.base64(c).alias(c) for c in ("anchor", "positive", "negative")]).write.option("sep", "\t").csv(path)
+    triplets.select(*[F.regexp_replace(F.base64(c), r"\s", "").alias(c) for c in ("anchor", "positive", "negative")]).write.option("sep", "\t").csv(path)
 
 
 def write_triplets(triplets: DataFrame, path: str) -> None:
     """shotId (shot_007), anchor, positive, negative as texts."""
     rows = triplets.select(F.format_string("shot_%03d", "shot_id").alias("shotId"), *[F.col(c).cast("string").alias(c) for c in ("anchor", "positive", "negative")])
-    rows.write.json(path)
+    _documents(rows, path)
 
 
 def write_vectors(rows: DataFrame, path: str, metadata: list[str], order: str = "box_id") -> None:

@@ -112,7 +112,7 @@ def test_detection_json(spark, tmp_path):
 def test_truth_xml(spark, tmp_path):
     (tmp_path / "a.xml").write_text('<book title="t"><pages><page index="3" width="9" height="9"><body id="b1" xmin="1" ymin="2" xmax="5" ymax="9" character="c"/><body id="b1" xmin="0" ymin="0" xmax="1" ymax="1" character="d"/></page></pages></book>')
     rows = readers.read_truth(spark, str(tmp_path)).collect()
-    assert [tuple(r) for r in rows] == [(3, "b1", 1, 2, 4, 7, "c")]
+    assert [tuple(r) for r in rows] == [("t", 3, "b1", 1, 2, 4, 7, "c", 9, 9)]
 
 
 def test_truth_is_used_once(spark):
@@ -155,3 +155,186 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").first().n == 1
+
+
+def test_flow_of_a_fixed_amount_against_all_flows():
+    rng = random.Random(7)
+    for _ in range(40):
+        edges = [(0, 1, rng.uniform(-1, 2)), (0, 2, rng.uniform(-1, 2)), (1, 3, rng.uniform(-1, 2)), (2, 3, rng.uniform(-1, 2)), (1, 4, rng.uniform(-1, 2)), (2, 4, rng.uniform(-1, 2)), (3, 5, rng.uniform(-1, 2)), (4, 5, rng.uniform(-1, 2))]
+        best = {}
+        for used in itertools.product((0, 1), repeat=len(edges)):
+            level = [0] * 6
+            for u, (a, b, _) in zip(used, edges, strict=True):
+                level[a] -= u
+                level[b] += u
+            if not any(level[1:5]):
+                best[level[5]] = min(best.get(level[5], 9e9), sum(c for u, (_, _, c) in zip(used, edges, strict=True) if u))
+        for k in (1, 2):
+            cost, used = tracking.min_cost_flow(6, edges, 0, 5, amount=k)
+            assert cost == pytest.approx(best[k], abs=1e-9) and sum(edges[i][0] == 0 for i in used) == k
+
+
+def test_all_paths():
+    edges = [(0, 1, 1.0), (0, 2, 2.0), (1, 3, 3.0), (2, 3, 4.0), (1, 2, 0.5)]
+    assert list(tracking.all_paths(edges, 0, 3)) == [([0, 1, 2, 3], 5.5), ([0, 1, 3], 4.0), ([0, 2, 3], 6.0)]
+
+
+def test_no_more_tracks_than_boxes_of_a_frame(spark):
+    rows = [(f, 0, f, 0, 10, 20, 50, 60, 0.9, [float(f < 4), float(f >= 4)]) for f in range(8)]
+    df = spark.createDataFrame(rows, "box_id long, shot_id long, frame long, slot long, x long, y long, w long, h long, confidence double, features array<double>")
+    edges = tracking.network(df, 4.0)
+    assert edges.where("kind = 'enter'").first().most == 1
+    assert tracking.tracks(edges).select("track_id").distinct().count() == 1
+
+
+def test_missing_frames_do_not_break_a_chain(spark):
+    rows = [(f, 0, f, 0, 10, 20, 50, 60, 0.9, [1.0]) for f in (0, 1, 3, 4)]
+    df = spark.createDataFrame(rows, "box_id long, shot_id long, frame long, slot long, x long, y long, w long, h long, confidence double, features array<double>")
+    assert {(r.a_box_id, r.b_box_id) for r in tracking.match_edges(df, 4.0).collect()} == {(0, 1), (1, 3), (3, 4)}
+
+
+def test_tracks_of_a_whole_table_cost_the_least(spark):
+    """Against another solver: shortest paths by plain relaxation on the residual network."""
+    from boxloom.plans.tables import boxes
+
+    df = boxes(spark, "/root/testdata/sf0.001")
+    edges = tracking.network(df, 4.0).toPandas()
+    for _, g in edges.groupby("shot_id"):
+        ids = {b: i for i, b in enumerate(sorted(g.loc[g.kind == "detect", "a_box_id"].astype(int)))}
+        n = 2 * len(ids) + 2
+        ends = {"enter": lambda a, b: (0, 1 + 2 * ids[b]), "exit": lambda a, b: (2 + 2 * ids[a], n - 1), "detect": lambda a, b: (1 + 2 * ids[a], 2 + 2 * ids[a])}
+        arcs = []
+        for kind, a, b, cost in g[["kind", "a_box_id", "b_box_id", "cost"]].itertuples(index=False):
+            a, b = (None if pd.isna(x) else int(x) for x in (a, b))
+            arcs.append((*ends.get(kind, lambda a, b: (2 + 2 * ids[a], 1 + 2 * ids[b]))(a, b), cost))
+        cost, used = tracking.min_cost_flow(n, arcs, 0, n - 1)
+        assert cost == pytest.approx(sum(arcs[i][2] for i in used))
+        # no cycle of negative cost is left: the flow is the cheapest
+        residual = [(a, b, c) for i, (a, b, c) in enumerate(arcs) if i not in set(used)] + [(arcs[i][1], arcs[i][0], -arcs[i][2]) for i in used] + [(n - 1, 0, 0.0), (0, n - 1, 0.0)]
+        at, to, w = (np.array(x) for x in zip(*residual, strict=True))
+        far = np.zeros(n)
+        for _ in range(n + 1):
+            new = far.copy()
+            np.minimum.at(new, to, far[at] + w)
+            done, far = np.allclose(new, far, atol=1e-9), new
+            if done:
+                break
+        assert done
+
+
+@pytest.mark.parametrize("name", ["optics", "affinity_propagation", "mean_shift", "k_means_bare", "agglomerative_average", "search"])
+def test_planted_clusters_of_other_methods(name):
+    rng = np.random.default_rng(1)
+    n = 3 if name == "mean_shift" else 5  # its bandwidth spans three tenths of the points
+    noise = 0.1 if name == "affinity_propagation" else 0.01  # messages swing among points that are nearly one
+    x = np.vstack([c + rng.normal(0, noise, (14, 5)) for c in np.eye(5)[:n]])
+    label = clustering.METHODS[name](x, n, np.arange(len(x)))
+    truth = np.repeat(np.arange(n), 14)
+    ties = {(a, b) for a, b in zip(truth, label, strict=True) if b >= 0}
+    assert len({b for _, b in ties}) == len(ties) and n - 1 <= len(ties) <= n
+    assert (label >= 0).mean() > (0.5 if name == "optics" else 0.7)  # steep points at the ends of a valley are noise
+
+
+def test_tubes_allow_boxes_of_one_frame():
+    x = np.ones((8, 2)) + np.random.default_rng(0).normal(0, 1e-3, (8, 2))
+    frames = np.zeros(8, int)
+    apart = clustering.constraint(frames)
+    assert (np.maximum(clustering.cosine_distances(x), apart)[~np.eye(8, dtype=bool)] == 1).all()
+    assert set(clustering.constrained_dbscan(x, 1, frames, tubes=np.zeros(8, int)).tolist()) == {0}
+    assert clustering.dbscan(np.maximum(clustering.cosine_distances(x), apart), 0.5).tolist() == [-1] * 8
+
+
+def test_sweep_of_density_clusters():
+    rng = np.random.default_rng(3)
+    x = np.vstack([c + rng.normal(0, 0.05, (10, 6)) for c in np.eye(6)])
+    label = clustering.constrained_dbscan(x, 6, np.arange(60))
+    assert abs(len(set(label[label >= 0].tolist())) - 6) <= 1
+    assert (clustering.constrained_dbscan(x[:2], 3, np.arange(2)) == -1).all()
+
+
+def test_spectral_labels_are_those_of_blocks():
+    label = clustering.discretize(np.repeat(np.eye(3), 7, axis=0) @ np.linalg.qr(np.random.default_rng(2).normal(size=(3, 3)))[0])
+    assert all(len(set(label[i : i + 7].tolist())) == 1 for i in (0, 7, 14)) and len(set(label.tolist())) == 3
+
+
+def test_noise_is_clustered_again():
+    rng = np.random.default_rng(4)
+    x = np.vstack([c + rng.normal(0, 0.01, (10, 4)) for c in np.eye(4)])
+    label = np.concatenate((np.zeros(20, int), np.full(20, -1)))
+    out = clustering.recluster_noise(x, np.arange(40), label)
+    assert (out[:20] == 0).all() and set(out[20:].tolist()) - {-1} and min(set(out[20:].tolist()) - {-1}) == 1
+
+
+def test_post_process_of_planted_clusters(spark):
+    from boxloom.operators import post
+
+    rng = np.random.default_rng(6)
+    centers = np.vstack((np.eye(6)[:4], np.eye(6)[0] + 0.05 * np.eye(6)[5]))
+    rows = []
+    for c, center in enumerate(centers):
+        for _ in range(2 if c == 3 else 30):
+            rows.append((len(rows), c, 0.95, (center + rng.normal(0, 0.01, 6)).tolist()))
+    rows.append((len(rows), 1, 0.01, (np.eye(6)[4] * 3).tolist()))  # far from its cluster, and unsure
+    df = spark.createDataFrame(rows, "box_id long, cluster long, confidence double, features array<double>")
+    report = post.post_process_report(df).toPandas().set_index("box_id")
+    got = report["cluster"]
+    truth = {i: c for i, c, *_ in rows}
+    small = [i for i, c in truth.items() if c == 3]
+    assert (got[small] < 0).all() and got[small].nunique() == len(small)  # too small
+    assert got[rows[-1][0]] < 0  # an outlier
+    kept = got[got >= 0]
+    assert set(kept.unique()) == {0, 1, 2} and {truth[i] for i in kept.index[kept == 0]} == {0, 4}  # the fifth is like the first
+    assert report.loc[kept.index, "score"].notna().all() and report.loc[kept.index].groupby("cluster")["size"].first().to_dict() == kept.value_counts().to_dict()
+    assert report[report["cluster"] < 0]["score"].isna().all()
+
+
+def test_outliers_leave_until_none_does(spark):
+    from boxloom.operators import post
+
+    rng = np.random.default_rng(8)
+    rows = [(i, i % 3, float(rng.uniform(0.2, 1)), rng.normal(size=4).tolist()) for i in range(90)]
+    got = post.drop_outliers(spark.createDataFrame(rows, "box_id long, cluster long, confidence double, features array<double>")).toPandas().set_index("box_id")["cluster"]
+    for c in range(3):
+        inside = [r for r in rows if r[1] == c]
+        while True:
+            m = np.median([r[3] for r in inside], axis=0)
+            gap = np.array([np.linalg.norm(np.array(r[3]) - m) for r in inside])
+            score = np.sqrt(np.array([r[2] for r in inside]) * np.exp(-((gap / gap.max() / 1.5) ** 2)))
+            q1, q3 = np.percentile(score, [25, 75])
+            keep = score >= max(q1 - (q3 - q1), 0)
+            if keep.all():
+                break
+            inside = [r for r, k in zip(inside, keep, strict=True) if k]
+        assert set(got.index[got == c]) == {r[0] for r in inside}
+
+
+def test_each_box_of_cliques_has_one_verdict(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (4, 5)], "a_box_id long, b_box_id long")
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    got = pairs.duplicate_cliques(edges).toPandas()
+    assert got.groupby("box_id")["keep"].nunique().max() == 1 and set(got[got.keep].box_id) == {1, 4}
+
+
+def test_top_pairs_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 3)).round(1)
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "box_id long, video int, features array<double>")
+    every = sorted((round(float(np.linalg.norm(x[i] - x[j])), 9), i, j) for i in range(90) for j in range(i + 1, 90))
+    got = [(r.a_box_id, r.b_box_id) for r in pairs.top_pairs_of_video(df, "video", 40).collect()]
+    assert got == [(i, j) for _, i, j in every[:40]]
+    assert pairs.similarity_histogram(df, "video").agg(F.sum("n")).first()[0] == 90 * 89 // 2
+
+
+def test_required_join_names_what_is_missing(spark):
+    from boxloom.operators import detections
+
+    rows = spark.createDataFrame([("a",), ("b",)], "thumbnail_id string")
+    with pytest.raises(Exception, match="no thumbnail_id b"):
+        detections.required_join(rows, spark.createDataFrame([("a", 1)], "thumbnail_id string, n int"), "thumbnail_id").collect()
+
+
+def test_shots_of_too_many_boxes_have_no_network(spark):
+    n = tracking.MOST_BOXES + 1
+    df = spark.range(n).selectExpr("id box_id", "0L shot_id", "id frame", "1L x", "1L y", "50L w", "50L h", "0.9D confidence", "array(1D) features")
+    assert tracking.network(df, 4.0).count() == 0 and tracking.network(df.where(f"box_id < {n - 1}"), 4.0).limit(1).count() == 1
