@@ -20,9 +20,10 @@ from dataclasses import dataclass
 from functools import cached_property, lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import mix, small_batches, staged, table
@@ -118,7 +119,7 @@ class Bm25:
         known = np.flatnonzero(np.bincount(term))
         spot = np.zeros(known[-1] + 1 if len(known) else 0, np.int64)
         spot[known] = np.arange(len(known))
-        self.term, self.asked = spot[term], np.zeros(len(known))
+        self.term, self.asked, self.known = spot[term], np.zeros(len(known)), known
         self.size, self.rows, self.start, self.column = size, np.arange(len(docs)), self.begin[:-1], self.term
         self._keep(size > 0)
 
@@ -128,6 +129,18 @@ class Bm25:
         self.rows, self.column, self.weight = self.rows[of], self.column[cell], self.weight[cell]
         self.start = np.concatenate(([0], np.cumsum(self.size[self.rows])))[:-1]
 
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """The score of each document for a query of distinct terms."""
+        spot = np.searchsorted(self.known, terms)
+        inside = spot < len(self.known)
+        spot = spot[inside][self.known[spot[inside]] == terms[inside]]
+        self.asked[spot] = 1.0
+        out = np.zeros(len(self.size))
+        if len(self.rows):
+            out[self.rows] = np.add.reduceat(self.weight * self.asked[self.column], self.start)
+        self.asked[spot] = 0.0
+        return out
+
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with doc, by descending score, ties to the earlier one.
 
@@ -292,5 +305,40 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None) ->
     return keyed.select("doc_id", "n", "ids").mapInArrow(_pack(window, statistics), SCHEMA)
 
 
+def search(docs: DataFrame, every: int = 100, k: int = 10, tokenizer: str | None = None) -> DataFrame:
+    """query_id, rank (from 1), doc_id, score: the k best BM25 neighbours in the whole table of each row whose id is divisible by `every`.
+
+    Every block of queries meets every shard of the index in one task, and the shards' best are merged, so no neighbour is
+    missed. Queries are the distinct tokens of their row's text. Rows with the query's id are none of its neighbours,
+    nor are those that share no token; ties go to the smaller id. Rows without id take no part. What this finds for a
+    stated set of queries the packer can't ask for each of its seeds: see there.
+    """
+    docs = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    encoded = staged(docs.mapInArrow(_encode(tokenizer or default_tokenizer()), "row long, doc_id long, n long, ids binary"), "tokens", "zstd")
+    statistics = collect_statistics(encoded)
+    rows = encoded.where("row is not null").drop("row")
+    spread = lambda df, name, n: df.withColumn(name, F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(n)).cast("int"))
+    asks = rows.where(F.col("doc_id") % every == 0)
+    shards, parts = max(1, -(-statistics.tokens // SHARD_TOKENS)), max(1, -(-asks.count() // SHARD_DOCS))
+    key = ["part", "shard"]
+    right = spread(rows, "shard", shards).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    left = spread(asks, "part", parts).select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+
+    def run(queries: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(shard):
+            index, ids = Bm25([_read(x, n) for x, n in zip(shard["ids"], shard["n"], strict=True)], statistics), shard["doc_id"].to_numpy()
+            for query, raw, n in zip(queries["doc_id"], queries["ids"], queries["n"], strict=True):
+                score = np.round(index.scores(np.unique(_read(raw, n))), 9)
+                score[ids == query] = 0.0
+                best = np.lexsort((ids, -score))[:k]
+                out += [(query, ids[i], score[i]) for i in best if score[i] > 0]
+        return pd.DataFrame(out, columns=["query_id", "doc_id", "score"])
+
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, "query_id long, doc_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
 def op9_retrieval_pack(spark, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))

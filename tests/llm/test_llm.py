@@ -382,6 +382,27 @@ def test_related_documents_meet_over_the_whole_table(spark):
     assert sum(bool(at[i] & at[i + 1500]) for i in range(1500)) >= 1000
 
 
+def test_search_finds_the_best_of_the_whole_table(spark, edge, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 1500)
+    monkeypatch.setattr(packing, "SHARD_DOCS", 3)
+    rows = [r for r in edge if r[1] != LONG]
+    encode = packing.encoder(packing.default_tokenizer())
+    bags = [(i, Counter([*encode(t or ""), 1])) for i, t, *_ in rows if i is not None]
+    df, n = Counter(t for _, b in bags for t in b), len(bags)
+    mean = sum(sum(b.values()) for _, b in bags) / n
+
+    def score(q, b):
+        size = packing.K1 * (1 - packing.B + packing.B * sum(b.values()) / mean)
+        return sum(math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * (packing.K1 + 1) / (b[t] + size) for t in q if t in b)
+
+    want = []
+    for q, bag in [x for x in bags if x[0] % 10 == 0]:
+        best = sorted((-round(score(bag, b), 6), i) for i, b in bags if i != q and set(bag) & set(b))[:5]
+        want += [(q, r + 1, -s) for r, (s, _) in enumerate(best)]
+    got = packing.search(docs(spark, rows), every=10, k=5).collect()
+    assert sorted((r.query_id, r["rank"], round(r.score, 6)) for r in got) == [(q, r, pytest.approx(s, abs=2e-6)) for q, r, s in sorted(want)]
+
+
 def test_statistics_of_the_whole_table(spark, edge):
     rows = [r for r in edge if r[0] is not None and r[1] != LONG]
     encoded = docs(spark, rows).select("doc_id", "text").repartition(5).mapInArrow(packing._encode(packing.default_tokenizer()), "row long, doc_id long, n long, ids binary")
