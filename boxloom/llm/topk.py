@@ -145,10 +145,9 @@ def top_k(df: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY) ->
     dim = max(facts["dim"], 1)
     axes = principal_axes(vectors, dim)
     blocks, parts = -(-facts["n"] // BLOCK), -(-facts["q"] // QUERIES)
-    ranged = lambda df, n, name: df.repartitionByRange(n, F.desc("norm"), "vec_id").withColumn(name, F.spark_partition_id())
-    rows = staged(ranged(vectors, blocks, "block").select("block", "vec_id", "v", "norm"), "rows")
+    rows = _by_length(vectors, blocks, "block")
     asks = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("x"))
-    asks = staged(ranged(asks.select("vec_id", "x.v", "x.norm"), parts, "part"), "asks")
+    asks = _by_length(asks.select("vec_id", "x.v", "x.norm"), parts, "part")
     longest = rows.agg(F.min("block").alias("b")).first()["b"]
     places = asks.select("part").distinct().withColumn("block", F.lit(longest))
     found = staged(_search(asks.withColumn("floor", F.lit(None).cast("double")), rows.where(F.col("block") == longest), places, axes, k), "first")
@@ -160,6 +159,14 @@ def top_k(df: DataFrame, k: int = K, scale: int = SCALE, every: int = EVERY) ->
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _by_length(df: DataFrame, n: int, name: str) -> DataFrame:
+    """Vectors with the number, from 0 to n - 1 at most, of a range of them by falling length; written once, so it stays."""
+    ranged = df.repartitionByRange(n, F.desc("norm"), "vec_id").withColumn(name, F.spark_partition_id())
+    ranged = staged(ranged.select(name, "vec_id", "v", "norm"), f"{name}s")
+    most = (ranged.agg(F.max(name).alias("m")).first()["m"] or 0) + 1  # a session may deal out more ranges than asked for
+    return ranged if most <= n else ranged.withColumn(name, F.floor(F.col(name) * n / most).cast("int"))
+
+
 def reachable(asks: DataFrame, rows: DataFrame) -> DataFrame:
     """(part, block): pairs in which the longest row may reach the floor of some query.
 
