@@ -26,6 +26,12 @@ def rate_to_double(text: Column) -> Column:
     return F.try_divide(F.element_at(parts, 1).try_cast("double"), F.coalesce(F.try_element_at(parts, F.lit(2)).try_cast("double"), F.lit(1.0)))
 
 
+def size_to_ints(text: Column) -> Column:
+    """'640,360' to struct(width, height); null where it is no such text."""
+    part = lambda i: F.regexp_extract(text, r"^\s*(\d+)\s*,\s*(\d+)\s*$", i).try_cast("int")
+    return F.when(part(1).isNotNull(), F.struct(part(1).alias("width"), part(2).alias("height")))
+
+
 def to_bool(text: Column) -> Column:
     return F.lower(text).isin("yes", "true", "t", "1")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,6 +191,12 @@ def parameter_grid(spark, values: dict[str, list]) -> DataFrame:
     return row
 
 
+def run_grid(grid: DataFrame, train: Callable[[dict], dict]) -> DataFrame:
+    """The rows of a grid (a short list of configurations) with what train(parameters) returns for each, in order of iteration."""
+    rows = [(i, r.asDict()) for i, r in enumerate(grid.orderBy(*grid.columns).collect())]
+    return grid.sparkSession.createDataFrame([{"iteration": i} | parameters | train(parameters) for i, parameters in rows])
+
+
 def merge_categories(labels: DataFrame, features: DataFrame, key: str = "category") -> DataFrame:
     """Labels and features of the categories that both have."""
     return labels.join(features, key)

@@ -51,6 +51,18 @@ def clustering_scores(table: DataFrame) -> DataFrame:
     return s.select(*[c if c == "k_error" else F.when(F.col("k") == 1, 1.0).otherwise(F.col(c)).alias(c) for c in s.columns if c != "k"])
 
 
+def evaluation_row(rows: DataFrame, name: str, truth: str = "truth", cluster: str = "cluster") -> DataFrame:
+    """One row for one file: its name, clusters, noise (boxes of a negative cluster) and its share in percent, all scores, and silhouette.
+
+    Scores and silhouette are of all boxes, noise as one cluster a label.
+    """
+    noise = F.sum((F.col(cluster) < 0).cast("long"))
+    k = F.count_distinct(F.when(F.col(cluster) >= 0, F.col(cluster)))
+    counts = rows.agg(k.alias("k"), noise.alias("noise_count"), (100.0 * noise / F.count("*")).alias("p_noise"))
+    scores = clustering_scores(contingency(rows, truth, cluster))
+    return counts.join(F.broadcast(scores)).join(F.broadcast(silhouette(rows, cluster))).select(F.lit(name).alias("video_name"), "*")  # one row each
+
+
 def adjusted_mutual_info(table: DataFrame) -> float:
     """Mutual information adjusted for chance, arithmetic mean of entropies; from the table's margins (classes x clusters) on the driver."""
     t = table.toPandas().pivot_table(index="truth", columns="cluster", values="n", aggfunc="sum", fill_value=0).to_numpy(float)

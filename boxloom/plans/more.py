@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions import geometry, text
 from boxloom.operators import clustering, detections, metrics, post, tracking
-from boxloom.plans.queries import _COST, _IOU, _PAIR, _TABLE, FPS, QUERIES, _checkpoints, _clustered, _confusion, _iou_pairs, _r, _shifted, query
+from boxloom.plans.queries import _COS, _COST, _IOU, _PAIR, _TABLE, FPS, QUERIES, _checkpoints, _clustered, _confusion, _iou_pairs, _r, _shifted, query
 from boxloom.plans.tables import boxes
 from boxloom.sources import readers
 
@@ -78,6 +78,30 @@ def one_cluster_scores(spark, d):
     return s.select("purity", "nmi", "adjusted_rand", "k_error")
 
 
+_SILHOUETTE = f""", sp AS (SELECT a.box_id, a.cluster AS c, b.cluster AS o, a.features AS af, b.features AS bf FROM boxes a JOIN boxes b ON a.box_id <> b.box_id),
+sm AS (SELECT box_id, c, o, avg(1 - {_COS}) AS m FROM sp GROUP BY ALL), se AS (SELECT box_id, max(CASE WHEN c = o THEN m END) AS a, min(CASE WHEN c <> o THEN m END) AS b FROM sm GROUP BY box_id),
+si AS (SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM se)"""
+
+
+@query(_TABLE + _SILHOUETTE + """, ct AS (SELECT count(DISTINCT CASE WHEN cluster >= 0 THEN cluster END) AS k, CAST(sum((cluster < 0)::INT) AS BIGINT) AS noise_count, round(100.0 * sum((cluster < 0)::INT) / count(*), 6) AS p_noise FROM boxes)
+SELECT 'file' AS video_name, k, noise_count, p_noise, round((SELECT sum(m) FROM bc) / n, 6) AS purity, round(mi / hy, 6) AS homogeneity, round(mi / hc, 6) AS completeness, round(2 * mi / (hc + hy), 6) AS nmi, (SELECT count(*) FROM bc) - (SELECT count(*) FROM b_y) AS k_error, silhouette FROM h CROSS JOIN ct CROSS JOIN si""")
+def evaluation_row(spark, d):
+    row = metrics.evaluation_row(boxes(spark, d), "file", "character")
+    return row.select("video_name", "k", "noise_count", *_r("p_noise", "purity", "homogeneity", "completeness", "nmi"), "k_error", *_r("silhouette"))
+
+
+@query(", g AS (SELECT unnest([0.3, 0.5, 0.7]) AS t), i AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS iteration FROM g) SELECT iteration, t::DOUBLE AS t, (SELECT count(*) FROM boxes WHERE confidence >= t) AS boxes FROM i")
+def grid_results(spark, d):
+    b = boxes(spark, d)
+    return detections.run_grid(detections.parameter_grid(spark, {"t": [0.5, 0.3, 0.7]}), lambda p: {"boxes": b.where(F.col("confidence") >= p["t"]).count()})
+
+
+@query(" SELECT box_id, CASE WHEN box_id % 4 <> 0 THEN w END AS width, CASE WHEN box_id % 4 <> 0 THEN h END AS height FROM boxes")
+def parsed_sizes(spark, d):
+    size = text.size_to_ints(F.when(F.col("box_id") % 4 != 0, F.concat("w", F.lit(","), "h")).otherwise(F.lit("N/A")))
+    return boxes(spark, d).select("box_id", size["width"].cast("long").alias("width"), size["height"].cast("long").alias("height"))
+
+
 @query(", q AS (SELECT character AS truth, box_id % 10 AS predicted, count(*) AS n FROM boxes GROUP BY ALL) SELECT round(sum(CASE WHEN truth = predicted THEN n ELSE 0 END) / sum(n)::DOUBLE, 9) AS accuracy FROM q")
 def confusion_accuracy(spark, d):
     return metrics.accuracy(_confusion(spark, d)).select(F.round("accuracy", 9).alias("accuracy"))

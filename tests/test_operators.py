@@ -338,3 +338,23 @@ def test_shots_of_too_many_boxes_have_no_network(spark):
     n = tracking.MOST_BOXES + 1
     df = spark.range(n).selectExpr("id box_id", "0L shot_id", "id frame", "1L x", "1L y", "50L w", "50L h", "0.9D confidence", "array(1D) features")
     assert tracking.network(df, 4.0).count() == 0 and tracking.network(df.where(f"box_id < {n - 1}"), 4.0).limit(1).count() == 1
+
+
+def test_stream_of_jumps(spark, tmp_path):
+    from boxloom.operators import detections
+    from boxloom.streaming import jumps
+
+    rng = random.Random(10)
+    rows = [(f // 12, f % 3, f % 12, rng.randint(0, 50), rng.randint(0, 50), 20, 30) for f in range(60)]
+    schema = "shot_id long, track_id long, frame long, x long, y long, w long, h long"
+    df = spark.createDataFrame(rows, schema)
+    df.where("frame < 6").write.parquet(f"{tmp_path}/in/a")
+    found = jumps.stream_max_jump(jumps.detection_stream(spark, f"{tmp_path}/in/*", schema))
+    q = found.writeStream.outputMode("update").format("memory").queryName("jumps").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    df.where("frame >= 6").write.parquet(f"{tmp_path}/in/b")
+    q.processAllAvailable()
+    q.stop()
+    last = {(r.shot_id, r.track_id): r.m for r in spark.table("jumps").groupBy("shot_id", "track_id").agg(F.max("max_jump").alias("m")).collect()}  # it only grows
+    want = {(r.shot_id, r.track_id): r.max_jump for r in detections.max_jump(df, ["shot_id", "track_id"]).collect()}
+    assert last == {k: pytest.approx(v) for k, v in want.items()}
