@@ -33,6 +33,7 @@ def size_to_ints(text: Column) -> Column:
 
 
 def to_bool(text: Column) -> Column:
+    # The words read as true.
     return F.lower(text).isin("yes", "true", "t", "1")
 
 
