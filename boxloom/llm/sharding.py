@@ -10,6 +10,8 @@ Native expressions throughout.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,36 +40,48 @@ class Boundary:
         return self.prefix, self.low, self.shift
 
 
-def _settle(b: Boundary, bins: dict[int, int], tolerance: float) -> None:
-    """Takes the exact bytes by bin of the boundary's interval and narrows it to the bin that holds the goal."""
+class Bin(NamedTuple):
+    """What lies in one bin of an interval: bytes, rows, the least and the largest key."""
+
+    size: int
+    rows: int
+    least: int
+    most: int
+
+
+def _settle(b: Boundary, bins: dict[int, Bin], tolerance: float) -> None:
+    """Takes the exact contents by bin of the boundary's interval and narrows it to the bin that holds the goal.
+
+    A bin of one row can't be cut; in one of a single key the next key decides at once.
+    """
     step = 1 << (b.shift - BITS)
     upto = b.below
     at = 0
     for at in range(1 << BITS):
-        if upto + bins.get(at, 0) >= b.goal or at == (1 << BITS) - 1:
+        size = bins[at].size if at in bins else 0
+        if upto + size >= b.goal or at == (1 << BITS) - 1:
             break
-        upto += bins.get(at, 0)
-    size = bins.get(at, 0)
-    low = b.low + at * step
+        upto += size
+    low, held = b.low + at * step, bins.get(at)
+    size = held.size if held else 0
     near = (b.goal - upto, low) if b.goal - upto <= upto + size - b.goal else (upto + size - b.goal, low + step)
-    if near[0] <= tolerance:
+    last = len(b.prefix) + 1 == len(KEYS)
+    single = held is None or held.least == held.most
+    if near[0] <= tolerance or held is None or held.rows == 1 or (single and last):
         b.done, b.cut = True, (*b.prefix, near[1])
-        return
-    b.low, b.shift, b.below = low, b.shift - BITS, upto
-    if b.shift == 0:
-        if len(b.prefix) + 1 < len(KEYS):  # rows that are equal in this key: their group is cut by the next
-            b.prefix, b.low, b.shift = (*b.prefix, b.low), 0, 64
-        else:  # one row: the nearer side
-            b.done, b.cut = True, (*b.prefix, near[1])
+    elif single:
+        b.prefix, b.low, b.shift, b.below = (*b.prefix, held.least), 0, 64, upto
+    else:
+        b.low, b.shift, b.below = low, b.shift - BITS, upto
 
 
 def splitters(keys: DataFrame, shards: int, total: int) -> list[tuple[int, ...]]:
     """The boundaries between shards. keys: (h, g, r, size). Counts of at most shards * 2**BITS bins come to the driver a round."""
     found = [Boundary(total * i / shards) for i in range(1, shards)]
     while open_ := [b for b in found if not b.done]:
-        counted: dict[tuple, dict[int, int]] = {b.spot: {} for b in open_}
+        counted: dict[tuple, dict[int, Bin]] = {b.spot: {} for b in open_}
         which = F.lit(None).cast("int")
-        bins = F.lit(None).cast("long")
+        bins, key = F.lit(None).cast("long"), F.lit(None).cast("long")
         names = list(counted)
         for i, (prefix, low, shift) in enumerate(names):
             column = F.col(KEYS[len(prefix)])
@@ -79,10 +93,11 @@ def splitters(keys: DataFrame, shards: int, total: int) -> list[tuple[int, ...]]
                 mine = mine & (F.col(name) == F.lit(x - _BIAS))
             bits = F.shiftrightunsigned(column.bitwiseXOR(F.lit(-_BIAS)), shift - BITS).bitwiseAND(F.lit((1 << BITS) - 1))
             which = F.when(mine, F.lit(i)).otherwise(which)
-            bins = F.when(mine, bits.cast("long")).otherwise(bins)
-        rows = keys.select(which.alias("i"), bins.alias("bin"), "size").where("i is not null").groupBy("i", "bin").agg(F.sum("size").alias("size")).collect()
+            bins, key = F.when(mine, bits.cast("long")).otherwise(bins), F.when(mine, column).otherwise(key)
+        inside = keys.select(which.alias("i"), bins.alias("bin"), key.alias("key"), "size").where("i is not null")
+        rows = inside.groupBy("i", "bin").agg(F.sum("size").alias("size"), F.count("*").alias("rows"), F.min("key").alias("least"), F.max("key").alias("most")).collect()
         for r in rows:
-            counted[names[r["i"]]][int(r["bin"])] = int(r["size"])
+            counted[names[r["i"]]][int(r["bin"])] = Bin(int(r["size"]), int(r["rows"]), r["least"] + _BIAS, r["most"] + _BIAS)
         for b in open_:
             _settle(b, counted[b.spot], TOLERANCE * total / shards)
     return sorted(b.cut for b in found)
