@@ -4,7 +4,7 @@ The sketch of a metric is a log-bucket histogram: bucket counts per (language, s
 sketches of tasks, files or days merge by summing, and the result does not depend on their order. A quantile read
 from it has a relative error of at most GAMMA - 1.
 
-A group's fence lies beyond its tail: the 0.9 quantile and some times its distance from the median. Most documents have
+A group's fence lies beyond its tail: the 0.9 quantile and some times its distance from the median (one bucket at least). Most documents have
 none of what a rate counts, and then both are 0; so a rate's fence is no lower than a few occurrences in a short document
 of the group (its 0.1 quantile of words). A fence is blended with that of the language, and this with that of all
 documents, by the number of documents: n of a group count as n, what it inherits as PRIOR.
@@ -28,7 +28,7 @@ METRICS = {
     "symbols": ("n_symbols / greatest(n_words, 1L)", 6, 3, "high"),
     "dup_lines": ("n_dup_lines / greatest(n_words, 1L)", 6, 3, "high"),
     "repeats": ("n_repeat_words / greatest(n_words, 1L)", 9, 9, "high"),
-    "word_len": ("word_chars / greatest(n_words, 1L)", 3, 0, "both"),
+    "word_len": ("word_chars / greatest(n_words, 1L)", 4, 0, "both"),
 }
 #: What has a sketch: the metrics, and the number of words.
 SKETCHED = {m: e for m, (e, *_) in METRICS.items()} | {"words": "n_words"}
@@ -96,9 +96,10 @@ def _fences(sketch: DataFrame, keys: list[str], tag: str) -> DataFrame:
     columns = [F.col("n").alias(f"{tag}_n")]
     for m, (_, reach, allowed, sides) in METRICS.items():
         low, mid, high = (F.col(f"{m}.q{t}") for t in (1, 5, 9))
-        columns.append(F.greatest(high + reach * (high - mid), allowed / F.col("words.q1")).alias(f"{tag}_hi_{m}"))
+        far = lambda a, b: F.greatest(a - b, F.greatest(a, b) * (GAMMA - 1))  # noqa: E731  what a sketch can tell apart, at least
+        columns.append(F.greatest(high + reach * far(high, mid), allowed / F.col("words.q1")).alias(f"{tag}_hi_{m}"))
         if sides == "both":
-            columns.append((low - reach * (mid - low)).alias(f"{tag}_lo_{m}"))
+            columns.append((low - reach * far(mid, low)).alias(f"{tag}_lo_{m}"))
     return out.select(*keys, *columns)
 
 
@@ -148,8 +149,9 @@ def _sql() -> str:
         by = f"{keys}, " if keys else ""
         group = f"GROUP BY {keys}" if keys else ""
         q = lambda m, t: f"max(CASE WHEN metric = '{m}' THEN q{t} END)"
-        hi = [f"greatest({q(m, 9)} + {reach} * ({q(m, 9)} - {q(m, 5)}), {allowed} / {q('words', 1)}) AS hi_{m}" for m, (_, reach, allowed, _) in METRICS.items()]
-        lo = [f"{q(m, 1)} - {reach} * ({q(m, 5)} - {q(m, 1)}) AS lo_{m}" for m, (_, reach, _, sides) in METRICS.items() if sides == "both"]
+        far = lambda a, b: f"greatest({a} - {b}, greatest({a}, {b}) * {GAMMA - 1})"
+        hi = [f"greatest({q(m, 9)} + {reach} * {far(q(m, 9), q(m, 5))}, {allowed} / {q('words', 1)}) AS hi_{m}" for m, (_, reach, allowed, _) in METRICS.items()]
+        lo = [f"{q(m, 1)} - {reach} * {far(q(m, 5), q(m, 1))} AS lo_{m}" for m, (_, reach, _, sides) in METRICS.items() if sides == "both"]
         at = ", ".join(f"min(CASE WHEN upto * 10 >= total * {t} THEN bucket END) AS b{t}" for t in (1, 5, 9))
         return f"""{tag}c AS (SELECT {by}metric, bucket, sum(count(*)) OVER (PARTITION BY {by}metric ORDER BY bucket) AS upto, sum(count(*)) OVER (PARTITION BY {by}metric) AS total
   FROM k GROUP BY {by}metric, bucket),
