@@ -651,5 +651,5 @@ def test_the_language_found_fills_a_null(spark):
     some = table.withColumn("lang", F.when(F.col("doc_id") % 4 != 0, F.col("lang")))
     out = dict(pipeline.STAGES)["language_id"](spark, some, SF)
     assert out.columns == some.columns and out.where("lang is null").count() == 0
-    same = out.select("doc_id", "lang").join(table.select("doc_id", F.col("lang").alias("true")), "doc_id")
-    assert same.where("lang = true").count() >= 0.9 * same.count()
+    same = out.select("doc_id", "lang").join(table.select("doc_id", F.col("lang").alias("truth")), "doc_id")
+    assert same.where("lang = truth").count() >= 0.9 * same.count()
