@@ -15,6 +15,7 @@ import base64
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property, lru_cache
@@ -34,7 +35,11 @@ SHARD_DOCS, SHARD_TOKENS = 1024, 2_000_000
 K1, B = 1.2, 0.75
 #: Terms of a document's key, and tokens of a range of the sorted table.
 KEY_TERMS, RANGE_TOKENS = 4, 1_000_000
-_LONG = re.compile(r"\S{3000}")
+#: Cells of a shard's matrix, four bytes each, up to which the packer fills it in.
+DENSE_CELLS = 1 << 24
+_SPACE, _LONG = re.compile(r"\s"), re.compile(r"\S{3000}")
+#: Runs of what the vocabulary's pattern takes as white space, which is less than Python's by U+001C to U+001F.
+_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -44,6 +49,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _long(text: str) -> bool:
+    """Whether _LONG is in the text: such a run covers a whole block of half its length, so blocks with a space early say no at once."""
+    return any(not _SPACE.search(text, i, i + 1500) for i in range(0, len(text) - 1499, 1500)) and bool(_LONG.search(text))
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """text -> ids. The vocabulary's rank file beside the .json gives the same ids faster; both are tested equal.
@@ -70,8 +80,21 @@ def encoder(path: str):
 
     with open(ranks_file, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: plain(text) if _LONG.search(text) else fast.encode_ordinary(text)
+    # searches are slow with the pattern's look ahead, which only parts the last of a run of spaces from the others: texts are cut there instead
+    rest = public_tokenizers.PATTERN.removesuffix(r"|\s+(?!\S)|\s+")
+    if rest == public_tokenizers.PATTERN:
+        raise ValueError(f"not the pattern of white space that is known: {rest}")
+    fast = tiktoken.Encoding("ranks", pat_str=rest + r"|\s+", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        if _long(text):
+            return plain(text)
+        cuts = [end - 1 for m in _RUN.finditer(text) if (end := m.end()) < len(text)]
+        if not cuts:
+            return fast.encode_ordinary(text)
+        return [x for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True) for x in fast.encode_ordinary(text[a:b])]
+
+    return encode
 
 
 @dataclass(frozen=True)
@@ -105,7 +128,11 @@ class Statistics:
 
 
 class Bm25:
-    """An index over the token ids of a shard: a sparse matrix of weights, a row a document. All terms are in it."""
+    """An index over the token ids of a shard: a sparse matrix of weights, a row a document. All terms are in it.
+
+    For neighbours it is also filled in, a row a term, up to DENSE_CELLS: a sum of whole rows takes less than half the
+    time of a look at each posting. Above that the postings are read.
+    """
 
     def __init__(self, docs: list[np.ndarray], statistics: Statistics | None = None):
         bags = [np.unique(d, return_counts=True) for d in docs]
@@ -121,24 +148,40 @@ class Bm25:
         spot[known] = np.arange(len(known))
         self.term, self.asked, self.known = spot[term], np.zeros(len(known)), known
         self.size, self.rows, self.start, self.column = size, np.arange(len(docs)), self.begin[:-1], self.term
+        self.dense: np.ndarray | None = None
         self._keep(size > 0)
 
     def _keep(self, of: np.ndarray) -> None:
         """Leaves the matrix with those of its rows."""
+        if self.dense is not None:
+            self.rows, self.dense = self.rows[of], np.compress(of, self.dense, axis=1)
+            return
         cell = np.repeat(of, self.size[self.rows])
         self.rows, self.column, self.weight = self.rows[of], self.column[cell], self.weight[cell]
         self.start = np.concatenate(([0], np.cumsum(self.size[self.rows])))[:-1]
 
+    def _fill(self) -> None:
+        if self.dense is None and len(self.known) * len(self.rows) <= DENSE_CELLS:
+            self.dense = np.zeros((len(self.known), len(self.rows)), np.float32)
+            self.dense[self.column, np.repeat(np.arange(len(self.rows)), self.size[self.rows])] = self.weight
+            self.column = self.weight = self.start = None
+
+    def _sums(self, spot: np.ndarray) -> np.ndarray:
+        """The score of each row for a query of terms, by their place in `known`."""
+        if self.dense is not None:
+            return self.dense[spot].sum(axis=0)
+        self.asked[spot] = 1.0
+        out = np.add.reduceat(self.weight * self.asked[self.column], self.start) if len(self.rows) else np.zeros(0)
+        self.asked[spot] = 0.0
+        return out
+
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """The score of each document for a query of distinct terms."""
         spot = np.searchsorted(self.known, terms)
         inside = spot < len(self.known)
         spot = spot[inside][self.known[spot[inside]] == terms[inside]]
-        self.asked[spot] = 1.0
         out = np.zeros(len(self.size))
-        if len(self.rows):
-            out[self.rows] = np.add.reduceat(self.weight * self.asked[self.column], self.start)
-        self.asked[spot] = 0.0
+        out[self.rows] = self._sums(spot)
         return out
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
@@ -146,14 +189,12 @@ class Bm25:
 
         A document that is used once stays so: the matrix forgets such rows when they are half of it.
         """
+        self._fill()
         if 2 * np.count_nonzero(unused[self.rows]) < len(self.rows):
             self._keep(unused[self.rows])
         if not len(self.rows):
             return np.zeros(0, np.int64)
-        own = self.term[self.begin[doc] : self.begin[doc + 1]]
-        self.asked[own] = 1.0
-        score = np.add.reduceat(self.weight * self.asked[self.column], self.start)
-        self.asked[own] = 0.0
+        score = self._sums(self.term[self.begin[doc] : self.begin[doc + 1]])
         found = (score > 0) & unused[self.rows]
         score, found = score[found], self.rows[found]
         return found[np.argsort(-score, kind="stable")]
@@ -215,7 +256,7 @@ def _encode(path: str):
             for x in batch.column(1):
                 found = encode(x.as_py() or "")
                 found.append(END)
-                docs.append(np.array(found, np.int32))
+                docs.append(np.frombuffer(array("i", found), np.int32))
             if not docs:
                 continue
             more = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=len(df))
