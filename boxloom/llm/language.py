@@ -9,6 +9,7 @@ are counted with whole-array operations.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ _U = np.uint64
 TRAIN_DOCS, TRAIN_CHARS = 800, 50_000
 #: Feature table size, words of the lexicon, words of a chain, passes and step of AdaGrad, share of switched runs.
 BUCKETS, LEXICON, RUN, PASSES, STEP, SWITCHED = 1 << 16, 20_000, 128, 20, 0.25, 0.5
-#: Characters that are scored at a time.
-BLOCK = 1_000_000
+#: Characters that are scored at a time; letters times labels of a block in training.
+BLOCK, FIT_CELLS = 1_000_000, 1 << 20
 UNKNOWN = "und"
 _alpha: list[np.ndarray] = []
 
@@ -210,52 +211,96 @@ def pieces(text: str) -> Iterator[str]:
 
 
 def fit(rows: list[tuple[str, str]], seed: int = 11) -> Crf:
-    """Trains on (text, language) rows; forward-backward over all their words in each pass."""
+    """Trains on (text, language) rows; forward-backward over all their words in each pass.
+
+    Each pass goes through all chains by blocks. The n-gram buckets of the letters lie in a temporary file that is mapped,
+    so that memory has one block's letters and a few numbers a word, not the whole sample's letters.
+    """
     labels = sorted({lang for _, lang in rows})
-    found = [(features(t), labels.index(lang)) for t, lang in rows]
-    found = [(f, y) for f, y in found if f is not None]
-    if not found:
-        return Crf([], np.zeros(0, np.uint64))
-    size = np.array([len(f[0]) for f, _ in found])
-    shift = np.cumsum([0] + [f[1].shape[1] for f, _ in found])
-    start = np.concatenate([f[0] + s for (f, _), s in zip(found, shift, strict=False)])
-    grams = np.concatenate([f[1] for f, _ in found], axis=1)
-    words = np.concatenate([f[2] for f, _ in found])
-    label = np.repeat([y for _, y in found], size)
-    names, counts = np.unique(words, return_counts=True)
-    often = counts >= 3
-    names, counts = names[often], counts[often]
-    crf = Crf(labels, np.sort(names[np.argsort(-counts, kind="stable")[:LEXICON]]))
-    entry = crf.look_up(words)
-    chain = runs(np.repeat(np.arange(len(found)), size))
-    # code switching: the second halves of some chains change places
-    rng = np.random.default_rng(seed)
-    pick = rng.permutation(len(chain))[: int(len(chain) * SWITCHED)]
-    chain[pick, RUN // 2 :] = chain[rng.permutation(pick), RUN // 2 :]
-    there = chain >= 0
-    both = there[:, 1:] & there[:, :-1]
     k = len(labels)
-    truth = np.zeros((len(words), k), np.float32)
-    truth[np.arange(len(words)), label] = 1
-    y = label[np.maximum(chain, 0)]
-    seen = np.bincount(y[:, :-1][both] * k + y[:, 1:][both], minlength=k * k).reshape(k, k)
-    letter_word = np.repeat(np.arange(len(start)), np.diff(np.append(start, grams.shape[1])))
-    scale = 1 / np.sqrt(np.diff(np.append(start, grams.shape[1])))
-    flat = grams.reshape(-1)
-    past = [np.full_like(x, 1e-6, dtype=np.float64) for x in (crf.gram, crf.word, crf.move)]
-    for _ in range(PASSES):
-        p, moved = forward_backward(crf.emissions(start, grams, entry).astype(np.float64), chain, crf.move)
-        gap = (truth - p) / len(words)
-        by_letter = (gap * scale[:, None])[letter_word]
-        steps = (
-            np.stack([np.bincount(flat, weights=np.tile(by_letter[:, j], 3), minlength=BUCKETS) for j in range(k)], axis=1),
-            np.stack([np.bincount(entry, weights=gap[:, j], minlength=len(crf.word)) for j in range(k)], axis=1),
-            (seen - moved) / len(words),
-        )
-        for weight, g, h in zip((crf.gram, crf.word, crf.move), steps, past, strict=True):
-            h += g * g
-            weight += (STEP * g / np.sqrt(h + 1e-12)).astype(weight.dtype)
-    return crf
+    with tempfile.TemporaryFile() as file:
+        starts, hashes, said, letters = [], [], [], 0
+        for text, lang in rows:
+            found = features(text)
+            if found is not None:
+                file.write(found[1].T.astype(np.uint16).tobytes())  # BUCKETS are no more than it holds
+                starts.append(found[0] + letters)
+                hashes.append(found[2])
+                said.append(labels.index(lang))
+                letters += found[1].shape[1]
+        if not said:
+            return Crf([], np.zeros(0, np.uint64))
+        file.flush()
+        grams = np.memmap(file, np.uint16, "r").reshape(-1, 3)
+        size = np.array([len(h) for h in hashes])
+        words = np.concatenate(hashes)
+        del hashes
+        names, counts = np.unique(words, return_counts=True)
+        often = counts >= 3
+        names, counts = names[often], counts[often]
+        crf = Crf(labels, np.sort(names[np.argsort(-counts, kind="stable")[:LEXICON]]))
+        n = len(words)
+        entry = np.empty(n, np.int32)
+        for i in range(0, n, BLOCK):
+            entry[i : i + BLOCK] = crf.look_up(words[i : i + BLOCK])
+        del words
+        start = np.concatenate([*starts, [letters]])
+        del starts
+        chain = _halves(size, np.array(said))
+        # code switching: the second halves of some chains change places
+        rng = np.random.default_rng(seed)
+        pick = rng.permutation(len(chain))[: int(len(chain) * SWITCHED)]
+        chain[pick, 1] = chain[rng.permutation(pick), 1]
+        blocks = _blocks(chain, start, max(BUCKETS, FIT_CELLS // k))
+        past = [np.full_like(x, 1e-6, dtype=np.float64) for x in (crf.gram, crf.word, crf.move)]
+        for _ in range(PASSES):
+            steps = [np.zeros(x.shape, order="F") for x in past]
+            for block in blocks:
+                _add_gradient(crf, block, grams, start, entry, steps)
+            for weight, g, h in zip((crf.gram, crf.word, crf.move), steps, past, strict=True):
+                g /= n
+                h += g * g
+                weight += (STEP * g / np.sqrt(h + 1e-12)).astype(weight.dtype)
+        return crf
+
+
+def _halves(size: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """First word, number of words and label of both halves of each chain that runs() makes of documents of so many words."""
+    chains = -(-size // RUN)
+    doc = np.repeat(np.arange(len(size)), chains)
+    at = (np.arange(len(doc)) - (np.cumsum(chains) - chains)[doc])[:, None] * RUN + [0, RUN // 2]
+    words = np.clip(size[doc][:, None] - at, 0, RUN // 2)
+    return np.stack((np.where(words > 0, (np.cumsum(size) - size)[doc][:, None] + at, 0), words, np.broadcast_to(label[doc][:, None], at.shape)), axis=2)
+
+
+def _blocks(chain: np.ndarray, start: np.ndarray, most: int) -> list[np.ndarray]:
+    """All chains in order, in blocks whose words have about `most` letters; start: first letter of each word, and the number of letters."""
+    size = (start[chain[..., 0] + chain[..., 1]] - start[chain[..., 0]]).sum(axis=1)
+    return np.split(chain, np.flatnonzero(np.diff(np.cumsum(size) // most)) + 1)
+
+
+def _add_gradient(crf: Crf, block: np.ndarray, grams: np.ndarray, start: np.ndarray, entry: np.ndarray, steps: list[np.ndarray]) -> None:
+    """Adds what a block of chains wants changed, summed over its words, to the steps of the three weights."""
+    there = np.arange(RUN // 2) < block[..., 1, None]
+    at = (block[..., 0, None] + np.arange(RUN // 2))[there]
+    label = np.repeat(block[..., 2].reshape(-1), block[..., 1].reshape(-1))
+    there = there.reshape(-1, RUN)
+    chain = np.full(there.shape, -1)
+    chain[there] = np.arange(len(at))
+    wide, entry = start[at + 1] - start[at], entry[at]
+    first = np.cumsum(wide) - wide
+    word = np.repeat(np.arange(len(at)), wide)
+    found = grams[np.arange(len(word)) + (start[at] - first)[word]].T.astype(np.int32, order="C")
+    p, moved = forward_backward(crf.emissions(first, found, entry).astype(np.float64), chain, crf.move)
+    gap = np.negative(p, out=p)
+    gap[np.arange(len(at)), label] += 1
+    flat, scale = found.reshape(-1).astype(np.intp), 1 / np.sqrt(wide)
+    for j in range(len(crf.labels)):
+        steps[0][:, j] += np.bincount(flat, weights=np.tile((gap[:, j] * scale)[word], 3), minlength=BUCKETS)
+        steps[1][:, j] += np.bincount(entry, weights=gap[:, j], minlength=len(crf.word))
+    y, both = label[np.maximum(chain, 0)], there[:, 1:] & there[:, :-1]
+    k = len(crf.labels)
+    steps[2] += np.bincount(y[:, :-1][both] * k + y[:, 1:][both], minlength=k * k).reshape(k, k) - moved
 
 
 def train(docs: DataFrame, limit: int = TRAIN_DOCS) -> Crf:
